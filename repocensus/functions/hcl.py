@@ -1,0 +1,265 @@
+"""Top-level blocks of HCL text with their attributes, batch-wise in Arrow.
+
+Matching braces to any depth is what regular expressions and SQL cannot do, so this one
+step is Python; it only sees routed files.  Attribute values arrive as JSON: literals as
+such, every other expression as its source text.  A syntax error yields NULL.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BLOCKS = "ARRAY<STRUCT<type: STRING, labels: ARRAY<STRING>, attributes: MAP<STRING, STRING>>>"
+
+_HEADER = re.compile(r'([A-Za-z_][\w-]*)((?:[ \t]*"_*"|[ \t]+[A-Za-z_][\w-]*)*)[ \t]*\{')
+_LABEL = re.compile(r'"([^"]*)"|([A-Za-z_][\w-]*)')
+_ATTRIBUTE = re.compile(r"([A-Za-z_][\w-]*)[ \t]*=(?![=>])")
+_OPAQUE = re.compile(r'(#|//)[^\n]*|/\*.*?\*/|<<-?(\w+)\n.*?^[ \t]*\2$|"', re.S | re.M)
+_NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])")
+_WORD = re.compile(r"[A-Za-z_][\w-]*")
+_ESCAPE = re.compile(r'\\(?:u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|([nrt"\\]))|\\|([$%])\4\{|[$%]\{')
+_HEREDOC = re.compile(r"<<(-?)(\w+)\n(.*?)^[ \t]*\2$", re.S | re.M)
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+
+
+def _string_end(text: str, at: int) -> int:
+    """Index after the quote closing the string opened at ``at``; templates may nest strings."""
+    at += 1
+    braces: list[int] = []  # open braces per template we are inside of; -1 marks a string
+    while at < len(text):
+        ch = text[at]
+        in_template = bool(braces) and braces[-1] >= 0
+        if in_template:
+            if ch == '"':
+                braces.append(-1)
+            elif ch == "{":
+                braces[-1] += 1
+            elif ch == "}":
+                braces[-1] -= 1
+                if braces[-1] == 0:
+                    braces.pop()
+        elif ch == "\\":
+            at += 1
+        elif ch in "$%" and text.startswith(ch + ch + "{", at):
+            at += 2
+        elif ch in "$%" and text.startswith("{", at + 1):
+            braces.append(1)
+            at += 1
+        elif ch == '"':
+            if not braces:
+                return at + 1
+            braces.pop()
+        elif ch == "\n":
+            break
+        at += 1
+    raise ValueError("unterminated string")
+
+
+def _mask(text: str) -> str:
+    """Same length and lines, with comments blank and string contents as underscores."""
+    out, at = [], 0
+    while found := _OPAQUE.search(text, at):
+        out.append(text[at : found.start()])
+        piece = found.group()
+        if piece == '"':
+            end = _string_end(text, found.start())
+            out.append('"' + "_" * (end - found.start() - 2) + '"')
+        else:
+            end = found.end()
+            fill = "_" if piece.startswith("<<") else " "
+            keep_lines = piece.startswith("/*")
+            out.append("".join("\n" if c == "\n" and keep_lines else fill for c in piece))
+        at = end
+    return "".join(out) + text[at:]
+
+
+def _span_end(masked: str, at: int, stop: int, ends_at_newline: bool) -> int:
+    """End of a bracketed span opened before ``at``, or of an expression ending at a newline."""
+    depth: list[str] = [] if ends_at_newline else ["}"]
+    for found in re.compile(r"[()\[\]{}\n]").finditer(masked, at, stop):
+        ch = found.group()
+        if ch == "\n":
+            if ends_at_newline and not depth:
+                return found.start()
+        elif ch in _CLOSING:
+            depth.append(_CLOSING[ch])
+        elif not depth or depth.pop() != ch:
+            raise ValueError("unbalanced brackets")
+        elif not depth and not ends_at_newline:
+            return found.start()
+    if depth:
+        raise ValueError("unbalanced brackets")
+    return stop
+
+
+def _items(text: str, masked: str, at: int, stop: int):
+    """('attribute', name, start, end) and ('block', header match, start, end) of a body."""
+    while True:
+        while at < stop and masked[at].isspace():
+            at += 1
+        if at >= stop:
+            return
+        if found := _ATTRIBUTE.match(masked, at, stop):
+            end = _span_end(masked, found.end(), stop, True)
+            yield "attribute", found.group(1), found.end(), end
+            at = end
+        elif found := _HEADER.match(masked, at, stop):
+            end = _span_end(masked, found.end(), stop, False)
+            yield "block", found, found.end(), end
+            at = end + 1
+            rest = masked[at : masked.find("\n", at) if "\n" in masked[at:stop] else stop]
+            if rest.strip():
+                raise ValueError("text after a block")
+        else:
+            raise ValueError("neither a block nor an attribute")
+
+
+class _Literal:
+    """Reads one literal; anything that is not literal raises and stays source text."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def whole(self):
+        value = self.value()
+        self.skip(" \t\r\n")
+        if self.at != len(self.text):
+            raise ValueError
+        return value
+
+    def skip(self, chars: str) -> bool:
+        start = self.at
+        while self.at < len(self.text) and self.text[self.at] in chars:
+            self.at += 1
+        return self.at > start
+
+    def take(self, pattern: re.Pattern):
+        found = pattern.match(self.text, self.at)
+        if found:
+            self.at = found.end()
+        return found
+
+    def value(self):
+        self.skip(" \t\r\n")
+        ch = self.text[self.at : self.at + 1]
+        if ch == '"':
+            end = _string_end(self.text, self.at)
+            raw, self.at = self.text[self.at + 1 : end - 1], end
+            return _ESCAPE.sub(_unescape, raw)
+        if ch == "[":
+            return self.sequence("]", self.value)
+        if ch == "{":
+            return dict(self.sequence("}", self.member))
+        if ch == "<" and (found := self.take(_HEREDOC)):
+            return _heredoc(found.group(3), bool(found.group(1)))
+        if found := self.take(_NUMBER):
+            number = float(found.group()) if re.search(r"[.eE]", found.group()) else int(found.group())
+            exact = isinstance(number, float) and number.is_integer() and abs(number) < 2**63
+            return int(number) if exact else number
+        word = self.take(_WORD)
+        return {"true": True, "false": False, "null": None}[word.group()] if word else _fail()
+
+    def member(self):
+        word = self.take(_WORD)
+        key = word.group() if word else self.value()
+        self.skip(" \t")
+        if self.text[self.at : self.at + 1] not in ("=", ":"):
+            raise ValueError
+        self.at += 1
+        return str(key), self.value()
+
+    def sequence(self, close: str, read):
+        self.at += 1
+        out = []
+        while True:
+            self.skip(" \t\r\n,")
+            if self.text[self.at : self.at + 1] == close:
+                self.at += 1
+                return out
+            out.append(read())
+            if not self.skip(" \t\r\n,") and self.text[self.at : self.at + 1] != close:
+                raise ValueError
+
+
+def _fail():
+    raise ValueError
+
+
+def _unescape(found: re.Match) -> str:
+    short, long, simple, doubled = found.groups()
+    if short or long:
+        return chr(int(short or long, 16))
+    if simple:
+        return {"n": "\n", "r": "\r", "t": "\t"}.get(simple, simple)
+    if doubled:
+        return doubled + "{"
+    raise ValueError  # a template or an unknown escape
+
+
+def _heredoc(body: str, dedent: bool) -> str:
+    if re.search(r"(?<![$%])[$%]\{", body):
+        raise ValueError
+    if dedent:
+        margins = [len(l) - len(l.lstrip(" ")) for l in body.splitlines() if l.strip()]
+        cut = min(margins, default=0)
+        body = "".join(l[cut:] for l in body.splitlines(keepends=True))
+    return re.sub(r"([$%])\1\{", r"\1{", body)
+
+
+def _value_json(source: str) -> str:
+    try:
+        value = _Literal(source).whole()
+    except (ValueError, KeyError, IndexError, RecursionError):
+        value = source
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def blocks_json(text: str) -> str:
+    """JSON array of the text's top-level blocks; raises on a syntax error."""
+    text = text.replace("\r\n", "\n")
+    masked = _mask(text)
+    out = []
+    for kind, found, start, end in _items(text, masked, 0, len(masked)):
+        if kind != "block":
+            continue
+        span = found.span(2)
+        labels = [a or b for a, b in _LABEL.findall(text[span[0] : span[1]])]
+        attributes: dict[str, str] = {}
+        for inner, name, a, b in _items(text, masked, start, end):
+            if inner == "block":
+                list(_items(text, masked, a, b))
+            elif name in attributes:
+                raise ValueError("attribute redefined")
+            else:
+                visible = masked[a:b]
+                lead = len(visible) - len(visible.lstrip())
+                source = text[a + lead : a + len(visible.rstrip())]
+                if not source:
+                    raise ValueError("missing expression")
+                attributes[name] = _value_json(source)
+        out.append({"type": found.group(1), "labels": labels, "attributes": attributes})
+    return json.dumps(out, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def _blocks(texts: pd.Series) -> pd.Series:
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return blocks_json(text)
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def top_level_blocks(text: Column) -> Column:
+    """ARRAY of blocks, NULL when the text is not well formed."""
+    return F.from_json(_blocks(text), BLOCKS)
