@@ -96,3 +96,27 @@ def glob_regex(glob: str) -> str:
             out.append(re.escape(ch))
         i += 1
     return r"(?s)\A(?:" + "".join(out) + r")\z"
+
+
+def needle(pattern: str) -> str:
+    """A text every match of the pattern must contain; '' when none is obvious.
+
+    Only patterns made of literals, escaped punctuation and (repeated) dots are looked
+    into, which is what catalogues mostly consist of.
+    """
+    pieces, current, i = [], "", 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern) and not pattern[i + 1].isalnum():
+            current, i = current + pattern[i + 1], i + 2
+        elif ch == ".":
+            pieces, current = pieces + [current], ""
+            i += 2 if pattern[i + 1 : i + 2] in ("*", "+", "?") and i + 1 < len(pattern) else 1
+        elif ch in REGEX_SPECIALS:
+            return ""
+        else:
+            following = pattern[i + 1 : i + 2]
+            if following and following in "*+?{":
+                return ""
+            current, i = current + ch, i + 1
+    return max(pieces + [current], key=len)

@@ -133,7 +133,12 @@ def invalid_patterns(patterns: DataFrame) -> DataFrame:
 
 def is_regex_column(value: Column) -> Column:
     escaped = "".join("\\" + ch for ch in REGEX_SPECIALS)
-    return value.rlike(f"[{escaped}]")
+    return F.rlike(value, F.lit(f"[{escaped}]"))
+
+
+def _rule_of(column: str, kind):
+    shown = bare_extension if column == "file_extensions" else (lambda v: v)
+    return lambda v: F.struct(kind(v).alias("rule_kind"), shown(v).alias("value"))
 
 
 def pattern_rules(patterns: DataFrame, id_column: str = "pattern_id") -> DataFrame:
@@ -149,10 +154,7 @@ def pattern_rules(patterns: DataFrame, id_column: str = "pattern_id") -> DataFra
             *[
                 F.transform(
                     F.coalesce(F.col(c), F.array().cast("array<string>")),
-                    lambda v, c=c, kind=kind: F.struct(
-                        kind(v).alias("rule_kind"),
-                        (bare_extension(v) if c == "file_extensions" else v).alias("value"),
-                    ),
+                    _rule_of(c, kind),
                 )
                 for c, kind in kinds
             ]

@@ -140,6 +140,8 @@ def read_repositories(spark: SparkSession, parent: str, splits: int = 8, content
 
 def _reader(spark: SparkSession, splits: int, content: bool):
     spark.dataSource.register(RepoTreeSource)
+    # a reader with pushFilters is refused while this is off
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return (
         spark.read.format("repo_tree").option("splits", splits).option("content", str(content).lower())
     )
