@@ -430,7 +430,7 @@ ROUTING_SQL = """
 def file_routing(spark, sf):
     """How many files each extractor is handed; only paths are read."""
     extractors = [e for e in plan.default_extractors() if e.name not in ("patterns", "gradle")]
-    files = paths.with_path_columns(tb.all_files(spark, sf).select("path"))
+    files = paths.with_path_columns(tb.files_table(spark, sf).select("path"))
     counts = files.agg(*[F.count_if(e.route).alias(e.name) for e in extractors])
     pairs = F.array(
         *[F.struct(F.lit(e.name).alias("extractor"), F.col(e.name).alias("files")) for e in extractors]
@@ -471,7 +471,7 @@ BY_TYPE_SQL = f"""
 @register("findings_by_category", BY_TYPE_SQL)
 def findings_by_category(spark, sf):
     """The whole inventory in one pass over the files, then one aggregation in SQL."""
-    reporting.register_findings(plan.scan(tb.all_files(spark, sf)))
+    reporting.register_findings(plan.scan(tb.files_table(spark, sf)))
     return reporting.run_query(
         spark,
         "SELECT Type AS type, Category AS category, COUNT(*) AS findings FROM Findings GROUP BY Type, Category",
@@ -487,7 +487,7 @@ def findings_by_category(spark, sf):
        UNION ALL SELECT 'compose', count(*) FROM customer WHERE c_custkey % 9 = 0""",
 )
 def extractor_errors(spark, sf):
-    records = plan.scan_records(tb.all_files(spark, sf))
+    records = plan.scan_records(tb.files_table(spark, sf))
     return plan.errors_of(records).groupBy("extractor").agg(F.count("*").alias("errors"))
 
 

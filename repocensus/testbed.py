@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repocensus.schemas import FILES
+from repocensus.session import shared_dir
 from repocensus.sources.catalogue import Catalogue, Pattern
 
 
@@ -262,6 +264,27 @@ def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, [make(spark, sf_dir) for make in CORPUS.values()])
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus as a stored FILES table, written once per application and test folder.
+
+    Scans then see what they see in use: one parquet table instead of a union of projections.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = shared_dir(spark, "files")
+        corpus = all_files(spark, sf_dir)
+        cores = spark.sparkContext.defaultParallelism
+        if corpus.rdd.getNumPartitions() < 16 * cores:
+            # small test data: mix the kinds of files, as repositories do
+            corpus = corpus.repartition(4 * cores)
+        corpus.write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema(FILES).parquet(_WRITTEN[key])
+
+
 def text_catalogue() -> Catalogue:
     """Patterns over documents and pages, covering every kind of rule and both invalid forms."""
     return Catalogue(
