@@ -61,22 +61,24 @@ def _string_end(text: str, at: int) -> int:
     raise ValueError("unterminated string")
 
 
-def _mask(text: str) -> str:
-    """Same length and lines, with comments blank and string contents as underscores."""
-    out, at = [], 0
+def _mask(text: str) -> tuple[str, str]:
+    """Two copies of the same length: comments blank and string contents underscores; and
+    only comments blank."""
+    masked, clean, at = [], [], 0
     while found := _OPAQUE.search(text, at):
-        out.append(text[at : found.start()])
-        piece = found.group()
+        start, piece = found.start(), found.group()
         if piece == '"':
-            end = _string_end(text, found.start())
-            out.append('"' + "_" * (end - found.start() - 2) + '"')
+            end = _string_end(text, start)
+            cover, kept = '"' + "_" * (end - start - 2) + '"', text[start:end]
+        elif piece.startswith("<<"):
+            end, cover, kept = found.end(), "_" * len(piece), piece
         else:
             end = found.end()
-            fill = "_" if piece.startswith("<<") else " "
-            keep_lines = piece.startswith("/*")
-            out.append("".join("\n" if c == "\n" and keep_lines else fill for c in piece))
+            cover = kept = "".join("\n" if c == "\n" else " " for c in piece)
+        masked += [text[at:start], cover]
+        clean += [text[at:start], kept]
         at = end
-    return "".join(out) + text[at:]
+    return "".join(masked) + text[at:], "".join(clean) + text[at:]
 
 
 def _span_end(masked: str, at: int, stop: int, ends_at_newline: bool) -> int:
@@ -212,9 +214,9 @@ def _heredoc(body: str, dedent: bool) -> str:
     return re.sub(r"([$%])\1\{", r"\1{", body)
 
 
-def _value_json(source: str) -> str:
+def _value_json(source: str, without_comments: str) -> str:
     try:
-        value = _Literal(source).whole()
+        value = _Literal(without_comments).whole()
     except (ValueError, KeyError, IndexError, RecursionError):
         value = source
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
@@ -223,13 +225,12 @@ def _value_json(source: str) -> str:
 def blocks_json(text: str) -> str:
     """JSON array of the text's top-level blocks; raises on a syntax error."""
     text = text.replace("\r\n", "\n")
-    masked = _mask(text)
+    masked, clean = _mask(text)
     out = []
     for kind, found, start, end in _items(text, masked, 0, len(masked)):
         if kind != "block":
             continue
-        span = found.span(2)
-        labels = [a or b for a, b in _LABEL.findall(text[span[0] : span[1]])]
+        labels = [a or b for a, b in _LABEL.findall(text[slice(*found.span(2))])]
         attributes: dict[str, str] = {}
         for inner, name, a, b in _items(text, masked, start, end):
             if inner == "block":
@@ -239,10 +240,10 @@ def blocks_json(text: str) -> str:
             else:
                 visible = masked[a:b]
                 lead = len(visible) - len(visible.lstrip())
-                source = text[a + lead : a + len(visible.rstrip())]
-                if not source:
+                span = slice(a + lead, a + len(visible.rstrip()))
+                if not text[span]:
                     raise ValueError("missing expression")
-                attributes[name] = _value_json(source)
+                attributes[name] = _value_json(text[span], clean[span])
         out.append({"type": found.group(1), "labels": labels, "attributes": attributes})
     return json.dumps(out, ensure_ascii=False)
 

@@ -61,6 +61,13 @@ def json_members(obj: Column) -> Column:
     return F.transform_values(F.from_json(obj, "MAP<STRING, VARIANT>"), lambda k, v: F.to_json(v))
 
 
+# A bag of plain scalars, by far the most common, needs no rewriting.
+_FLAT = (
+    r'\A\{(?:"[^"\\]*+":(?:"[^"\\\x00-\x1f]*+"|-?\d++(?:\.\d++)?|true|false|null)(?:,(?=")|(?=\})))*+\}\z'
+)
+_COLUMN_KEY = '(?i)"(?:' + "|".join(COLUMN_KEYS) + ')":'
+
+
 def is_column_key(key: Column) -> Column:
     return F.lower(key).isin(COLUMN_KEYS)
 
@@ -75,4 +82,5 @@ def flatten(properties: Column) -> Column:
     flat = F.transform_values(
         members, lambda k, v: F.when(v.startswith("{"), json_text(v)).otherwise(v)
     )
-    return F.coalesce(json_object(flat), F.lit("{}"))
+    as_is = properties.rlike(_FLAT) & ~properties.rlike(_COLUMN_KEY)
+    return F.when(as_is, properties).otherwise(F.coalesce(json_object(flat), F.lit("{}")))

@@ -388,7 +388,7 @@ def vulnerability_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'InstalledVersion', CAST({QTY} AS STRING), 'FixedVersion', '9', 'Severity', {sev}, "
         f"'Title', concat('flaw ', {n}), 'Description', CAST(NULL AS STRING))"
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.expr(_LINE_REPO).alias("repo_name"),
         F.expr(
             "array(named_struct('Target', concat('o', l_orderkey), 'Class', 'lang', 'Type', l_linestatus, 'Vulnerabilities', array("
