@@ -31,8 +31,7 @@ NOT_ENOUGH_TAGS = "Not enough tags to calculate"
 UNKNOWN_TIME = "TIMESTAMP_NTZ '0001-01-01 00:00:00'"
 BRANCH_KINDS = ["branch", "remote"]
 
-# Names of one repository gathered per task, and at most this many names in one row.
-NAME_SALTS = 64
+# About this many ref names at most are gathered into one row.
 NAMES_PER_ROW = 100_000
 
 
@@ -71,25 +70,23 @@ def branch_counts(kept: DataFrame) -> DataFrame:
     return kept.groupBy("repo_name").agg(F.count("*").alias("branch_count"))
 
 
-def branch_names(
-    kept: DataFrame, salts: int = NAME_SALTS, names_per_row: int = NAMES_PER_ROW
-) -> DataFrame:
+def branch_names(kept: DataFrame, names_per_row: int = NAMES_PER_ROW) -> DataFrame:
     """(repo_name, part, whole, names): a repository's sorted ref names as JSON text arrays.
 
-    Names are gathered per (repository, salt).  Repositories of ordinary size then become a
-    single ``whole`` row; larger ones keep one row per salt, so no task holds an unbounded list.
+    A repository of ordinary size is one ``whole`` row.  Larger ones are cut into as many
+    parts as their count asks for, by hash of the name, so no task holds an unbounded list.
     """
-    salt = F.pmod(F.xxhash64("ref_name"), F.lit(salts)).cast("int").alias("part")
-    parts = kept.groupBy("repo_name", salt).agg(
-        F.collect_list("ref_name").alias("names"), F.count("*").alias("n")
+    parts = F.ceil(F.col("branch_count") / F.lit(names_per_row))
+    counted = branch_counts(kept).select("repo_name", parts.alias("parts"))
+    split = kept.join(counted, "repo_name").select(
+        "repo_name",
+        "ref_name",
+        (F.col("parts") == 1).alias("whole"),
+        F.pmod(F.xxhash64("ref_name"), F.col("parts")).cast("int").alias("part"),
     )
-    whole = F.sum("n").over(W.partitionBy("repo_name")) <= names_per_row
-    parts = parts.withColumn("whole", whole)
-    key = F.when(F.col("whole"), F.lit(0)).otherwise(F.col("part")).alias("part")
-    merged = parts.groupBy("repo_name", "whole", key).agg(
-        F.array_sort(F.flatten(F.collect_list("names"))).alias("names")
+    return split.groupBy("repo_name", "whole", "part").agg(
+        F.to_json(F.array_sort(F.collect_list("ref_name"))).alias("names")
     )
-    return merged.select("repo_name", "part", "whole", F.to_json("names").alias("names"))
 
 
 def tag_stats(times: DataFrame) -> DataFrame:
@@ -102,15 +99,37 @@ def tag_stats(times: DataFrame) -> DataFrame:
 
 
 def tag_gaps(times: DataFrame) -> DataFrame:
-    """Consecutive gaps between a repository's tags, in seconds.
+    """Gap in seconds between each tag of a repository and the one before it.
 
     Their mean is (last - first) / (n - 1), which is what the metric uses; this table is for
-    looking at the gaps themselves.
+    looking at the gaps themselves.  Tags of the same second are ordered by name.
+
+    One repository may own most tags, so no window spans a repository's tags: gaps are
+    taken between its distinct seconds within a day, and across days from one row per day.
     """
-    in_order = W.partitionBy("repo_name").orderBy("tagged_at", "tag_name")
-    gap = epoch_seconds(F.col("tagged_at")) - epoch_seconds(F.lag("tagged_at").over(in_order))
-    return times.select("repo_name", "tag_name", "tagged_at", gap.alias("gap_seconds")).where(
-        F.col("gap_seconds").isNotNull()
+    second = F.date_trunc("SECOND", "tagged_at").alias("second")
+    seconds = times.groupBy("repo_name", second).agg(F.min("tag_name").alias("first_name"))
+    seconds = seconds.withColumn("day", F.to_date("second"))
+    within_day = W.partitionBy("repo_name", "day").orderBy("second")
+    days = seconds.groupBy("repo_name", "day").agg(F.max("second").alias("last_second"))
+    earlier = F.lag("last_second").over(W.partitionBy("repo_name").orderBy("day"))
+    days = days.select("repo_name", "day", earlier.alias("day_before"))
+    chained = (
+        seconds.withColumn("same_day", F.lag("second").over(within_day))
+        .join(days, ["repo_name", "day"])
+        .withColumn("previous", F.coalesce("same_day", "day_before"))
+        .select(
+            "repo_name", "second", "first_name",
+            (epoch_seconds(F.col("second")) - epoch_seconds(F.col("previous"))).alias("step"),
+        )
+    )
+    tagged = times.withColumn("second", F.date_trunc("SECOND", F.col("tagged_at")))
+    first = F.col("tag_name") == F.col("first_name")
+    gap = F.when(first, F.col("step")).otherwise(F.lit(0).cast("bigint"))
+    return (
+        tagged.join(chained, ["repo_name", "second"])
+        .select("repo_name", "tag_name", "tagged_at", gap.alias("gap_seconds"))
+        .where(F.col("gap_seconds").isNotNull())
     )
 
 

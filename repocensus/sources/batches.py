@@ -16,19 +16,19 @@ def read_batches(spark: SparkSession, folder: str, multi_line: bool = False) ->
 
     ``multi_line`` reads files holding one (pretty-printed) array each.
     """
-    schema = (
-        "name STRING, type STRING, category STRING, path STRING, repo_name STRING, "
-        "properties STRING, _corrupt_record STRING"
-    )
-    raw = (
-        spark.read.schema(schema)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
+    fields = ", ".join(f"{c}: STRING" for c in FINDING_COLUMNS)
+    texts = (
+        spark.read.option("wholetext", multi_line)
         .option("pathGlobFilter", "*.json")
-        .json(folder)
+        .text(folder)
+    )
+    kind = f"ARRAY<STRUCT<{fields}>>" if multi_line else f"STRUCT<{fields}, _corrupt: STRING>"
+    parsed = texts.select(
+        F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"}).alias("batch")
     )
-    # a bad field alone also marks its record, as a typed decoder would refuse the file
-    return raw.where(F.col("_corrupt_record").isNull()).select(*FINDING_COLUMNS)
+    if multi_line:
+        return parsed.select(F.inline("batch"))
+    return parsed.where(F.col("batch._corrupt").isNull()).select("batch.*").select(*FINDING_COLUMNS)
 
 
 def read_vulnerability_reports(spark: SparkSession, folder: str) -> DataFrame:
