@@ -17,11 +17,7 @@ def read_batches(spark: SparkSession, folder: str, multi_line: bool = False) ->
     ``multi_line`` reads files holding one (pretty-printed) array each.
     """
     fields = ", ".join(f"{c}: STRING" for c in FINDING_COLUMNS)
-    texts = (
-        spark.read.option("wholetext", multi_line)
-        .option("pathGlobFilter", "*.json")
-        .text(folder)
-    )
+    texts = spark.read.text(folder, wholetext=multi_line, pathGlobFilter="*.json")
     kind = f"ARRAY<STRUCT<{fields}>>" if multi_line else f"STRUCT<{fields}, _corrupt: STRING>"
     parsed = texts.select(
         F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"}).alias("batch")
