@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repocensus.functions.configs import yaml_document
 from repocensus.functions.hcl import top_level_blocks
-from repocensus.functions.props import json_members, json_object, json_text, overlay, props
+from repocensus.functions.props import Json, json_members, json_object, json_text, overlay, props
 from repocensus.operators.extractor import Extractor, finding, no_findings
 
 # Which files each format is read from (compared in lower case).
@@ -132,45 +134,50 @@ def deployment_manager() -> Extractor:
     )
 
 
-def terraform() -> Extractor:
-    """Module uses and AWS, Azure and Google resources of top-level blocks."""
-    route = F.col("path").endswith(".tf")
-    blocks = F.col("__tf_blocks")
+# A block rule turns one block struct(type, labels, attributes) into a finding or NULL.
+BlockRule = Callable[[Column], Column]
+
+
+def module_use(block: Column) -> Column:
+    source = F.coalesce(F.try_element_at(block["attributes"], F.lit("source")), F.lit("null"))
+    return F.when(
+        (block["type"] == "module") & (F.size(block["attributes"]) > 0),
+        finding("TF Module", "TF Module Use", "", props(source=Json(source))),
+    )
+
 
-    def resource(block: Column, prefix: str, vendor: str) -> Column:
-        own = {
-            "resource_type": json_text(F.get(block["labels"], F.lit(0))),
-            "vendor": F.lit(f'"{vendor}"'),
-        }
+def provider_resource(prefix: str, vendor: str) -> BlockRule:
+    """Resources of one provider: attributes win over ``resource_type`` and ``vendor``,
+    except for Google, where they stay nested below ``attributes``."""
+
+    def rule(block: Column) -> Column:
+        label = F.get(block["labels"], F.lit(0))
+        own = {"resource_type": json_text(label), "vendor": F.lit(f'"{vendor}"')}
         if vendor == "GCP":
-            own["attributes"] = json_object(block["attributes"])
-            bag = json_object(F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)]))
+            nested = {**own, "attributes": json_object(block["attributes"])}
+            bag = props(**{k: Json(v) for k, v in nested.items()})
         else:
             bag = json_object(overlay(own, block["attributes"]))
-        return finding(f"{vendor} Resource", "Terraform Resource Use", vendor, bag)
+        return F.when(
+            (block["type"] == "resource") & label.startswith(prefix),
+            finding(f"{vendor} Resource", "Terraform Resource Use", vendor, bag),
+        )
 
-    def row(block: Column) -> Column:
-        label = F.get(block["labels"], F.lit(0))
-        source = F.coalesce(F.try_element_at(block["attributes"], F.lit("source")), F.lit("null"))
-        found = F.when(
-            (block["type"] == "module") & (F.size(block["attributes"]) > 0),
-            finding(
-                "TF Module", "TF Module Use", "",
-                F.concat(F.lit('{"source":'), source, F.lit("}")),
-            ),
-        )
-        for prefix, vendor in PROVIDERS:
-            found = found.when(
-                (block["type"] == "resource") & label.startswith(prefix),
-                resource(block, prefix, vendor),
-            )
-        return found
+    return rule
 
+
+def terraform(extra_rules: Sequence[BlockRule] = ()) -> Extractor:
+    """Every rule over every top-level block; a file with a syntax error is silently nothing."""
+    route = F.col("path").endswith(".tf")
+    rules = [module_use, *[provider_resource(*p) for p in PROVIDERS], *extra_rules]
+    rows = F.transform(
+        F.col("__tf_blocks"), lambda b: F.array_compact(F.array(*[rule(b) for rule in rules]))
+    )
     return Extractor(
         name="terraform",
         route=route,
         stages=[{"__tf_blocks": top_level_blocks(F.when(route, F.col("content")))}],
-        findings=F.coalesce(F.array_compact(F.transform(blocks, row)), no_findings()),
+        findings=F.coalesce(F.flatten(rows), no_findings()),
     )
 
 

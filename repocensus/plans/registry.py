@@ -12,7 +12,7 @@ from repocensus import testbed as tb
 from repocensus.functions import paths, props, times
 from repocensus.operators import docker, gitmetrics, iac, languages, manifests, reporting, store
 from repocensus.operators.extractor import Extractor, extract, extract_errors
-from repocensus.operators.matching import match_patterns
+from repocensus.operators.matching import candidate_files, match_patterns
 from repocensus.operators.vulns import vulnerability_findings
 from repocensus.plans import scan as plan
 from repocensus.plans.summary import summarise
@@ -276,7 +276,7 @@ def file_rows(spark, sf):
 
 # --------------------------------------------------------------------------- patterns
 
-_MATCH_SQL = """
+_CANDIDATE_SQL = """
     , c AS (SELECT *, ext IN ('en', 'fr') AS lic_ext,
             regexp_matches(base, '1.en') OR regexp_matches(base, '1.fr') OR regexp_matches(base, '1.de') OR regexp_matches(base, '1.es') AS one,
             regexp_matches(base, '^7+\\d\\.') OR base = '77' AS sevens, regexp_matches(base, '\\.es$') AS es,
@@ -284,6 +284,9 @@ _MATCH_SQL = """
             regexp_full_match(rooted, '.*/src(1|2)/.\\..*', 's') AS src_one,
             regexp_full_match(rooted, '/src1.*/.*', 's') AS both_path FROM b)
     , k AS (SELECT *, lic_ext OR ext = 'de' OR one OR sevens OR es OR en_path OR src_one OR both_path OR ext = 'en' AS candidate FROM c)
+"""
+
+_MATCH_SQL = _CANDIDATE_SQL + """
     SELECT repo_name, path, 'Licensed' AS name, 'Legal' AS category FROM k
         WHERE lic_ext AND (contains(content, 'license') OR regexp_matches(content, 'MIT|Apache'))
     UNION ALL SELECT repo_name, path, 'German', 'Language' FROM k WHERE ext = 'de'
@@ -295,10 +298,9 @@ _MATCH_SQL = """
     UNION ALL SELECT repo_name, path, 'Both', 'Mixed' FROM k WHERE both_path AND ext = 'en'
     UNION ALL SELECT repo_name, path, 'Anything', 'Any' FROM k WHERE candidate"""
 
-DOCUMENT_MATCH_SQL = f"""
+_DOCUMENT_COLUMNS = """
     WITH b AS (SELECT source AS repo_name, '/' || source || '/' || doc_id || '.' || lang AS path, doc_id || '.' || lang AS base,
-                      lang AS ext, '/' || source || '/' || doc_id || '.' || lang AS rooted, text AS content FROM documents)
-    {_MATCH_SQL}"""
+                      lang AS ext, '/' || source || '/' || doc_id || '.' || lang AS rooted, text AS content FROM documents)"""
 
 _PAGE_COLUMNS = """
     WITH u AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS repo_name,
@@ -309,7 +311,7 @@ _PAGE_COLUMNS = """
                    '/' || regexp_replace(path, '^/', '') AS rooted FROM u)"""
 
 
-@register("pattern_matches_documents", DOCUMENT_MATCH_SQL)
+@register("pattern_matches_documents", _DOCUMENT_COLUMNS + _MATCH_SQL)
 def pattern_matches_documents(spark, sf):
     return match_patterns(tb.documents(spark, sf), tb.text_catalogue()).select(
         "repo_name", "path", "name", "category"
@@ -323,6 +325,16 @@ def pattern_matches_pages(spark, sf):
     )
 
 
+@register(
+    "candidate_files",
+    _DOCUMENT_COLUMNS + _CANDIDATE_SQL + " SELECT repo_name, path FROM k WHERE candidate",
+)
+def candidates(spark, sf):
+    """Files some pattern's name, extension or path rule matches; content is never read."""
+    files = tb.documents(spark, sf).select("repo_name", "path")
+    return candidate_files(files, tb.text_catalogue())
+
+
 FRAMEWORK_SQL = f"""
     SELECT {LINE_REPO} AS repo_name, {LINE_DIR} || 'requirements.txt' AS path, p.name, 'Framework' AS type, p.category
     FROM lineitem, (VALUES ('Django', 'Web'), ('Django ORM', 'ORM'), ('Django Security', 'Security')) p(name, category) WHERE l_linenumber = 3
@@ -722,6 +734,31 @@ def latest_repositories(spark, sf):
     return inventory.latest_repositories(tb.listings(spark, sf)).select("full_name", "batch", "payload")
 
 
+@register(
+    "repositories_with_post_scans",
+    f"""WITH failed AS (SELECT DISTINCT 'repo_' || l_suppkey AS repo_name FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 10 = 0),
+        repos AS (SELECT DISTINCT 'repo_' || (user_id % 20) AS repo_name FROM events UNION SELECT 'repo_' || s_suppkey FROM supplier),
+        f AS (SELECT repo_name, 'Docker Directive' AS type, count(*) AS n FROM ({DOCKER_SQL}) GROUP BY 1
+              UNION ALL SELECT {LINE_REPO}, 'VULNERABILITY_SCAN', 2 * count(*) FROM lineitem GROUP BY 1
+              UNION ALL SELECT repo_name, 'git_metric', 13 FROM repos)
+        SELECT type, CAST(sum(n) AS BIGINT) AS findings, count(DISTINCT repo_name) AS repositories FROM f
+        WHERE repo_name NOT IN (SELECT repo_name FROM failed) GROUP BY 1""",
+)
+def repositories_with_post_scans(spark, sf):
+    """File scan, history metrics and vulnerability reports of all repositories, all or nothing each."""
+    history = lambda: gitmetrics.git_metrics(
+        tb.repos(spark, sf), tb.refs(spark, sf), tb.tags(spark, sf), tb.commits(spark, sf)
+    )
+    reports = lambda: vulnerability_findings(tb.vulnerability_reports(spark, sf))
+    found = plan.scan_repositories(
+        _unreadable(tb.dockerfiles(spark, sf)), [history, reports], [docker.dockerfile()]
+    )
+    per_repository = found.groupBy("type", "repo_name").agg(F.count("*").alias("n"))
+    return per_repository.groupBy("type").agg(
+        F.sum("n").alias("findings"), F.count("*").alias("repositories")
+    )
+
+
 # --------------------------------------------------------------------------- store and SQL
 
 

@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from repocensus.functions import configs, hcl
 from repocensus.operators import docker, iac
-from repocensus.operators.extractor import extract, extract_errors
+from repocensus.operators.extractor import extract, extract_errors, finding
 
 
 def rows(files, extractor, path, content):
@@ -179,6 +180,12 @@ def test_terraform(files):
     assert rows(files, iac.terraform(), "main.TF", TF) == []
 
 
+def test_own_block_rule(files):
+    rule = lambda b: F.when(b["type"] == "provider", finding(F.get(b["labels"], F.lit(0)), "TF Provider", "", None))
+    found = extract(files({"a.tf": 'provider "aws" {\n}\nmodule "m" { source = "s" }\n'}), iac.terraform([rule])).collect()
+    assert sorted((r.type, r.name) for r in found) == [("TF Module Use", "TF Module"), ("TF Provider", "aws")]
+
+
 @pytest.mark.parametrize(
     "text",
     ['module "m" {\n source = "a"\n', 'module "m" {\n a = "x\n}\n', "stray words here\n", 'x {\n a = 1\n a = 2\n}\n', "x {\n a = (1\n}\n"],
