@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,16 +45,30 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
+def shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only when that setting is absent, as in tests, does a temporary folder stand in.
+    A local session without that setting, as in tests, gets a temporary folder as its checkpoint
+    folder; on a cluster the setting has to be there, since machines do not share temporary folders.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="repocensus-")
-        spark.conf.set(CHECKPOINT_KEY, base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    chosen = context.getLocalProperty("repocensus.scratch")
+    if chosen:
+        return chosen
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"{CHECKPOINT_KEY} is not set: name a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="repocensus-")
+    context.setCheckpointDir(base)
+    context.setLocalProperty("repocensus.scratch", base)
+    return base
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:
