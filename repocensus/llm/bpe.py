@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
-
-import numpy as np
+import sys
 
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,6 +41,14 @@ def chunks(text: str) -> list[str] | None:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def _little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    numbers = array.array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers."""
 
@@ -49,7 +57,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+        return _little(self.encoding.encode(text, allowed_special="all"))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -64,7 +72,7 @@ class Encoder:
             word = p[1:] if p[:1] == " " else p
             if not word or word[0].isspace() or word[-1].isspace():
                 return self._ids(text)
-            known[p] = self._ids(p)
+            known[p] = _little(self.encoding.encode_ordinary(p))
         return b"".join([known[p] for p in parts])
 
 

@@ -18,8 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repocensus.llm.tables import SPACES, place_of, stored
-from repocensus.session import shared_dir
+from repocensus.llm.tables import SPACES, place_of, scratch_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -42,7 +41,7 @@ def _first() -> Column:
 def digest_state(staged: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     """``digest``, ``first`` (identifier and locator), ``n``: the state after streaming the staged table."""
     spark = staged.sparkSession
-    place = shared_dir(spark, "llm-exact-state")
+    place = scratch_folder(spark, "exact-state")
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repocensus.llm.tables import stored
+from repocensus.llm.tables import Scope, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -24,29 +24,34 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds is logarithmic in the number of nodes. Neighbourhoods are never gathered: a
     minimum is an aggregate that combines in each task, and is joined back to the edges.
     """
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    spark, before, scope = edges.sparkSession, None, Scope()
+    with scope:
+        edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        # Large star: bigger neighbours go to the smallest neighbour.
-        both = _both(edges)
-        lows = _lows(both)
-        large = (
-            both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        )
-        large = stored(large, "large-star")
-        # Small star: smaller neighbours and the node itself go to the smallest of them.
-        lows = _lows(large)
-        small = (
-            large.join(lows, "u")
-            .where("v <> low")
-            .select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .union(lows.select("u", F.col("low").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        edges = stored(small, "small-star")
+        last, scope = scope, Scope()
+        with scope:
+            edges = _round(edges)
         # It is over when a round leaves the same stars.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        last.delete(spark)
         if now == before:
-            return edges.select("u", F.col("v").alias("low"))
+            return stored(edges.select("u", F.col("v").alias("low")), "components")
         before = now
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    # Large star: bigger neighbours go to the smallest neighbour.
+    both = _both(edges)
+    large = both.join(_lows(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    large = stored(large, "large-star")
+    # Small star: smaller neighbours and the node itself go to the smallest of them.
+    lows = _lows(large)
+    small = (
+        large.join(lows, "u")
+        .where("v <> low")
+        .select(F.col("v").alias("u"), F.col("low").alias("v"))
+        .union(lows.select("u", F.col("low").alias("v")))
+        .where("u <> v")
+        .distinct()
+    )
+    return stored(small, "small-star")

@@ -2,7 +2,7 @@
 
 A document's ids (with the end id) are cut into pieces of the sequence length and a rest; pieces are
 classed by length in units of UNIT ids. The driver solves the cutting-stock problem over the
-histogram of classes, at most 256 numbers whatever the corpus: a linear program whose columns are patterns
+histogram of classes, at most 128 numbers whatever the corpus: a linear program whose columns are patterns
 (how many pieces of each class fill a sequence), priced by a knapsack over the capacity. Patterns are
 rounded down, and what is left, fewer pieces than there are patterns times a pattern's, is filled
 first-fit. Then every piece finds its sequence from its rank within its class, so pieces are assigned
@@ -29,7 +29,8 @@ from repocensus.llm.bpe import VOCABULARY, encoder, vocabulary_path
 from repocensus.llm.tables import arrow_batches, stored, utf8
 
 SEQUENCE = 2048
-UNIT = 8
+UNIT = 16
+GAP = 1e-3
 END = np.array([1], "<u4").tobytes()
 ROWS_PER_BUCKET = 20_000
 
@@ -96,12 +97,13 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[dict[int,
         return []
     basis = np.diag((capacity // sizes).astype(float))
     used = wanted / np.diag(basis)
+    inverse = np.diag(1 / np.diag(basis))
     for _ in range(50 * len(sizes) + 200):
-        duals = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        duals = inverse.sum(0)
         value, column = _best_column(duals, sizes, capacity)
-        if value <= 1 + 1e-9:
+        if value <= 1 + GAP:  # the program's optimum is no better than the present value / value
             break
-        change = np.linalg.solve(basis, column)
+        change = (inverse * column).sum(1)
         ratio = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
         leaves = int(ratio.argmin())
         if not np.isfinite(ratio[leaves]):
@@ -109,9 +111,12 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[dict[int,
         used = used - ratio[leaves] * change
         used[leaves] = ratio[leaves]
         basis[:, leaves] = column
+        row = inverse[leaves] / change[leaves]
+        inverse -= change[:, None] * row
+        inverse[leaves] = row
     times = np.floor(np.maximum(used, 0) + 1e-9).astype(np.int64)
     whole = basis.astype(np.int64)
-    left = np.array([demand[s] for s in sizes]) - whole @ times
+    left = np.array([demand[s] for s in sizes]) - (whole * times).sum(1)
     # Rounding in the program's numbers may take a piece too many: give patterns back until none does.
     while (left < 0).any():
         k = int(np.flatnonzero((whole[int(left.argmin())] > 0) & (times > 0))[0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repocensus.session import shared_dir
@@ -11,13 +11,46 @@ from repocensus.session import shared_dir
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+# Folders of the running scope, if there is one.
+_scope: list[str] | None = None
+
+
+class Scope:
+    """Scratch folders made while it is open, to be deleted once nothing reads them any more."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Scope:
+        global _scope
+        self._before, _scope = _scope, self.folders
+        return self
+
+    def __exit__(self, *_) -> None:
+        global _scope
+        _scope = self._before
+
+    def delete(self, spark: SparkSession) -> None:
+        while self.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder in the shared one."""
+    path = shared_dir(spark, f"llm-{purpose}")
+    if _scope is not None:
+        _scope.append(path)
+    return path
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows as a Parquet table below ``spark.checkpoint.dir``.
 
     Cuts lineage like a checkpoint (a lost executor costs no recomputation), keeps columns apart so
     that later reads are pruned, and gives later joins a measured size.
     """
-    path = shared_dir(df.sparkSession, f"llm-{purpose}")
+    path = scratch_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._llm_path = path
