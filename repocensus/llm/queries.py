@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repocensus.llm import exact, mixing, packing, quality, simhash
+from repocensus.llm import exact, lines, lm, mixing, packing, pii, quality, simhash, tokens, urls
 from repocensus.plans.registry import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -24,3 +24,8 @@ _over("documents", "op4_exact_dedup", exact.exact_query, exact.EXACT_SQL)
 _over("documents", "op5_host_quality", quality.quality_query, quality.QUALITY_SQL)
 _over("documents", "op6_packing", packing.packed)
 _over("documents", "op9_mixing", mixing.mix_query)
+_over("documents", "op3_personal_data", pii.pii_query)
+_over("pages", "op7_url_templates", urls.url_query)
+_over("documents", "op8_token_counts", tokens.token_query)
+_over("documents", "op10_kneser_ney", lm.lm_query)
+_over("documents", "op1_line_templates", lines.line_query)
