@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from repocensus.llm.tables import SPACES, place_of, scratch_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Disk-backed state, without disk reserved ahead for each of many small stores.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SALTS = 16
 
 
@@ -42,8 +46,9 @@ def digest_state(staged: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     """``digest``, ``first`` (identifier and locator), ``n``: the state after streaming the staged table."""
     spark = staged.sparkSession
     place = scratch_folder(spark, "exact-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         stream = (
             spark.readStream.schema(staged.schema)
@@ -62,10 +67,8 @@ def digest_state(staged: DataFrame, files_per_batch: int = 1000) -> DataFrame:
         query.awaitTermination()
         state = spark.read.format("statestore").load(place)
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     # The state's values are the aggregates' buffers, in their order.
     low, count = (f"value.`{c}`" for c in state.schema["value"].dataType.names)
     return stored(state.select("key.digest", F.col(low).alias("first"), F.col(count).alias("n")), "exact-groups")
