@@ -255,7 +255,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     takes = mixed(rows, source_targets(rows)).groupBy("locator", "pass").agg(
         F.sum("n_words").alias("words"), F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("parts")
     )
-    words = r"regexp_extract_all(doc.text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 0)"
+    words = r"regexp_extract_all(doc.text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)"
     cut = f"array_join(flatten(transform(parts, p -> slice({words}, CAST(p.start + 1 AS INT), CAST(p.n_words AS INT)))), '')"
     drawn = rows.join(takes, "locator").withColumn("drawn", F.expr(f"IF(words = size, doc.text, {cut})"))
     columns = {"text": F.col("drawn")}

@@ -17,9 +17,9 @@ cell and the cells one count away. Cells are never crossed with themselves at an
 Both are exact: no link between different fingerprints is lost. Copies share a fingerprint and
 are joined as one node.
 
-Null or empty texts and texts without words have fingerprint zero, linked like any other. Rows with
-a null ``doc_id`` count as the smallest possible copies nowhere: they get their fingerprint and the component
-of the others (null if all its ids are null). Empty tables give empty results.
+Null or empty texts and texts without words have fingerprint zero, linked like any other. A row with a
+null ``doc_id`` gets the component of the rows with its fingerprint, null if these have no id. Repeated
+rows share a component; empty tables give empty results; other columns are ignored, or carried in ``doc``.
 """
 
 from __future__ import annotations
@@ -113,7 +113,9 @@ def _survivors(pairs: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (``a``, ``b``) that connect exactly the distinct fingerprints ``fp`` of ``nodes`` within 2 bits."""
-    cells = _cells(pivot_table(nodes.select("fp")))
+    # The table of fingerprints is small, what comes of it is not: dealt out before.
+    dealt = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = _cells(pivot_table(dealt))
     sizes = stored(
         cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"),
         "cells",
@@ -133,7 +135,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` and ``is_first`` material for every row."""
+    """``doc_id``, ``fp`` and ``component_id`` of every row."""
     prints = stored(fingerprints(docs), "fingerprints")
     return components_of(prints)
 
