@@ -124,7 +124,7 @@ def _documents(texts: pd.Series, load) -> pd.DataFrame:
         try:
             rows.append((load(text), None))
         except Exception as failure:  # a malformed file is data, not a job failure
-            rows.append((None, str(failure).splitlines()[0][:200] or type(failure).__name__))
+            rows.append((None, str(failure) or type(failure).__name__))
     return pd.DataFrame(rows, columns=["json", "error"])
 
 

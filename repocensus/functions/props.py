@@ -57,8 +57,18 @@ def overlay(base: dict[str, Column], override: Column) -> Column:
 
 
 def json_members(obj: Column) -> Column:
-    """MAP<STRING, STRING> of a JSON object's members, each value as JSON text."""
-    return F.transform_values(F.from_json(obj, "MAP<STRING, VARIANT>"), lambda k, v: F.to_json(v))
+    """MAP<STRING, STRING> of a JSON object's members, each value as JSON text.
+
+    Of members with the same key the last one counts.
+    """
+    entries = F.map_entries(F.from_json(obj, "MAP<STRING, VARIANT>"))
+    last = F.filter(
+        entries,
+        lambda e, i: ~F.exists(
+            F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
+        ),
+    )
+    return F.transform_values(F.map_from_entries(last), lambda k, v: F.to_json(v))
 
 
 # A bag of plain scalars, by far the most common, needs no rewriting.

@@ -31,9 +31,6 @@ NOT_ENOUGH_TAGS = "Not enough tags to calculate"
 UNKNOWN_TIME = "TIMESTAMP_NTZ '0001-01-01 00:00:00'"
 BRANCH_KINDS = ["branch", "remote"]
 
-# About this many ref names at most are gathered into one row.
-NAMES_PER_ROW = 100_000
-
 
 def _after(when: Column, cutoff: Column) -> Column:
     return (cutoff == NO_CUTOFF) | (epoch_seconds(when) >= cutoff)
@@ -70,22 +67,14 @@ def branch_counts(kept: DataFrame) -> DataFrame:
     return kept.groupBy("repo_name").agg(F.count("*").alias("branch_count"))
 
 
-def branch_names(kept: DataFrame, names_per_row: int = NAMES_PER_ROW) -> DataFrame:
-    """(repo_name, part, whole, names): a repository's sorted ref names as JSON text arrays.
+def branch_names(kept: DataFrame) -> DataFrame:
+    """(repo_name, branch_count, names): a repository's sorted ref names as one JSON text array.
 
-    A repository of ordinary size is one ``whole`` row.  Larger ones are cut into as many
-    parts as their count asks for, by hash of the name, so no task holds an unbounded list.
+    The list is the content of a single finding, so it is as long as the repository's refs are many.
     """
-    parts = F.ceil(F.col("branch_count") / F.lit(names_per_row))
-    counted = branch_counts(kept).select("repo_name", parts.alias("parts"))
-    split = kept.join(counted, "repo_name").select(
-        "repo_name",
-        "ref_name",
-        (F.col("parts") == 1).alias("whole"),
-        F.pmod(F.xxhash64("ref_name"), F.col("parts")).cast("int").alias("part"),
-    )
-    return split.groupBy("repo_name", "whole", "part").agg(
-        F.to_json(F.array_sort(F.collect_list("ref_name"))).alias("names")
+    return kept.groupBy("repo_name").agg(
+        F.count("*").alias("branch_count"),
+        F.to_json(F.array_sort(F.collect_list("ref_name"))).alias("names"),
     )
 
 
@@ -245,24 +234,14 @@ def git_metrics(
     tags: DataFrame,
     commits: DataFrame,
     cutoff: str | None = None,
-    names_per_row: int = NAMES_PER_ROW,
 ) -> DataFrame:
-    """Thirteen ``git_metric`` findings per repository.
-
-    The branch list sits in the Branch Count row; beyond ``names_per_row`` names it follows
-    whole in additional ``Branch Names`` rows instead.
-    """
-    names = branch_names(branches(refs, cutoff), names_per_row=names_per_row)
-    stats = (
+    """Thirteen ``git_metric`` findings per repository; the branch list is in the Branch Count row."""
+    names = branch_names(branches(refs, cutoff)).select("repo_name", "names")
+    return (
         repository_stats(repos, refs, tags, commits, cutoff)
-        .join(names.where("whole").select("repo_name", "names"), "repo_name", "left")
+        .join(names, "repo_name", "left")
         .withColumn("cutoff", cutoff_seconds(cutoff))
         .select("repo_name", F.inline(metric_rows()))
+        .withColumn("path", F.lit(""))
+        .select(*FINDING_COLUMNS)
     )
-    long_list = F.concat(
-        F.lit('{"branches":'), F.col("names"), F.lit(',"part":'), F.col("part").cast("string"),
-        F.lit("}"),
-    )
-    row = finding("Branch Names", "git_metric", "repository_analysis", long_list)
-    listed = names.where(~F.col("whole")).select("repo_name", F.inline(F.array(row)))
-    return stats.unionByName(listed).withColumn("path", F.lit("")).select(*FINDING_COLUMNS)

@@ -18,9 +18,6 @@ VIEW = "Findings"
 JSON_SUMMARY = "cloud_services_summary.json"
 SHEET_SUMMARY = "summary_report"
 
-# Result rows a single report document may hold; larger results stay partitioned JSON.
-DOCUMENT_ROWS = 10_000
-
 
 def register_findings(findings: DataFrame, view: str = VIEW) -> DataFrame:
     """Expose findings to SQL as ``Findings(Name, Type, Category, Path, RepoName, Properties)``."""
@@ -41,31 +38,56 @@ def register_findings(findings: DataFrame, view: str = VIEW) -> DataFrame:
     return table
 
 
-# SQLite spelling -> Spark spelling, applied outside quoted text only.
-_REWRITES = [
-    (re.compile(r"\bLIKE\b", re.I), "ILIKE"),
-    (re.compile(r"\bgroup_concat\s*\(\s*((?:DISTINCT\s+)?[\w.]+)\s*\)", re.I), r"listagg(\1, ',')"),
-    (re.compile(r"\bgroup_concat\s*\(", re.I), "listagg("),
-    (re.compile(r"\bdatetime\s*\(\s*now\s*\)", re.I), "current_timestamp()"),
-    (re.compile(r"\btotal\s*\(", re.I), "sum("),
-]
+# SQLite spelling -> Spark spelling, applied outside quoted text and comments only.
+_REWRITES = [(re.compile(r"\bLIKE\b", re.I), "ILIKE")]
+_VERBATIM = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+_CALL = re.compile(r"\b(group_concat|total|datetime)\s*\(", re.I)
+
+
+def _call(name: str, arguments: str, separators: int) -> str:
+    """A SQLite function call in Spark's spelling; ``separators`` counts its top-level commas."""
+    if name == "group_concat":
+        return f"listagg({arguments})" if separators else f"listagg({arguments}, ',')"
+    if name == "total":
+        return f"coalesce(CAST(sum({arguments}) AS DOUBLE), 0D)"
+    if arguments.strip() == "'now'":
+        return "date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')"
+    return f"datetime({arguments})"
+
+
+def _calls(query: str) -> str:
+    """Rewrites calls from the last one to the first, so that nested ones are done before."""
+    masked = _VERBATIM.sub(lambda m: "\0" * len(m[0]), query)
+    for start in reversed(list(_CALL.finditer(masked))):
+        depth, commas, at = 1, 0, start.end()
+        while depth and at < len(masked):
+            depth += {"(": 1, ")": -1}.get(masked[at], 0)
+            commas += depth == 1 and masked[at] == ","
+            at += 1
+        if depth:
+            continue
+        new = _call(start[1].lower(), query[start.end() : at - 1], commas)
+        query = query[: start.start()] + new + query[at:]
+        masked = _VERBATIM.sub(lambda m: "\0" * len(m[0]), query)
+    return query
 
 
 def spark_sql(query: str) -> str:
     """A SQLite-flavoured query in Spark's spelling.
 
-    Covers what report queries use: case-insensitive LIKE, group_concat, double-quoted
-    identifiers, a trailing semicolon.  Everything relational is the same in both.
+    Covers what report queries use: case-insensitive LIKE, group_concat, total, datetime('now'),
+    comments, double-quoted identifiers, a trailing semicolon.  Everything relational is the same.
     """
-    parts = re.split(r"('(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`)", query.strip().rstrip(";"))
-    out = []
-    for i, part in enumerate(parts):
-        if i % 2 == 0:
-            for pattern, replacement in _REWRITES:
-                part = pattern.sub(replacement, part)
-        elif part.startswith('"'):
-            part = f"`{part[1:-1]}`"
-        out.append(part)
+    query = _calls(query.strip().rstrip(";"))
+    out, at = [], 0
+    for verbatim in [*_VERBATIM.finditer(query), None]:
+        code = query[at : verbatim.start() if verbatim else len(query)]
+        for pattern, replacement in _REWRITES:
+            code = pattern.sub(replacement, code)
+        out.append(code)
+        if verbatim:
+            text, at = verbatim[0], verbatim.end()
+            out.append(f"`{text[1:-1]}`" if text.startswith('"') else text)
     return "".join(out)
 
 
@@ -123,46 +145,47 @@ def sorted_row_json(df: DataFrame) -> DataFrame:
     return df.select(row.alias("row"))
 
 
-def write_json_summary(
-    results: dict[str, DataFrame],
-    out: str,
-    prefix: str,
-    document_rows: int = DOCUMENT_ROWS,
-) -> str | None:
+def write_json_summary(results: dict[str, DataFrame], out: str, prefix: str) -> str | None:
     """Write ``<out>/<prefix>_cloud_services_summary.json``: query name to result rows.
 
-    Queries without rows are left out and no queries mean no document.  A result of more
-    than ``document_rows`` rows is written in parallel next to the document, which then
-    names that folder instead of holding the rows.
+    Queries without rows are left out and no queries mean no document.  Rows stream into the
+    document one partition at a time, so the driver never holds a whole result.
     """
     if not results:
         return None
     spark = next(iter(results.values())).sparkSession
     target = f"{(out or '.').rstrip('/')}/{prefix}_{JSON_SUMMARY}"
-    members = []
-    for name in sorted(results):
-        head = [r["row"] for r in sorted_row_json(results[name]).limit(document_rows + 1).collect()]
-        if not head:
-            continue
-        if len(head) <= document_rows:
-            rows = ",\n".join("    " + r for r in head)
-            members.append(f"  {json.dumps(name)}: [\n{rows}\n  ]")
-        else:
-            folder = f"{target}.rows/{name}"
-            results[name].write.mode("overwrite").json(folder)
-            members.append(f"  {json.dumps(name)}: {json.dumps({'rows_in': folder})}")
-    write_text(spark, target, "{\n" + ",\n".join(members) + "\n}\n")
+
+    def pieces():
+        before = "{\n"
+        for name in sorted(results):
+            opened = False
+            for r in sorted_row_json(results[name]).toLocalIterator():
+                lead = ",\n    " if opened else f"{before}  {json.dumps(name)}: [\n    "
+                opened, before = True, ",\n"
+                yield lead + r["row"]
+            if opened:
+                yield "\n  ]"
+        yield "\n}\n" if before != "{\n" else "{\n\n}\n"
+
+    write_pieces(spark, target, pieces())
     return target
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file through the Hadoop file system, so that any shared storage works."""
+    """A small file (see :func:`write_pieces`)."""
+    write_pieces(spark, path, [text])
+
+
+def write_pieces(spark: SparkSession, path: str, pieces: Iterable[str]) -> None:
+    """A file through the Hadoop file system, so that any shared storage works."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     stream = fs.create(target, True)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        for piece in pieces:
+            stream.write(bytearray(piece.encode("utf-8")))
     finally:
         stream.close()
 
@@ -203,9 +226,13 @@ def delivery_payloads(findings: DataFrame, report_id: str) -> DataFrame:
 def deliver(findings: DataFrame, out: str, report_id: str) -> str:
     """Payload files under ``report_id=<id>``, then a completion marker.
 
-    A failed batch fails the write job, and then no marker appears.
+    A failed batch fails the write job, and then no marker appears: one of an earlier delivery
+    goes before anything is written.
     """
     folder = f"{out.rstrip('/')}/report_id={report_id}"
+    marker = findings.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/_COMPLETED")
+    conf = findings.sparkSession._jsc.hadoopConfiguration()
+    marker.getFileSystem(conf).delete(marker, False)
     delivery_payloads(findings, report_id).select("payload").write.mode("overwrite").text(
         f"{folder}/results"
     )

@@ -17,7 +17,7 @@ from repocensus.operators.vulns import vulnerability_findings
 from repocensus.plans import scan as plan
 from repocensus.plans.summary import summarise
 from repocensus.session import shared_dir
-from repocensus.sources import batches, catalogue, filetree, inventory
+from repocensus.sources import batches, catalogue, inventory
 from repocensus.streaming import activity, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,7 +575,7 @@ def branch_counts(spark, sf):
        SELECT repo_name, '["' || string_agg(ref, '","' ORDER BY ref) || '"]' AS names FROM r GROUP BY 1""",
 )
 def branch_names(spark, sf):
-    """Refs per repository as one list, and in parts where a list outgrows a row."""
+    """Refs per repository as one list."""
     kept = gitmetrics.branches(tb.refs(spark, sf))
     return gitmetrics.branch_names(kept).select("repo_name", "names")
 
@@ -951,17 +951,6 @@ def service_list(spark, sf):
     return batches.services(text)
 
 
-@register(
-    "directory_files",
-    """SELECT DISTINCT table_name || '.parquet' AS base_name, 'parquet' AS ext FROM information_schema.tables WHERE table_name IN
-       ('region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations')""",
-)
-def directory_files(spark, sf):
-    """The test table folder itself as a file tree (names only)."""
-    tree = filetree.read_directory(spark, sf, content=False)
-    return paths.with_path_columns(tree).select("base_name", "ext")
-
-
 # --------------------------------------------------------------------------- streams
 
 

@@ -19,9 +19,6 @@ READ_SCHEMA = (
     "content_patterns ARRAY<STRING>, properties STRING"
 )
 
-# A catalogue is configuration. More patterns than this will not be turned into expressions.
-MAX_PATTERNS = 20_000
-
 
 @dataclass(frozen=True)
 class Pattern:
@@ -82,13 +79,11 @@ def read_patterns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def to_catalogue(patterns: DataFrame, max_patterns: int = MAX_PATTERNS) -> Catalogue:
-    """Bring a pattern table to the driver, refusing one that is not configuration-sized."""
+def to_catalogue(patterns: DataFrame) -> Catalogue:
+    """Bring a pattern table, which is configuration, to the driver."""
     if "source_file" in patterns.columns:
         patterns = patterns.orderBy("source_file")
-    rows = patterns.limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"pattern table exceeds {max_patterns} rows; match it in slices")
+    rows = patterns.collect()
     return Catalogue(tuple(_pattern(r.asDict(recursive=True)) for r in rows))
 
 

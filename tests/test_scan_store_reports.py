@@ -144,8 +144,6 @@ def test_json_summary(spark, tmp_path):
     whole = json.load(open(reporting.write_json_summary(results, str(tmp_path), "pre")))
     assert set(whole) == {"all", "one"} and len(whole["all"]) == 25 and whole["one"] == [{"Name": "n1", "x": None}]
     assert os.path.exists(tmp_path / "pre_cloud_services_summary.json")
-    split = json.load(open(reporting.write_json_summary(results, str(tmp_path), "big", document_rows=10)))
-    assert spark.read.json(split["all"]["rows_in"]).count() == 25
     assert reporting.write_json_summary({}, str(tmp_path), "x") is None
     assert batches.read_queries("") == []
 
@@ -226,3 +224,37 @@ def test_path_columns(spark):
     df = spark.createDataFrame([(p,) for p in cases], "path string")
     got = {r.path: (r.base_name, r.ext, r.rooted_path) for r in paths.with_path_columns(df).collect()}
     assert got == cases
+
+
+def test_sqlite_spellings(spark):
+    reporting.register_findings(sample(spark, 25))
+    run = lambda q: [tuple(r) for r in reporting.run_query(spark, q).collect()]
+    assert run("SELECT group_concat(upper(Name)) AS n FROM Findings WHERE Name = 'n1' -- don't stop\n AND Name LIKE 'N1'") == [("N1",)]
+    assert run("SELECT total(length(Name)) AS t FROM Findings WHERE Name = 'no such'") == [(0.0,)]
+    assert len(run("SELECT datetime('now') AS d")[0][0]) == 19
+
+
+def test_a_failing_redelivery_leaves_no_marker(spark, tmp_path):
+    found = sample(spark, 3)
+    folder = reporting.deliver(found, str(tmp_path), "r")
+    assert os.path.exists(f"{folder}/_COMPLETED")
+    from pyspark.sql import functions as F
+
+    with pytest.raises(Exception, match="broken"):
+        reporting.deliver(found.withColumn("name", F.raise_error(F.lit("broken")).cast("string")), str(tmp_path), "r")
+    assert not os.path.exists(f"{folder}/_COMPLETED")
+
+
+def test_empty_types_survive_the_store(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store.create_store(sample(spark, 4).withColumn("type", F.lit("")), str(tmp_path / "s"), "run")
+    assert {r.type for r in store.read_store(spark, str(tmp_path / "s")).collect()} == {""}
+
+
+def test_repeated_keys_take_the_last_value(spark):
+    from repocensus.functions.props import flatten
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([('{"x":{"y":1},"x":2,"z":"a"}',)], "p string")
+    assert df.select(flatten(F.col("p")).alias("p")).first().p == '{"x":2,"z":"a"}'
