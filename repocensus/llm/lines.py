@@ -30,9 +30,11 @@ FIELD = "<*>"
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``locator``, ``doc_id``, ``line`` (0-based) and ``masked`` of every line long enough."""
-    line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "raw")
-    masked = F.regexp_replace(F.trim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
-    rows = docs.select("locator", "doc_id", line).select("locator", "doc_id", "line", masked.alias("masked"))
+    # Patterns run once over whole texts, before lines exist; what follows per line is plain string work.
+    single = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09\x0B-\x0D]+", " ")
+    fields = F.regexp_replace(single, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", FIELD)
+    line = F.posexplode(F.split(fields, "\n", -1)).alias("line", "raw")
+    rows = docs.select("locator", "doc_id", line).select("locator", "doc_id", "line", F.trim("raw").alias("masked"))
     # The number of tokens is that of blanks and one; no array is needed to know it.
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     lead = F.substring_index("masked", " ", LEAD)
