@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repocensus.llm.tables import stored
+from repocensus.llm.tables import Scope, stored
 
 LEAD = 3
 MIN_TOKENS = 8
@@ -43,20 +43,22 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(``locator``, ``line``) of the lines to drop; ``docs`` has ``locator``, ``doc_id`` and ``text``."""
+    # Tables that later ones replace are deleted as soon as these are written.
+    spark, until_templates, until_named = docs.sparkSession, Scope(), Scope()
     lines = _lines(docs)
-    ids = stored(lines.select("locator", "doc_id", "line", "leaf", F.xxhash64("masked").alias("same")), "lines")
+    with until_named:
+        ids = stored(lines.select("locator", "doc_id", "line", "leaf", F.xxhash64("masked").alias("same")), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("locator").alias("locator"))).alias("first")
-    variants = stored(ids.groupBy("leaf", "same").agg(F.min("locator").alias("sample"), F.count("*").alias("n")), "line-variants")
+    with until_named:
+        variants = stored(ids.groupBy("leaf", "same").agg(F.min("locator").alias("sample"), F.count("*").alias("n")), "line-variants")
     busy = variants.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
 
     # One sample of each different line of the busy leaves, as tokens.
     wanted = variants.join(busy, "leaf", "left_semi").select(F.col("sample").alias("locator"), "leaf", "same")
     samples = lines.withColumn("same", F.xxhash64("masked")).join(wanted, ["locator", "leaf", "same"], "left_semi").dropDuplicates(["leaf", "same"])
-    tokens = stored(
-        samples.select("leaf", "same", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
-        .select("leaf", "same", "place", F.xxhash64("token").alias("token")),
-        "line-tokens",
-    )
+    split = samples.select("leaf", "same", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
+    with until_templates:
+        tokens = stored(split.select("leaf", "same", "place", F.xxhash64("token").alias("token")), "line-tokens")
     shared = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1")
     # A template is its kept tokens with their places: their hashes add up without an order.
     kept = tokens.join(shared, ["leaf", "place", "token"], "left_semi")
@@ -68,12 +70,12 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         template.join(sizes, ["leaf", "same"]).where(F.col("constant") >= SIMILAR * F.col("all"))
         .select("leaf", "same", F.xxhash64("leaf", "constant", F.col("sum").cast("string"), "xor").alias("template"))
     )
-    of_variant = stored(
-        variants.select("leaf", "same").join(general, ["leaf", "same"], "left")
-        .select("leaf", "same", F.coalesce("template", F.xxhash64("leaf", "same")).alias("template")),
-        "line-templates",
-    )
+    every = variants.select("leaf", "same").join(general, ["leaf", "same"], "left")
+    with until_named:
+        of_variant = stored(every.select("leaf", "same", F.coalesce("template", F.xxhash64("leaf", "same")).alias("template")), "line-templates")
+    until_templates.delete(spark)
     named = stored(ids.join(of_variant, ["leaf", "same"]).select("locator", "doc_id", "line", "template"), "line-named")
+    until_named.delete(spark)
     # Documents of a template: first and last differ exactly if there are two or more.
     per_doc = named.groupBy("template", "locator").agg(F.min("doc_id").alias("doc_id"))
     owners = per_doc.groupBy("template").agg(first, F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
