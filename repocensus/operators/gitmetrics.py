@@ -122,14 +122,14 @@ def tag_gaps(times: DataFrame) -> DataFrame:
     )
 
 
-def daily_commits(commits: DataFrame) -> DataFrame:
-    """Commits per repository and day of the committer's own clock."""
+def daily_commits(commits: DataFrame, *also: str) -> DataFrame:
+    """Commits per repository and day of the committer's own clock (and per other columns)."""
     clock = own_clock(F.col("committer_when"), F.col("tz_offset_minutes"))
     seconds = epoch_seconds(F.col("committer_when"))
     offset = F.col("tz_offset_minutes")
     return (
         distinct_commits(commits)
-        .groupBy("repo_name", day_key(clock).alias("day"))
+        .groupBy("repo_name", day_key(clock).alias("day"), *also)
         .agg(
             F.count("*").alias("n"),
             F.min(seconds).alias("first_commit"),
@@ -158,31 +158,52 @@ def contributors(commits: DataFrame) -> DataFrame:
 
 
 def commit_stats(commits: DataFrame) -> DataFrame:
-    """Totals and first/last commit per repository from the daily table."""
-    daily = daily_commits(commits)
-    totals = daily.groupBy("repo_name").agg(
-        F.sum("n").alias("total_commits"),
+    """Totals, first/last commit, activity and contributors per repository, in one pass over the commits.
+
+    The table of (repository, day, author) is put under its day, week, month and author at once;
+    a repository's values then come from the groups of each kind.
+    """
+    date = F.to_date("day", "yyyy-MM-dd")
+    keys = {"day": F.col("day"), "week": week_key(date), "month": month_key(date), "author": F.col("author_email")}
+    kinds = [F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key")) for kind, key in keys.items()]
+    per_key = (
+        daily_commits(commits, "author_email")
+        .select("*", F.explode(F.array(*kinds)).alias("at"))
+        .groupBy("repo_name", "at.kind", "at.key")
+        .agg(F.sum("n").alias("n"), *_first_and_last())
+    )
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    activity = []
+    for period in ("day", "week", "month"):
+        total, groups = F.sum(of(period, F.col("n"))), F.count(of(period, F.lit(1)))
+        activity.append(F.max(of(period, F.col("n"))).alias(f"max_per_{period}"))
+        activity.append((total.cast("double") / groups.cast("double")).alias(f"avg_per_{period}"))
+    return per_key.groupBy("repo_name").agg(
+        F.sum(of("day", F.col("n"))).alias("total_commits"),
+        *_first_and_last(),
+        *activity,
+        F.count(of("author", F.lit(1))).alias("contributors"),
+    )
+
+
+def _first_and_last() -> list[Column]:
+    return [
         F.min("first_commit").alias("first_commit"),
         F.max("last_commit").alias("last_commit"),
         F.min_by("first_offset", "first_commit").alias("first_offset"),
         F.max_by("last_offset", "last_commit").alias("last_offset"),
-    )
-    for period in ("day", "week", "month"):
-        totals = totals.join(period_activity(daily, period), "repo_name", "left")
-    return totals
+    ]
 
 
 def repository_stats(
     repos: DataFrame, refs: DataFrame, tags: DataFrame, commits: DataFrame, cutoff: str | None = None
 ) -> DataFrame:
     """One wide row of metric values per repository, present even without any history."""
-    kept_commits = commits_after(commits, cutoff)
     return (
         repos.select("repo_name").distinct()
-        .join(branch_counts(branches(refs, cutoff)), "repo_name", "left")
+        .join(branch_names(branches(refs, cutoff)), "repo_name", "left")
         .join(tag_stats(tag_times(tags, cutoff)), "repo_name", "left")
-        .join(commit_stats(kept_commits), "repo_name", "left")
-        .join(contributors(kept_commits), "repo_name", "left")
+        .join(commit_stats(commits_after(commits, cutoff)), "repo_name", "left")
     )
 
 
@@ -236,10 +257,8 @@ def git_metrics(
     cutoff: str | None = None,
 ) -> DataFrame:
     """Thirteen ``git_metric`` findings per repository; the branch list is in the Branch Count row."""
-    names = branch_names(branches(refs, cutoff)).select("repo_name", "names")
     return (
         repository_stats(repos, refs, tags, commits, cutoff)
-        .join(names, "repo_name", "left")
         .withColumn("cutoff", cutoff_seconds(cutoff))
         .select("repo_name", F.inline(metric_rows()))
         .withColumn("path", F.lit(""))

@@ -842,8 +842,10 @@ queries:
   - name: shared
     query: |
       WITH l AS (SELECT DISTINCT RepoName, Name FROM Findings WHERE Type = 'Library'),
-           n AS (SELECT Name AS library, COUNT(*) AS repositories FROM l GROUP BY Name HAVING COUNT(*) > 1)
-      SELECT library, repositories, RANK() OVER (ORDER BY repositories DESC) AS place FROM n
+           n AS (SELECT Name AS library, COUNT(*) AS repositories FROM l GROUP BY Name HAVING COUNT(*) > 1),
+           c AS (SELECT repositories, COUNT(*) AS libraries FROM n GROUP BY repositories),
+           r AS (SELECT repositories, 1 + SUM(libraries) OVER (ORDER BY repositories DESC) - libraries AS place FROM c)
+      SELECT n.library, n.repositories, r.place FROM n JOIN r ON n.repositories = r.repositories
 """
     return reporting.run_queries(spark, batches.read_queries(text))["shared"]
 
@@ -967,12 +969,11 @@ def incremental_scan(spark, sf):
 
 @register(
     "streamed_commit_activity",
-    """WITH e AS (SELECT 'repo_' || (user_id % 20) AS repo_name, event_id, strftime(ts, '%Y-%m-%d') AS day FROM events)
-       , closed AS (SELECT max(ts) - INTERVAL 2 DAY AS w FROM events)
-       SELECT repo_name, day, count(*) AS commits FROM e, closed WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= w GROUP BY 1, 2""",
+    """SELECT 'repo_' || (user_id % 20) AS repo_name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS commits
+       FROM events GROUP BY 1, 2""",
 )
 def streamed_commit_activity(spark, sf):
-    """Final days of the commit stream: those the watermark has passed."""
+    """All days of the commit stream."""
     base = shared_dir(spark, "activity")
     tb.commits(spark, sf).select(
         "repo_name", "hash", F.to_timestamp("committer_when").alias("committer_when")
@@ -981,8 +982,8 @@ def streamed_commit_activity(spark, sf):
         f"{base}/commits"
     )
     activity.write_activity(
-        activity.daily_activity(stream), f"{base}/out", f"{base}/state"
+        activity.distinct_activity(stream), f"{base}/out", f"{base}/state"
     ).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(
+    return activity.daily_activity(spark, f"{base}/out").select(
         "repo_name", F.date_format("day_start", "yyyy-MM-dd").alias("day"), "commits"
     )
