@@ -139,7 +139,7 @@ def quality_stage(docs: DataFrame) -> DataFrame:
 
 def quality_query(docs: DataFrame) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    # The text is needed for measuring only: here the stored table has ids and counts.
+    # Other columns are not staged.
     slim = docs.select("doc_id", "text", "source")
     return host_quality(slim).select(F.col("doc.doc_id").alias("doc_id"), *columns[1:])
 
