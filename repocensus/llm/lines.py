@@ -31,7 +31,8 @@ FIELD = "<*>"
 def _lines(docs: DataFrame) -> DataFrame:
     """``locator``, ``doc_id``, ``line`` (0-based) and ``masked`` of every line long enough."""
     # Patterns run once over whole texts, before lines exist; what follows per line is plain string work.
-    single = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09\x0B-\x0D]+", " ")
+    # A blank alone is no match: most gaps are that, and are left as they are.
+    single = F.regexp_replace(F.coalesce("text", F.lit("")), r"\x20[\x20\x09\x0B-\x0D]++|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+", " ")
     fields = F.regexp_replace(single, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", FIELD)
     line = F.posexplode(F.split(fields, "\n", -1)).alias("line", "raw")
     rows = docs.select("locator", "doc_id", line).select("locator", "doc_id", "line", F.trim("raw").alias("masked"))
