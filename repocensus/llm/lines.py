@@ -51,7 +51,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         ids = stored(lines.select("locator", "doc_id", "line", "leaf", F.xxhash64("masked").alias("same")), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("locator").alias("locator"))).alias("first")
     with until_named:
-        variants = stored(ids.groupBy("leaf", "same").agg(F.min("locator").alias("sample"), F.count("*").alias("n")), "line-variants")
+        variants = stored(ids.groupBy("leaf", "same").agg(F.min("locator").alias("sample"), F.count("*").alias("n")), "line-variants", shuffles_go=True)
     busy = variants.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
 
     # One sample of each different line of the busy leaves, as tokens.
@@ -59,7 +59,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     samples = lines.withColumn("same", F.xxhash64("masked")).join(wanted, ["locator", "leaf", "same"], "left_semi").dropDuplicates(["leaf", "same"])
     split = samples.select("leaf", "same", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
     with until_templates:
-        tokens = stored(split.select("leaf", "same", "place", F.xxhash64("token").alias("token")), "line-tokens")
+        tokens = stored(split.select("leaf", "same", "place", F.xxhash64("token").alias("token")), "line-tokens", shuffles_go=True)
     shared = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1")
     # A template is its kept tokens with their places: their hashes add up without an order.
     kept = tokens.join(shared, ["leaf", "place", "token"], "left_semi")
@@ -73,9 +73,9 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     )
     every = variants.select("leaf", "same").join(general, ["leaf", "same"], "left")
     with until_named:
-        of_variant = stored(every.select("leaf", "same", F.coalesce("template", F.xxhash64("leaf", "same")).alias("template")), "line-templates")
+        of_variant = stored(every.select("leaf", "same", F.coalesce("template", F.xxhash64("leaf", "same")).alias("template")), "line-templates", shuffles_go=True)
     until_templates.delete(spark)
-    named = stored(ids.join(of_variant, ["leaf", "same"]).select("locator", "doc_id", "line", "template"), "line-named")
+    named = stored(ids.join(of_variant, ["leaf", "same"]).select("locator", "doc_id", "line", "template"), "line-named", shuffles_go=True)
     until_named.delete(spark)
     # Documents of a template: first and last differ exactly if there are two or more.
     per_doc = named.groupBy("template", "locator").agg(F.min("doc_id").alias("doc_id"))

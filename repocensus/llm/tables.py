@@ -44,14 +44,25 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+# Lets a query's shuffle files go when it ends, not when the driver next collects garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, purpose: str, shuffles_go: bool = False) -> DataFrame:
     """The same rows as a Parquet table below ``spark.checkpoint.dir``.
 
     Cuts lineage like a checkpoint (a lost executor costs no recomputation), keeps columns apart so
-    that later reads are pruned, and gives later joins a measured size.
+    that later reads are pruned, and gives later joins a measured size. With ``shuffles_go`` the shuffle
+    files of the write, which nothing reads after it, are deleted at its end.
     """
     path = scratch_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(SHUFFLES_GO)
+    if shuffles_go:
+        df.sparkSession.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(SHUFFLES_GO, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._llm_path = path
     return table
