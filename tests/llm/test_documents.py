@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from repocensus.llm import exact, lines, lm, mixing, packing, pii, quality, simhash, tokens
+from repocensus.llm import exact, lines, lm, mixing, near, packing, pii, quality, simhash, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 QUERIES = [
@@ -314,3 +314,51 @@ def test_lines(hard_docs):
             if len(line.split()) >= lines.MIN_TOKENS and first.setdefault(line, d.doc_id) != d.doc_id:
                 assert i in found[d.doc_id].dropped
         assert found[d.doc_id].text.count("\n") <= (d.text or "").count("\n")
+
+
+def _shingle_set(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_stage(spark, hard_docs):
+    """Edited copies of five-word similarity 0.8 go, those just below it stay; the rest as by brute force."""
+    import random
+
+    draw = random.Random(11)
+    edited = []
+    for i in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(200)]
+        for copy, edits in enumerate((0, 3, 12)):
+            changed = list(words)
+            for at in range(edits):
+                changed[7 + 16 * at] = "edited"
+            edited.append((5000 + 10 * i + copy, " ".join(changed), None, None, None, None, None, None))
+    docs = hard_docs.union(spark.createDataFrame(edited, hard_docs.schema))
+    sets = {d.doc_id: _shingle_set(d.text) for d in docs.collect() if d.doc_id is not None}
+    ids, low = sorted(sets), {i: i for i in sets}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= near.SIMILAR * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((low[a], low[b]))
+                low = {i: x if v == y else v for i, v in low.items()}
+    kept = near.near_stage(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(low.values()))
+    assert {5000 + 10 * i for i in range(40)} < set(low.values()) and 5001 not in low.values() and 5002 in low.values()
+    assert near.near_stage(docs.limit(0)).collect() == []
+
+
+def test_dense_groups_of_near_copies(spark):
+    """Hundreds of near copies, more than a cell crosses, become one document."""
+    import random
+
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(400):
+        changed = list(words)
+        changed[draw.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(changed)))
+    assert [r.doc_id for r in near.near_stage(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
