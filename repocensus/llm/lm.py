@@ -4,9 +4,7 @@
   place there. Pairs of ids are then counted, and all statistics (counts of counts, followers,
   predecessors) come from all pairs of the training texts.
 * Discounts are the modified Kneser-Ney ones at both orders; the lower order uses continuation counts and falls
-  back to the uniform distribution, which leaves mass for unknown words. Pairs seen once are not stored (the usual
-  pruning of the highest order, MIN_PAIR): their mass goes to the back-off weight, so that
-  probabilities still sum to one.
+  back to the uniform distribution, which leaves mass for unknown words. Every pair is stored, those seen once too.
 * The arrays are cut into parts by hash; workers map them into memory from the shared folder (or from a local
   copy, where the shared folder is no mounted file system) and look batches up at once.
 
@@ -39,7 +37,6 @@ END, START = b"", b"\n<start>"  # no word can be either
 PART_WORDS = 1 << 20
 SLOT_BITS = 21
 PART_PAIRS = 1 << 21
-MIN_PAIR = 2
 SALTS = 4
 BUFFER = 4_000_000
 
@@ -237,9 +234,8 @@ def train(texts: DataFrame) -> Model:
         size = len(_mapped(folder, f"words-{number}", "<u8"))
         column = lambda name: np.nan_to_num(table.column(name).to_numpy(zero_copy_only=False).astype(float))
         n1, n2, n3, all_, k = (column(c) for c in ("n1", "n2", "n3", "total", "k"))
-        single = 1.0 if MIN_PAIR > 1 else discounts[0]  # pairs that are not stored give all their mass
         weight = np.ones(size)
-        weight[slot] = np.where(all_ > 0, (single * n1 + discounts[1] * n2 + discounts[2] * n3) / np.maximum(all_, 1), 1.0)
+        weight[slot] = np.where(all_ > 0, (discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3) / np.maximum(all_, 1), 1.0)
         totals, low = np.ones(size), np.full(size, unknown)
         totals[slot] = np.maximum(all_, 1)
         taken = np.where(k >= 3, lower[2], np.where(k >= 2, lower[1], np.where(k >= 1, lower[0], 0)))
@@ -250,8 +246,7 @@ def train(texts: DataFrame) -> Model:
 
     stats.withColumn("part", F.shiftright("id", SLOT_BITS)).groupBy("part").applyInArrow(write_stats, "part bigint").write.format("noop").mode("overwrite").save()
 
-    often = pairs.where(F.col("c") >= MIN_PAIR)
-    parts = 1 << _bits(often.count(), PART_PAIRS)
+    parts = 1 << _bits(pairs.count(), PART_PAIRS)
 
     def write_pairs(table: pa.Table) -> pa.Table:
         number, keys = table.column("part")[0].as_py(), table.column("pair").to_numpy()
@@ -261,7 +256,7 @@ def train(texts: DataFrame) -> Model:
         return pa.table({"part": [number]})
 
     of_pair = F.pmod(F.shiftright("pair", 32) + F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(parts)).alias("part")
-    often.select("pair", "c", of_pair).groupBy("part").applyInArrow(write_pairs, "part bigint").write.format("noop").mode("overwrite").save()
+    pairs.select("pair", "c", of_pair).groupBy("part").applyInArrow(write_pairs, "part bigint").write.format("noop").mode("overwrite").save()
     return Model(folder, bits, total, distinct, parts, discounts, unknown)
 
 

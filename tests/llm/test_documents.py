@@ -301,6 +301,26 @@ def test_language_model_is_a_distribution(spark):
         assert chance.sum() + weight[0] * model.unknown == pytest.approx(1)
 
 
+def test_language_model_keeps_pairs_seen_once(spark):
+    """Probabilities are the interpolated ones counted in plain Python, with pairs seen once in them."""
+    texts = [b"a b a b c", b"a b d e a c", b"b a b", b"c c a b e", b"d a", b"e b a"]
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "bytes binary"))
+    counts = Counter()
+    for t in texts:
+        counts.update(zip([lm.START, *t.split()], [*t.split(), lm.END], strict=True))
+    once = [pair for pair, n in counts.items() if n == 1]
+    assert once
+    less = lambda n: model.discounts[min(n, 3) - 1]
+    words = sorted({w for pair in counts for w in pair})
+    ids = dict(zip(words, lm._ids(model, words).tolist(), strict=True))
+    for u in {a for a, _ in counts}:
+        first = np.array([ids[u]])
+        total = sum(n for (a, _), n in counts.items() if a == u)
+        assert lm._by_id(model, "weights", "<f8", first, 1.0)[0] == pytest.approx(sum(less(n) for (a, _), n in counts.items() if a == u) / total)
+    for u, w in once:
+        assert lm._pair_mass(model, np.array([ids[u]]), np.array([ids[w]]))[0] == pytest.approx(1 - less(1))
+
+
 def test_lines(hard_docs):
     rows = lines.deduplicated_lines(hard_docs).collect()
     assert len(rows) == hard_docs.count()
