@@ -7,10 +7,11 @@ whose template keeps at least SIMILAR of its tokens belongs to it; others stand
 template therefore agree in at least SIMILAR of their places.
 
 A template found in MIN_DOCS documents or more recurs: its lines are dropped, but for those of the
-first document (smallest ``doc_id``, null last) that has it. Lines with fewer than MIN_TOKENS tokens recur
-by chance and are kept. Everything is DataFrame functions; a leaf is never gathered, its tokens are counted.
+first document (smallest ``doc_id``, null last) that has it. Lines with fewer than MIN_TOKENS tokens are not
+generalised: they are leaves of their own, recurring as they are but for tokens with digits. Lines without tokens and
+short lines of nothing but such tokens are no template. Everything is DataFrame functions; a leaf is never gathered, its tokens are counted.
 
-Null text: no lines, empty result text. Repeated rows are documents of their own: the later ones lose their long
+Null text: no lines, empty result text. Repeated rows are documents of their own: the later ones lose their
 lines. Empty tables give empty results; other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ FIELD = "<*>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``locator``, ``doc_id``, ``line`` (0-based) and ``masked`` of every line long enough."""
+    """``locator``, ``doc_id``, ``line`` (0-based) and ``masked`` of every line that can have a template."""
     # Patterns run once over whole texts, before lines exist; what follows per line is plain string work.
     # A blank alone is no match: most gaps are that, and are left as they are.
     single = F.regexp_replace(F.coalesce("text", F.lit("")), r"\x20[\x20\x09\x0B-\x0D]++|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+", " ")
@@ -38,8 +39,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("locator", "doc_id", line).select("locator", "doc_id", "line", F.trim("raw").alias("masked"))
     # The number of tokens is that of blanks and one; no array is needed to know it.
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    lead = F.substring_index("masked", " ", LEAD)
-    return rows.withColumn("tokens", tokens).where(F.col("tokens") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("tokens", lead))
+    short = F.col("tokens") < MIN_TOKENS
+    lead = F.when(short, F.col("masked")).otherwise(F.substring_index("masked", " ", LEAD))
+    named = F.replace(F.replace("masked", F.lit(FIELD), F.lit("")), F.lit(" "), F.lit("")) != ""
+    return rows.withColumn("tokens", tokens).where(~short | named).withColumn("leaf", F.xxhash64("tokens", lead))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:

@@ -382,3 +382,9 @@ def test_dense_groups_of_near_copies(spark):
         changed[draw.randrange(300)] = f"x{i}"
         rows.append((i, " ".join(changed)))
     assert [r.doc_id for r in near.near_stage(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_short_lines_recur(spark):
+    texts = ["All rights reserved.\nfirst\n\n12", "second\n  All rights   reserved.\n\n13", "All rights reserved\nPage 3", "Page 14\nthird"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in lines.deduplicated_lines(docs).collect()} == {0: [], 1: [1], 2: [], 3: [0]}
