@@ -1,10 +1,10 @@
 """Line dedup by a log-template tree (operator 1).
 
 Lines are parsed at fixed depth: by their number of tokens, then by their first LEAD tokens, where tokens with
-digits are fields already. A leaf with several different lines is generalised: a token stays in the template if
-two or more of the leaf's different lines have it at that place, else the place becomes a field. A line
-whose template keeps at least SIMILAR of its tokens belongs to it; others stand for themselves. Two lines of one
-template therefore agree in at least SIMILAR of their places.
+digits are fields already. A leaf with several different lines is generalised by how many of them have each token at
+its place. The number that at least SIMILAR of a line's tokens reach is the size of the lines like it; tokens that
+fewer lines have become fields, however many those are. Lines whose number is one stand for themselves. Two lines of
+one template therefore agree in at least SIMILAR of their places, and more values of a field never make it constant.
 
 A template found in MIN_DOCS documents or more recurs: its lines are dropped, but for those of the
 first document (smallest ``doc_id``, null last) that has it. Lines with fewer than MIN_TOKENS tokens are not
@@ -63,17 +63,13 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     split = samples.select("leaf", "same", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
     with until_templates:
         tokens = stored(split.select("leaf", "same", "place", F.xxhash64("token").alias("token")), "line-tokens", shuffles_go=True)
-    shared = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1")
-    # A template is its kept tokens with their places: their hashes add up without an order.
-    kept = tokens.join(shared, ["leaf", "place", "token"], "left_semi")
-    template = kept.groupBy("leaf", "same").agg(
-        F.count("*").alias("constant"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("token", "place")).alias("xor")
-    )
-    sizes = tokens.groupBy("leaf", "same").agg(F.count("*").alias("all"))
-    general = (
-        template.join(sizes, ["leaf", "same"]).where(F.col("constant") >= SIMILAR * F.col("all"))
-        .select("leaf", "same", F.xxhash64("leaf", "constant", F.col("sum").cast("string"), "xor").alias("template"))
-    )
+    counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines"))
+    counted = tokens.join(counts, ["leaf", "place", "token"])
+    # Places come in order, so that equal templates have equal hashes.
+    of_line = counted.groupBy("leaf", "same").agg(F.sort_array(F.collect_list(F.struct("place", "token", "lines"))).alias("t"))
+    reached = F.get(F.sort_array("t.lines"), (F.size("t") - F.ceil(F.size("t") * SIMILAR)).cast("int"))
+    kept = F.transform(F.filter("t", lambda x: x.lines >= F.col("alike")), lambda x: F.struct(x.place, x.token))
+    general = of_line.withColumn("alike", reached).where("alike > 1").select("leaf", "same", F.xxhash64("leaf", kept).alias("template"))
     every = variants.select("leaf", "same").join(general, ["leaf", "same"], "left")
     with until_named:
         of_variant = stored(every.select("leaf", "same", F.coalesce("template", F.xxhash64("leaf", "same")).alias("template")), "line-templates", shuffles_go=True)

@@ -388,3 +388,13 @@ def test_short_lines_recur(spark):
     texts = ["All rights reserved.\nfirst\n\n12", "second\n  All rights   reserved.\n\n13", "All rights reserved\nPage 3", "Page 14\nthird"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.dropped for r in lines.deduplicated_lines(docs).collect()} == {0: [], 1: [1], 2: [], 3: [0]}
+
+
+@pytest.mark.parametrize("hosts, days", [(2, 2), (3, 2), (6, 7)])
+def test_crossing_fields_share_a_template(spark, hosts, days):
+    """Values of two word fields that cross stay fields, however many lines have each of them."""
+    crossed = [(h, d) for h in range(hosts) for d in range(days)]
+    for chosen in (crossed, crossed[:-1]):
+        texts = [f"User {i} logged in from host {'abcdefg'[h] * 4} at 10:0{i} on {'tuvwxyz'[d] * 5}." for i, (h, d) in enumerate(chosen)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.dropped for r in lines.deduplicated_lines(docs).collect()} == {i: [0] if i else [] for i in range(len(texts))}
