@@ -3,7 +3,8 @@
 Every host has a tree of path segments. Segments with digits are generalised by shape; below a node with more
 than MAX_CHILDREN different segments, those with less than a tenth of the node's pages become one wildcard.
 Sibling branches that pass two tests, close shares of what lies below them and no significant
-difference of their labels, are merged. A template is rejected if enough of its pages are labelled and its blocked
+difference of their labels, are merged, among the children of every node and level by level from the top: children of
+merged branches are siblings then. Merges are followed through, and the smallest of the connected branches names them. A template is rejected if enough of its pages are labelled and its blocked
 share, smoothed towards its host's (and that towards all pages'), reaches REJECT.
 
 Labels are the verdicts of the given rules (or a table of them); pages under a rule follow the rule.
@@ -13,6 +14,7 @@ repeated rows are judged alike; empty tables give empty results; other columns a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,28 +65,45 @@ def _generalised(shapes: DataFrame) -> DataFrame:
     return shapes
 
 
+def _smallest(edges: pa.Table) -> pa.Table:
+    """The smallest connected member of every branch in a node's edges (``low``, ``high``)."""
+    least: dict[str, str] = {}
+
+    def find(branch):
+        while least.setdefault(branch, branch) != branch:
+            branch = least[branch]
+        return branch
+
+    for low, high in zip(edges.column("low").to_pylist(), edges.column("high").to_pylist(), strict=True):
+        x, y = sorted((find(low), find(high)))
+        least[y] = x
+    own = list(least)
+    node = {c: [edges.column(c)[0].as_py()] * len(own) for c in ("host", "above")}
+    return pa.table(node | {"own": own, "merged": [find(x) for x in own]})
+
+
 def _merged(branches: DataFrame) -> DataFrame:
-    """(``host``, ``branch``, ``merged``) from (``host``, ``branch``, ``below``, ``n``, ``labelled``, ``blocked``).
+    """(``host``, ``above``, ``own``, ``merged``) of the branches that are merged, from (``host``, ``above``, ``own``, ``below``, ``n``, ``labelled``, ``blocked``).
 
-    A host has few branches after generalising (heavy ones and a wildcard), so its pairs are few.
+    A node has few branches after generalising (heavy ones and a wildcard), so its pairs are few.
     """
-    totals = branches.groupBy("host", "branch").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-    shares = branches.groupBy("host", "branch", "below").agg(F.sum("n").alias("part")).join(totals.select("host", "branch", "n"), ["host", "branch"])
-    share = shares.select("host", "branch", "below", (F.col("part") / F.col("n")).alias("share"))
-    a, b = share.alias("a"), share.alias("b")
+    node = ["host", "above"]
+    totals = branches.groupBy(*node, "own").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    shares = branches.groupBy(*node, "own", "below").agg(F.sum("n").alias("part")).join(totals.select(*node, "own", "n"), [*node, "own"])
+    share = stored(shares.select(*node, "own", "below", (F.col("part") / F.col("n")).alias("share")), "url-shares")
+    low, high = (share.select(*node, "below", F.col("own").alias(side), F.col("share").alias(f"{side}_share")) for side in ("low", "high"))
     common = (
-        a.join(b, (F.col("a.host") == F.col("b.host")) & (F.col("a.below") == F.col("b.below")) & (F.col("a.branch") < F.col("b.branch")))
-        .groupBy(F.col("a.host").alias("host"), F.col("a.branch").alias("low"), F.col("b.branch").alias("high"))
-        .agg(F.sum(F.least("a.share", "b.share")).alias("common"))
+        low.join(high, [*node, "below"]).where("low < high")
+        .groupBy(*node, "low", "high").agg(F.sum(F.least("low_share", "high_share")).alias("common"))
         .where(F.col("common") >= 1 - FAR_APART)
     )
-    sides = common.join(totals.select("host", F.col("branch").alias("low"), F.col("labelled").alias("n1"), F.col("blocked").alias("k1")), ["host", "low"]).join(
-        totals.select("host", F.col("branch").alias("high"), F.col("labelled").alias("n2"), F.col("blocked").alias("k2")), ["host", "high"]
+    sides = common.join(totals.select(*node, F.col("own").alias("low"), F.col("labelled").alias("n1"), F.col("blocked").alias("k1")), [*node, "low"]).join(
+        totals.select(*node, F.col("own").alias("high"), F.col("labelled").alias("n2"), F.col("blocked").alias("k2")), [*node, "high"]
     )
     both = "(k1 + k2) / (n1 + n2)"
     alike = f"n1 = 0 AND n2 = 0 OR n1 > 0 AND n2 > 0 AND abs(k1 / n1 - k2 / n2) <= {Z} * sqrt({both} * (1 - {both}) * (1 / n1 + 1 / n2))"
-    target = sides.where(alike).groupBy("host", F.col("high").alias("branch")).agg(F.min("low").alias("merged"))
-    return totals.select("host", "branch").join(target, ["host", "branch"], "left").withColumn("merged", F.coalesce("merged", "branch"))
+    edges = sides.where(alike).select(*node, "low", "high")
+    return edges.groupBy(*node).applyInArrow(_smallest, "host string, above string, own string, merged string")
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -97,11 +116,16 @@ def templates(labelled: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked")
     )
     segments = F.filter(F.split(F.col("shape"), "/"), lambda s: s != "")
-    tree = stored(_generalised(shapes.withColumn("segments", segments)), "url-shapes").withColumnRenamed("t1", "branch")
-    below = F.expr(f"substring(t{DEPTH}, char_length(branch) + 1)")
-    tree = tree.withColumn("below", below)
-    merged = stored(_merged(tree.select("host", "branch", "below", "n", "labelled", "blocked")), "url-merged")
-    named = tree.join(merged, ["host", "branch"]).withColumn("template", F.concat("merged", "below"))
+    named = stored(_generalised(shapes.withColumn("segments", segments)), "url-shapes").withColumn("template", F.lit(""))
+    for level in range(1, DEPTH + 1):
+        before = F.char_length(f"t{level - 1}") if level > 1 else F.lit(0)
+        rest = lambda start: F.substring(f"t{DEPTH}", start + 1, F.char_length(f"t{DEPTH}"))
+        own = F.substring(f"t{level}", before + 1, F.char_length(f"t{level}"))
+        rows = named.withColumnRenamed("template", "above").withColumn("own", own).withColumn("below", rest(F.char_length(f"t{level}")))
+        # Shapes that end above have no branch here.
+        merged = _merged(rows.where("own <> ''"))
+        joined = rows.join(merged, ["host", "above", "own"], "left").withColumn("template", F.concat("above", F.coalesce("merged", "own")))
+        named = stored(joined.drop("above", "own", "below", "merged"), "url-merged")
     per = stored(named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "url-templates")
     everywhere = per.agg(F.sum("blocked") / F.sum("labelled")).first()[0] or 0.0
     hosts = per.groupBy("host").agg(((F.sum("blocked") + SMOOTHING * everywhere) / (F.sum("labelled") + SMOOTHING)).alias("host_share"))

@@ -43,6 +43,18 @@ def test_labelled_templates_are_rejected(spark):
     assert {verdicts[i] for i, _ in good} == {"allow"}
 
 
+def test_siblings_merge_below_the_first_level(spark):
+    """Ten branches with four labelled pages each have forty labels together; merges are followed through."""
+    shop = [(100 * b + i, f"http://h.example/shop/{chr(97 + b)}/item/{i}.html") for b in range(10) for i in range(8)]
+    news = [(5000 + i, f"http://h.example/news/{i}") for i in range(60)]
+    pages = spark.createDataFrame(shop + news, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in shop if i % 100 < 4] + [(5000 + i, 0) for i in range(0, 60, 2)], "page_id long, blocked int")
+    judged = {r.page_id: r for r in urls.judged_urls(pages, rules=(), labels=labels).collect()}
+    assert {judged[i].verdict for i, _ in shop} == {"block"}
+    assert {judged[i].template for i, _ in shop} == {"/shop/a/item/<n>.html"}
+    assert {judged[i].verdict for i, _ in news} == {"allow"}
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     stages, columns = [], docs.columns
