@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repocensus.llm import exact, lines, lm, mixing, packing, pii, quality, repair, simhash, tokens, urls
+from repocensus.llm import exact, lines, lm, mixing, packing, phrases, pii, quality, repair, simhash, suffixes, tokens, urls
 from repocensus.plans.registry import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -30,3 +30,5 @@ _over("documents", "op8_token_counts", tokens.token_query)
 _over("documents", "op10_kneser_ney", lm.lm_query)
 _over("documents", "op1_line_templates", lines.line_query)
 _over("conversations", "op11_cyk_repair", repair.repair_query)
+_over("documents", "op12_suffix_merge", suffixes.suffix_dedup)
+_over("documents", "op13_phrase_automata", phrases.phrase_query)
