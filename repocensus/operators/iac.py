@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repocensus.functions.blocks import block_stages
 from repocensus.functions.configs import yaml_document
-from repocensus.functions.hcl import top_level_blocks
 from repocensus.functions.props import Json, json_members, json_object, json_text, overlay, props
 from repocensus.operators.extractor import Extractor, finding, no_findings
 
@@ -176,7 +176,7 @@ def terraform(extra_rules: Sequence[BlockRule] = ()) -> Extractor:
     return Extractor(
         name="terraform",
         route=route,
-        stages=[{"__tf_blocks": top_level_blocks(F.when(route, F.col("content")))}],
+        stages=block_stages(F.when(route, F.col("content")), "__tf"),
         findings=F.coalesce(F.flatten(rows), no_findings()),
     )
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from repocensus.functions import configs, hcl
+from repocensus.functions import blocks, configs
 from repocensus.operators import docker, iac
 from repocensus.operators.extractor import extract, extract_errors, finding
 
@@ -194,20 +194,112 @@ def test_own_block_rule(files):
 
 @pytest.mark.parametrize(
     "text",
-    ['module "m" {\n source = "a"\n', 'module "m" {\n a = "x\n}\n', "stray words here\n", 'x {\n a = 1\n a = 2\n}\n', "x {\n a = (1\n}\n"],
+    [
+        'module "m" {\n source = "a"\n',
+        'module "m" {\n a = "x\n}\n',
+        "stray words here\n",
+        "x {\n a = 1\n a = 2\n}\n",
+        "x {\n a = (1\n}\n",
+        "x {\n a = [1}]\n}\n",
+        "x {\n a =\n}\n",
+        "x {\n}\n}\n",
+        "x { a = 1 } y { b = 2 }\n",
+        "x {\n nested { what is this }\n}\n",
+        "x {\n a = <<EOT\n no end\n}\n",
+        'x {\n a = "${y"\n}\n',
+        "x {} /* open",
+    ],
 )
 def test_terraform_syntax_errors_are_silent(files, text):
-    assert rows(files, iac.terraform(), "main.tf", text) == []
-    with pytest.raises(ValueError):
-        hcl.blocks_json(text)
+    good = 'module "m" { source = "s" }\n'
+    assert rows(files, iac.terraform(), "main.tf", good) == [("TF Module", {"source": "s"})]
+    assert rows(files, iac.terraform(), "main.tf", good + text) == []
+
+
+def _blocks(spark, text):
+    table = spark.createDataFrame([(text,)], "text string")
+    for stage in blocks.block_stages(F.col("text"), "b"):
+        table = table.withColumns(stage)
+    found = table.select("b_blocks").first().b_blocks
+    return found and [(b.type, b.labels, {k: json.loads(v) for k, v in b.attributes.items()}) for b in found]
+
+
+def test_hcl_literals(spark):
+    text = r"""b "l" x {
+ a = [1,
+ 2 # c
+ ]
+ s = "q\"${x("}")}"
+ e = "A$${v}%%{w}\U0001F600\t\\"
+ n = null
+ t = a ? 1 : 2
+ f = -1.5
+ g = 1.0
+ h = 007
+ i = 1e3
+ j = 99999999999999999999
+ k = { "a b" = 1, c : [true, false] /* x */
+   d = {}, true = "//no comment", 5 = "#" }
+ l = [1 2]
+ m = ["${x}"]
+ o = [
+   "y", // first
+
+   "z"
+ ]
+ p = "bad \q"
+ q = [<<EOT
+one # two
+EOT
+ , "last"]
+}
+"""
+    ((kind, labels, attributes),) = _blocks(spark, text)
+    assert (kind, labels) == ("b", ["l", "x"])
+    assert attributes == {
+        "a": [1, 2], "s": '"q\\"${x("}")}"', "e": "A${v}%{w}\U0001f600\t\\", "n": None, "t": "a ? 1 : 2", "f": -1.5, "g": 1, "h": 7,
+        "i": 1000, "j": 1e20, "k": {"a b": 1, "c": [True, False], "d": {}, "true": "//no comment", "5": "#"}, "l": "[1 2]",
+        "m": '["${x}"]', "o": ["y", "z"], "p": '"bad \\q"', "q": ["one # two\n", "last"],
+    }
 
 
-def test_hcl_literals():
-    text = 'b "l" {\n a = [1,\n 2 # c\n ]\n s = "q\\"${x("}")}"\n e = "\\u0041$${v}"\n n = null\n t = a ? 1 : 2\n f = -1.5\n}\n'
-    (block,) = json.loads(hcl.blocks_json(text))
-    assert {k: json.loads(v) for k, v in block["attributes"].items()} == {
-        "a": [1, 2], "s": '"q\\"${x("}")}"', "e": "A${v}", "n": None, "t": "a ? 1 : 2", "f": -1.5,
-    }
+@pytest.mark.parametrize(
+    "source, value",
+    [
+        ('"${a["${b["${c["}"]}"]}"]}"', '"${a["${b["${c["}"]}"]}"]}"'),
+        ('"%{ if x }{%{ else }}%{ endif }"', '"%{ if x }{%{ else }}%{ endif }"'),
+        ("<<-EOT\n    a\n\n      b\n    EOT", "a\n\n  b\n"),
+        ("<<EOT\n $${x} {\n EOTX\nEOT", " ${x} {\n EOTX\n"),
+        ("<<EOT\n${x} \"\n  EOT", "<<EOT\n${x} \"\n  EOT"),
+        ("f(<<A\n }\nA\n, 2)", "f(<<A\n }\nA\n, 2)"),
+        ('"a" /* " { */ # }', "a"),
+        ("{\n for k, v in m : k => v # {\n }", "{\n for k, v in m : k => v # {\n }"),
+        ('"\\\\"', "\\"),
+        ('"# // /* "', "# // /* "),
+        ("x == y", "x == y"),
+        ("[]", []),
+        ("{ a = { b = [ { c = 1 } ] } }", {"a": {"b": [{"c": 1}]}}),
+    ],
+)
+def test_hcl_values(spark, source, value):
+    for text in (f"b {{\n  a = {source}\n  z = 1\n}}\n", f"b {{\n  a = {source}\n}}", f"# {{\n\nb {{ # x\n  a = {source}\r\n}}\r\n/* }} */"):
+        ((_, _, attributes),) = _blocks(spark, text)
+        assert attributes["a"] == value
+
+
+def test_terraform_plan_has_no_python(files, capsys):
+    extract(files({"a.tf": TF}), iac.terraform()).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and not any(node in plan for node in ("EvalPython", "PythonUDF", "InArrow", "InPandas"))
+
+
+def test_long_terraform_files_are_linear(files):
+    """Thousands of blocks and one block of thousands of attributes."""
+    many = "".join(f'resource "aws_x" "r{i}" {{\n  a = "{i}"\n}}\n' for i in range(3000))
+    wide = 'resource "google_y" "w" {\n' + "".join(f"  k{i} = {i}\n" for i in range(3000)) + "}\n"
+    found = rows(files, iac.terraform(), "a.tf", many + wide)
+    assert len(found) == 3001
+    assert sorted(len(p.get("attributes", {})) for _, p in found)[-1] == 3000
 
 
 @pytest.mark.parametrize(
