@@ -13,6 +13,7 @@ from repocensus.functions import paths, props, times
 from repocensus.operators import docker, gitmetrics, iac, languages, manifests, reporting, store
 from repocensus.operators.extractor import Extractor, extract, extract_errors
 from repocensus.operators.matching import candidate_files, match_patterns
+from repocensus.operators.rule_join import match_by_rules
 from repocensus.operators.vulns import vulnerability_findings
 from repocensus.plans import scan as plan
 from repocensus.plans.summary import summarise
@@ -348,13 +349,19 @@ FRAMEWORK_SQL = f"""
 
 @register("built_in_patterns", FRAMEWORK_SQL)
 def built_in_patterns(spark, sf):
-    made = [tb.requirements, tb.go_mods, tb.dockerfiles, tb.package_jsons, tb.sources]
-    files = plan.reduce(DataFrame.union, [m(spark, sf) for m in made])
-    return match_patterns(files, catalogue.shipped_catalogue()).select(
+    """Every kind of file against the whole catalogue, held as constant data in the plan."""
+    return match_patterns(tb.files_table(spark, sf), catalogue.shipped_catalogue()).select(
         "repo_name", "path", "name", "type", "category"
     )
 
 
+@register("built_in_patterns_joined", FRAMEWORK_SQL)
+def built_in_patterns_joined(spark, sf):
+    """The same catalogue as a table, by joins over distinct names and paths."""
+    patterns = catalogue.catalogue_frame(spark, catalogue.shipped_catalogue())
+    return match_by_rules(tb.files_table(spark, sf), patterns).select("repo_name", "path", "name", "type", "category")
+
+
 _PART_PATTERNS = """
     WITH p AS (SELECT p_partkey AS pattern_id, p_name, p_brand, p_type,
         p_partkey % 7 = 0 OR p_partkey % 2 = 0 AS has_names,
@@ -378,6 +385,30 @@ def pattern_rules(spark, sf):
     return catalogue.pattern_rules(tb.part_patterns(spark, sf))
 
 
+@register(
+    "part_pattern_matches",
+    _PART_PATTERNS
+    + """, v AS (SELECT * FROM p WHERE NOT (has_names AND has_exts) AND NOT (has_content AND NOT has_names AND NOT has_exts))
+    , f AS (SELECT 'p' || p_partkey AS path, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || lower(p_brand) END AS base, p_brand,
+                   CASE WHEN p_partkey % 3 = 0 THEN regexp_extract(p_name, '\\.([^.]*)$', 1) ELSE lower(p_brand) END AS ext, p_type AS content FROM part)
+    , d AS (SELECT DISTINCT base, pattern_id FROM (SELECT DISTINCT base FROM f) JOIN v ON has_names
+            AND (base = replace(p_name, ' ', '_') OR base = replace(p_name, ' ', '.') OR regexp_matches(base, replace(p_name, ' ', '.'))))
+    , m AS (SELECT f.path, pattern_id FROM f JOIN d USING (base) UNION ALL SELECT f.path, pattern_id FROM f JOIN v ON has_exts AND ext IN (lower(v.p_brand), 'txt')
+            UNION ALL SELECT f.path, pattern_id FROM f JOIN v ON NOT has_names AND NOT has_exts AND has_paths AND f.p_brand = v.p_brand)
+    SELECT count(*) AS matches, count(DISTINCT m.path) AS files, CAST(sum(pattern_id) AS BIGINT) AS pattern_sum
+    FROM m JOIN v USING (pattern_id) JOIN f USING (path)
+    WHERE (NOT has_paths OR f.p_brand = v.p_brand) AND (NOT has_content OR contains(content, v.p_type))""",
+)
+def part_pattern_matches(spark, sf):
+    """As many patterns as parts over as many files; their number appears in the properties."""
+    numbered = tb.part_patterns(spark, sf).withColumn("properties", F.format_string('{"id":%d}', "pattern_id"))
+    found = match_by_rules(tb.part_files(spark, sf), numbered)
+    return found.agg(
+        F.count("*").alias("matches"), F.countDistinct("path").alias("files"),
+        F.sum(F.get_json_object("properties", "$.id").cast("bigint")).alias("pattern_sum"),
+    )
+
+
 @register(
     "invalid_patterns",
     _PART_PATTERNS

@@ -325,6 +325,18 @@ def part_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per part, below its brand, named after it."""
+    return table(spark, sf_dir, "part").select(
+        F.expr("concat('repo_', p_partkey % 50)").alias("repo_name"),
+        F.expr(
+            "concat('p', p_partkey, '/', p_brand, '/', p_name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('.', lower(p_brand)) END)"
+        ).alias("path"),
+        F.col("p_type").alias("content"),
+        F.lit(None).cast("string").alias("read_error"),
+    )
+
+
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repositories of events (busy) and of orders only, plus some without any history."""
     busy = table(spark, sf_dir, "events").select(F.expr("concat('repo_', user_id % 20)").alias("repo_name"))
