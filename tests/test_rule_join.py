@@ -79,7 +79,7 @@ def test_patterns_read_from_files(spark, files, tmp_path):
     (tmp_path / "b.json").write_text('[{"name": "broken", ')
     patterns = read_patterns(spark, str(tmp_path))
     found = match_by_rules(files({"x/a": "", "b": ""}), patterns).collect()
-    assert sorted((r.path, r.name, r.category, r.properties) for r in found) == [("x/a", "A", "", '{"n":1,"l":["x"]}'), ("x/a", "open", "", None)]
+    assert sorted((r.path, r.name, r.category, r.properties) for r in found) == [("x/a", "A", "", '{"l":["x"],"n":1}'), ("x/a", "open", "", None)]
     assert invalid_patterns(patterns).count() == 0
 
 
