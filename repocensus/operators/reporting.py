@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repocensus.functions import sqlite
 from repocensus.functions.props import json_text
 from repocensus.sources.batches import NamedQuery
 
 VIEW = "Findings"
+ANSI = "spark.sql.ansi.enabled"
 # Report file names.
 JSON_SUMMARY = "cloud_services_summary.json"
 SHEET_SUMMARY = "summary_report"
 
 
 def register_findings(findings: DataFrame, view: str = VIEW) -> DataFrame:
-    """Expose findings to SQL as ``Findings(Name, Type, Category, Path, RepoName, Properties)``."""
-    spark = findings.sparkSession
+    """Expose findings to SQL as ``Findings(id, Name, Type, Category, Path, RepoName, Properties)``.
+
+    Stored findings bring their ids; others get unique ones, which are not dense.
+    """
+    known = F.col("id") if "id" in findings.columns else F.monotonically_increasing_id() + 1
     table = findings.select(
+        known.alias("id"),
         F.col("name").alias("Name"),
         F.col("type").alias("Type"),
         F.col("category").alias("Category"),
@@ -31,76 +36,90 @@ def register_findings(findings: DataFrame, view: str = VIEW) -> DataFrame:
         F.col("properties").alias("Properties"),
     )
     table.createOrReplaceTempView(view)
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION json_extract(doc STRING, at STRING) "
-        "RETURNS STRING RETURN get_json_object(doc, at)"
-    )
     return table
 
 
-# SQLite spelling -> Spark spelling, applied outside quoted text and comments only.
-_REWRITES = [(re.compile(r"\bLIKE\b", re.I), "ILIKE")]
-_VERBATIM = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
-_CALL = re.compile(r"\b(group_concat|total|datetime)\s*\(", re.I)
-
-
-def _call(name: str, arguments: str, separators: int) -> str:
-    """A SQLite function call in Spark's spelling; ``separators`` counts its top-level commas."""
-    if name == "group_concat":
-        return f"listagg({arguments})" if separators else f"listagg({arguments}, ',')"
-    if name == "total":
-        return f"coalesce(CAST(sum({arguments}) AS DOUBLE), 0D)"
-    if arguments.strip() == "'now'":
-        return "date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')"
-    return f"datetime({arguments})"
-
-
-def _calls(query: str) -> str:
-    """Rewrites calls from the last one to the first, so that nested ones are done before."""
-    masked = _VERBATIM.sub(lambda m: "\0" * len(m[0]), query)
-    for start in reversed(list(_CALL.finditer(masked))):
-        depth, commas, at = 1, 0, start.end()
-        while depth and at < len(masked):
-            depth += {"(": 1, ")": -1}.get(masked[at], 0)
-            commas += depth == 1 and masked[at] == ","
-            at += 1
-        if depth:
-            continue
-        new = _call(start[1].lower(), query[start.end() : at - 1], commas)
-        query = query[: start.start()] + new + query[at:]
-        masked = _VERBATIM.sub(lambda m: "\0" * len(m[0]), query)
-    return query
-
-
-def spark_sql(query: str) -> str:
-    """A SQLite-flavoured query in Spark's spelling.
-
-    Covers what report queries use: case-insensitive LIKE, group_concat, total, datetime('now'),
-    comments, double-quoted identifiers, a trailing semicolon.  Everything relational is the same.
+def property_types(findings: DataFrame, paths: Iterable[str]) -> dict[str, str]:
+    """SQL types of the JSON values at some paths of ``Properties``, in one pass over it.
+
+    Integers are ``BIGINT``, numbers ``DOUBLE``, booleans ``BOOLEAN``; paths with anything else, or with values
+    of different kinds, are ``STRING``.
     """
-    query = _calls(query.strip().rstrip(";"))
-    out, at = [], 0
-    for verbatim in [*_VERBATIM.finditer(query), None]:
-        code = query[at : verbatim.start() if verbatim else len(query)]
-        for pattern, replacement in _REWRITES:
-            code = pattern.sub(replacement, code)
-        out.append(code)
-        if verbatim:
-            text, at = verbatim[0], verbatim.end()
-            out.append(f"`{text[1:-1]}`" if text.startswith('"') else text)
-    return "".join(out)
+    paths = sorted(paths)
+    if not paths:
+        return {}
+    document = F.try_parse_json("Properties")
+    kind = lambda p: F.regexp_extract(F.schema_of_variant(F.try_variant_get(document, p, "variant")), "^[A-Z]+", 0)
+    whole = lambda p: F.get_json_object("Properties", p).rlike(r"\A-?\d{1,18}\z")
+    found = findings.agg(
+        *[F.collect_set(F.when(whole(p), "BIGINT").otherwise(kind(p))).alias(f"k{i}") for i, p in enumerate(paths)]
+    ).first()
+    types = {}
+    for i, p in enumerate(paths):
+        kinds = set(found[f"k{i}"]) - {"VOID"}
+        numbers = kinds & {"BIGINT", "DECIMAL", "DOUBLE", "FLOAT"}
+        types[p] = "STRING" if not kinds or kinds - sqlite.JSON_TYPES else "BIGINT" if kinds == {"BIGINT"} else "DOUBLE" if kinds == numbers else "BOOLEAN" if kinds == {"BOOLEAN"} else "STRING"
+    return types
+
+
+def _reading(spark: SparkSession, queries: Iterable[str], json_types: dict[str, str] | None) -> sqlite.Reading:
+    paths = set().union(*(sqlite.json_paths(sqlite.parse(q)) for q in queries))
+    if json_types is None:
+        json_types = property_types(spark.table(VIEW), paths) if paths and spark.catalog.tableExists(VIEW) else {}
+    return sqlite.Reading(json_types=json_types)
+
+
+def run_query(spark: SparkSession, query: str, json_types: dict[str, str] | None = None) -> DataFrame:
+    """A SQLite-flavoured query over registered tables.
+
+    ``json_extract`` gives typed values: ``json_types`` names the types of paths, those in the findings
+    are looked up otherwise. Integers divide to integers, other numbers do not; a double-quoted text
+    is a column if there is one of that name, else a string; dividing by zero gives NULL.
+    """
+    return _analysed(spark, query, _reading(spark, [query], json_types))
 
 
-def run_query(spark: SparkSession, query: str) -> DataFrame:
-    return spark.sql(spark_sql(query))
+def _analysed(spark: SparkSession, query: str, how: sqlite.Reading) -> DataFrame:
+    items = sqlite.parse(query)
+    how = sqlite.Reading(how.json_types)
+    before = spark.conf.get(ANSI)
+    spark.conf.set(ANSI, "false")  # expressions keep the mode they are analysed in
+    try:
+        while True:
+            text = sqlite.render(items, how)
+            try:
+                return spark.sql(text)
+            except AnalysisException as failure:
+                if not _reread(items, how, text, failure):
+                    raise
+    finally:
+        spark.conf.set(ANSI, before)
+
+
+def _reread(items: list, how: sqlite.Reading, text: str, failure: AnalysisException) -> bool:
+    """Reads one open token the other way, if the failure is about it."""
+    condition = failure.getCondition() or ""
+    if condition.startswith("UNRESOLVED_COLUMN"):
+        name = (failure.getMessageParameters() or {}).get("objectName", "").strip("`")
+        if name in sqlite.quoted_texts(items) - how.strings:
+            how.strings.add(name)
+            return True
+    if condition.startswith("DATATYPE_MISMATCH") and failure.getQueryContext():
+        place = failure.getQueryContext()[0]
+        at = sqlite.failing_division(text, place.startIndex(), place.stopIndex())
+        if at is not None and at not in how.real:
+            how.real.add(at)
+            return True
+    return False
 
 
 def run_queries(spark: SparkSession, queries: Iterable[NamedQuery]) -> dict[str, DataFrame]:
     """One DataFrame per named query; the first query that does not analyse aborts all."""
-    results = {}
+    results, queries = {}, list(queries)
+    how = _reading(spark, [q.query for q in queries], None)
     for q in queries:
         try:
-            results[q.name] = run_query(spark, q.query)
+            results[q.name] = _analysed(spark, q.query, how)
         except AnalysisException as failure:
             raise ValueError(f"failed to execute query '{q.name}': {failure}") from failure
     return results
@@ -108,10 +127,11 @@ def run_queries(spark: SparkSession, queries: Iterable[NamedQuery]) -> dict[str,
 
 def run_sheet_queries(spark: SparkSession, queries: Iterable[NamedQuery]) -> dict[str, DataFrame]:
     """As :func:`run_queries`, but a query over a missing table is skipped."""
-    results = {}
+    results, queries = {}, list(queries)
+    how = _reading(spark, [q.query for q in queries], None)
     for q in queries:
         try:
-            results[q.name] = run_query(spark, q.query)
+            results[q.name] = _analysed(spark, q.query, how)
         except AnalysisException as failure:
             if failure.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
                 raise ValueError(f"failed to execute query '{q.name}': {failure}") from failure

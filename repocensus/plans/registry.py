@@ -881,6 +881,66 @@ queries:
     return reporting.run_queries(spark, batches.read_queries(text))["shared"]
 
 
+@register(
+    "report_typed_values",
+    """SELECT p_brand AS category, MAX(p_size) FILTER (p_partkey % 10 <> 0) AS largest, CAST(COUNT(*) FILTER (p_partkey % 10 <> 0 AND p_partkey % 2 = 0) AS BIGINT) AS flags,
+              CAST(COUNT(*) // 2 AS BIGINT) AS half, COUNT(*) / 2.0 AS exact_half, CAST(COUNT(DISTINCT p_size // 10) FILTER (p_partkey % 10 <> 0) AS BIGINT) AS tens,
+              MAX(p_partkey) FILTER (p_partkey % 10 <> 0) AS last_part, MAX(p_type) FILTER (p_partkey % 10 <> 0) AS last_type
+       FROM part GROUP BY 1""",
+)
+def report_typed_values(spark, sf):
+    """Numbers, booleans and texts of a property bag keep their types; integers divide to integers."""
+    reporting.register_findings(_part_bags(spark, sf))
+    return reporting.run_query(
+        spark,
+        """SELECT Category AS category, CAST(MAX(json_extract(Properties, '$.size')) AS INTEGER) AS largest, SUM(json_extract(Properties, '$.flag')) AS flags,
+                  COUNT(*)/2 AS half, COUNT(*) / 2.0 AS exact_half, COUNT(DISTINCT json_extract(Properties, '$.size') / 10) AS tens,
+                  MAX(json_extract(Properties, '$.list[0]')) AS last_part, MAX(json_extract(Properties, '$.nested.type')) AS last_type
+           FROM Findings GROUP BY Category""",
+    )
+
+
+@register(
+    "report_spellings",
+    """SELECT 'p' || p_partkey AS path, CASE WHEN p_size > 25 THEN 'large' ELSE 'it''s "small"' END AS size, '2024-03-01 00:00:00' AS due,
+              strftime(TIMESTAMP '2024-01-31' + to_days(1), '%Y/%m/%d') AS day FROM part WHERE lower(p_brand) LIKE 'brand#1%' AND p_type IN ('PROMO', 'LARGE')""",
+)
+def report_spellings(spark, sf):
+    """Double-quoted strings and columns, dates with modifiers, LIKE without case, comments."""
+    bag = F.expr("concat('{\"size\":', p_size, ',\"kind\":\"', p_type, '\"}')")
+    bags = tb.table(spark, sf, "part").select(
+        F.col("p_name").alias("name"), F.lit("Part").alias("type"), F.col("p_brand").alias("category"),
+        F.expr("concat('p', p_partkey)").alias("path"), F.lit("r").alias("repo_name"), bag.alias("properties"),
+    )
+    reporting.register_findings(bags)
+    return reporting.run_query(
+        spark,
+        """SELECT Path AS "path", iif(json_extract("Properties", '$.size') > 25, "large", 'it''s "small"') AS size, -- the "size"
+                  datetime("2024-02-28", '+2 days') AS due, strftime('%Y/%m/%d', "2024-01-31", '+1 day') AS day /* 4/2 */
+           FROM Findings WHERE Category LIKE "brand#1%" AND json_extract(Properties, '$.kind') IN ("PROMO", "LARGE");""",
+    )
+
+
+@register(
+    "finding_ids",
+    f"""WITH n AS (SELECT (SELECT count(*) FROM ({POETRY_SQL})) AS a, (SELECT count(*) FROM ({MAVEN_SQL})) AS b, (SELECT count(*) FROM ({COMPOSE_SQL})) AS c)
+        SELECT 'first' AS run_id, CAST(1 AS BIGINT) AS lowest, CAST(a AS BIGINT) AS highest, CAST(a AS BIGINT) AS ids FROM n
+        UNION ALL SELECT 'second', CAST(a + 1 AS BIGINT), CAST(a + b AS BIGINT), CAST(b AS BIGINT) FROM n
+        UNION ALL SELECT 'third', CAST(a + b + 1 AS BIGINT), CAST(a + b + c AS BIGINT), CAST(c AS BIGINT) FROM n""",
+)
+def finding_ids(spark, sf):
+    """Ids of a store after two appends: dense, and going on from run to run."""
+    path = shared_dir(spark, "store")
+    store.create_store(extract(tb.pyprojects(spark, sf), manifests.poetry()), path, "first")
+    store.append_findings(extract(tb.poms(spark, sf), manifests.maven()), path, "second")
+    store.append_findings(extract(tb.composes(spark, sf), iac.compose()), path, "third")
+    stored = store.read_store(spark, path)
+    reporting.register_findings(stored)
+    runs = stored.groupBy("run_id").agg(F.min("id").alias("lowest"), F.max("id").alias("highest"), F.countDistinct("id").alias("ids"))
+    whole = reporting.run_query(spark, "SELECT MAX(id) AS top, COUNT(*) AS n FROM Findings")
+    return runs.join(whole, F.col("top") == F.col("n")).select("run_id", "lowest", "highest", "ids")
+
+
 @register(
     "summary_findings",
     f"""SELECT repo_name, 'Library Count' AS name, CAST(count(*) AS VARCHAR) AS value FROM ({PIP_SQL}) GROUP BY 1""",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repocensus.functions.props import flatten
-from repocensus.functions import paths
+from repocensus.functions import paths, sqlite
 from repocensus.operators import reporting, store
 from repocensus.operators.extractor import Extractor, finding, no_findings
 from repocensus.operators.vulns import vulnerability_findings
@@ -123,8 +123,8 @@ def test_queries(spark):
     run = lambda q: [tuple(r) for r in reporting.run_query(spark, q).collect()]
     assert run("SELECT COUNT(*) FROM findings WHERE name LIKE 'N%' AND Type LIKE 't';") == [(3,)]
     assert run("SELECT group_concat(DISTINCT Type) AS t FROM Findings WHERE Type = 'T'") == [("T",)]
-    assert run("SELECT RepoName AS \"the repo\", json_extract(Properties, '$.k') k FROM Findings WHERE Type = 'Other'") == [("s", "0")]
-    assert reporting.spark_sql("SELECT 'a LIKE b' WHERE x like 'y'") == "SELECT 'a LIKE b' WHERE x ILIKE 'y'"
+    assert run("SELECT RepoName AS \"the repo\", json_extract(Properties, '$.k') k FROM Findings WHERE Type = 'Other'") == [("s", 0)]
+    assert sqlite.render(sqlite.parse("SELECT 'a LIKE b' WHERE x like 'y'"), sqlite.Reading()) == "SELECT 'a LIKE b' WHERE x ILIKE 'y'"
     bad = [batches.NamedQuery("q", "SELECT * FROM missing"), batches.NamedQuery("ok", "SELECT 1 AS one")]
     with pytest.raises(ValueError, match="q"):
         reporting.run_queries(spark, bad)
@@ -234,6 +234,65 @@ def test_sqlite_spellings(spark):
     assert len(run("SELECT datetime('now') AS d")[0][0]) == 19
 
 
+def _valued(spark, *values):
+    rows = [(f"n{i}", "T" if i % 2 else "U", "c", f"p{i}", "r", v) for i, v in enumerate(values)]
+    reporting.register_findings(spark.createDataFrame(rows, "name string, type string, category string, path string, repo_name string, properties string"))
+    return lambda q, **k: [tuple(r) for r in reporting.run_query(spark, q, **k).collect()]
+
+
+def test_json_values_have_types(spark):
+    run = _valued(spark, '{"n":10,"f":1.5,"b":true,"m":1,"s":"x","o":{"a":[1,2]},"d":7}', '{"n":9,"f":2,"b":false,"m":"y","s":"10","d":null}', '{"n":9}', "not json", None)
+    assert run("SELECT MAX(json_extract(Properties, '$.n')) AS n, MIN(json_extract(Properties, '$.f')) FROM Findings") == [(10, 1.5)]
+    assert run("SELECT SUM(json_extract(Properties, '$.b')), MAX(json_extract(Properties, '$.m')), MAX(json_extract(Properties, '$.s')) FROM Findings") == [(1, "y", "x")]
+    assert run("SELECT json_extract(f.Properties, '$.o.a[1]') + 1 AS x, json_extract(f.Properties, '$.o') FROM Findings f WHERE json_extract(f.Properties, '$.n') > 9") == [(3, '{"a":[1,2]}')]
+    assert run("SELECT COUNT(*) FROM Findings WHERE json_extract(Properties, '$.d') IS NULL AND json_extract(Properties, '$.none') IS NULL") == [(4,)]
+    assert run("SELECT Name FROM Findings WHERE json_extract(Properties, '$.n') = 9 ORDER BY json_extract(Properties, '$.n'), id DESC") == [("n2",), ("n1",)]
+    assert run("SELECT MAX(json_extract(Properties, '$.n')) FROM Findings", json_types={"$.n": "STRING"}) == [("9",)]
+    assert run("SELECT json_extract(Properties, '$.n') / 4 AS a, json_extract(Properties, '$.f') / 4 AS b FROM Findings WHERE Name = 'n0'") == [(2, 0.375)]
+
+
+def test_integers_divide_to_integers(spark):
+    run = _valued(spark, "{}", "{}", "{}")
+    assert run("SELECT COUNT(*)/2 AS a, COUNT(*) / 2.0 AS b, -7/2 AS c, 7 / 2 / 2 AS d, 1/0 AS e FROM Findings") == [(1, 1.5, -3, 1, None)]
+    assert run("SELECT (COUNT(*) + 0.5) / (3 / 2) AS a, 10 / (7 / 2.0) AS b, 100 * COUNT(*) / 7 AS c, AVG(id) / 2 > 0 FROM Findings") == [(3.5, 10 / 3.5, 42, True)]
+    assert run("SELECT CAST(7 AS REAL) / 2 AS a, CAST('7' AS INTEGER) / 2 AS b, '1/2' AS c /* 1/2 */, 5 % 3 -- 4/2\n") == [(3.5, 3, "1/2", 2)]
+    assert run("SELECT length(Name) / 2 AS half, COUNT(*) FROM Findings GROUP BY length(Name) / 2") == [(1, 3)]
+
+
+def test_double_quotes_are_columns_or_strings(spark):
+    run = _valued(spark, "{}", "{}")
+    assert run('SELECT "Name" FROM Findings WHERE Type = "T"') == [("n1",)]
+    assert run('SELECT COUNT(*) AS "how many" FROM Findings WHERE Type IN ("T", "U", "it\'s") ORDER BY "how many"') == [(2,)]
+    assert run(r'''SELECT "a\b" AS x, 'it''s \n' AS y, "say ""x""" AS z FROM Findings LIMIT 1''') == [("a\\b", "it's \\n", 'say "x"')]
+    with pytest.raises(Exception, match="nope"):
+        run("SELECT nope FROM Findings")
+
+
+def test_dates_are_texts(spark):
+    run = _valued(spark, "{}")
+    assert run("SELECT datetime('2024-01-01') AS a, date('2024-02-28 10:11:12', '+2 days') AS b, time('2024-01-01 10:11:12') AS c") == [("2024-01-01 00:00:00", "2024-03-01", "10:11:12")]
+    assert run("SELECT strftime('%Y/%m week %d%%', '2024-01-05') AS a, datetime('nothing') AS b, datetime('2024-03-31', '-1 month') AS c") == [("2024/01 week 05%", None, "2024-02-29 00:00:00")]
+    assert run("SELECT date('now') = date(), date('now', '-1 day') < date('now'), iif(1 < 2, 'a', 'b')") == [(True, True, "a")]
+
+
+def test_ids_are_dense_and_go_on(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.create_store(sample(spark, 40).repartition(7), path, "one")
+    store.append_findings(sample(spark, 31, "U").repartition(5), path, "two")
+    store.append_findings(sample(spark, 0, "V"), path, "none")
+    store.append_findings(sample(spark, 9, "W").repartition(3), path, "three")
+    back = store.read_store(spark, path)
+    assert sorted(r.id for r in back.collect()) == list(range(1, 81))
+    assert {(r.run_id, r.lo, r.hi) for r in back.groupBy("run_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect()} == {("one", 1, 40), ("two", 41, 71), ("three", 72, 80)}
+    reporting.register_findings(back)
+    assert [tuple(r) for r in reporting.run_query(spark, "SELECT MAX(id), COUNT(*), COUNT(DISTINCT id) FROM Findings").collect()] == [(80, 80, 80)]
+    store.clear_run(spark, path, "three")
+    store.append_findings(sample(spark, 2), path, "four")
+    assert store.last_id(spark, path) == 73
+    store.create_store(sample(spark, 3), path, "anew")
+    assert sorted(r.id for r in store.read_store(spark, path).collect()) == [1, 2, 3]
+
+
 def test_a_failing_redelivery_leaves_no_marker(spark, tmp_path):
     found = sample(spark, 3)
     folder = reporting.deliver(found, str(tmp_path), "r")
