@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ MIN_COUNT = 10
 INSIDE = 50  # percent of a phrase's occurrences that a longer candidate needs to replace it
 TOP = 2000
 SHARD_WORDS = 1 << 20
-HELD_WORDS = 3 << 20  # of all languages in a task, about
+HELD_WORDS, HELD_TOKENS = 1 << 20, 4 << 20  # of all languages in a task, about
 WORD_BITS = 21  # SHARD_WORDS and two more fit
 UNITED_ARCS = 4_000_000
 DEALT = 64
@@ -65,7 +66,7 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, and the sum of the weights of each."""
     order = np.argsort(keys, kind="stable")
-    keys, starts = keys[order], None
+    keys = keys[order]
     starts = _starts(keys)
     return keys[starts], np.add.reduceat(weights[order], starts) if len(starts) else weights[:0]
 
@@ -78,6 +79,14 @@ def _spread(offsets: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(len(owner)) - first[owner] + offsets[states][owner], owner
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
+
+
+def _unsqueezed(raw: bytes) -> bytes:
+    return zstandard.decompress(raw)
+
+
 @dataclass
 class Transducer:
     """States of depth one and two with their arcs: label (a word's number), weight, and target if not the last word."""
@@ -110,7 +119,9 @@ class Transducer:
                 yield [self.words[first[p]], self.words[second[p]], self.words[c]], n
 
     def packed(self) -> list[bytes]:
-        return [b" ".join(self.words), *(x.astype("<i8").tobytes() if x.size and x.max() >> 31 else x.astype("<i4").tobytes() for x in self.parts())]
+        """Compressed by column, which are alike in themselves; four bytes a number if that is enough."""
+        narrow = ("<i8" if x.size and x.max() >> 31 else "<i4" for x in self.parts())
+        return [_squeezed(b" ".join(self.words)), *(_squeezed(x.T.astype(kind).tobytes()) for x, kind in zip(self.parts(), narrow, strict=True))]
 
     def parts(self) -> list[np.ndarray]:
         return [self.root, self.middle, self.middle_at, self.leaf, self.leaf_at]
@@ -118,21 +129,35 @@ class Transducer:
     @staticmethod
     def unpacked(words: bytes, sizes: list[int], raw: list[bytes]) -> Transducer:
         """``sizes`` are the numbers of values of the arrays, which tell their width."""
-        root, middle, middle_at, leaf, leaf_at = (np.frombuffer(r, f"<i{len(r) // n}" if n else "<i4").astype(np.int64) for r, n in zip(raw, sizes, strict=True))
-        return Transducer(words.split(b" ") if words else [], root.reshape(-1, 3), middle.reshape(-1, 3), middle_at, leaf.reshape(-1, 2), leaf_at)
+        words, *plain = map(_unsqueezed, (words, *raw))
+        root, middle, middle_at, leaf, leaf_at = (np.frombuffer(r, f"<i{len(r) // n}" if n else "<i4").astype(np.int64) for r, n in zip(plain, sizes, strict=True))
+        whole = lambda x, width: np.ascontiguousarray(x.reshape(width, -1).T)
+        return Transducer(words.split(b" ") if words else [], whole(root, 3), whole(middle, 3), middle_at, whole(leaf, 2), leaf_at)
 
 
 def _frozen(arcs: np.ndarray, starts: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Goes through sorted ``arcs``, cut into states at ``starts`` (one more than states), and shares equal states.
 
-    Returns each state's number in the register, and the registered states' arcs and where they begin.
+    Returns each state's number in the register, and the registered states' arcs and where they begin. States of one
+    arc, which most are, are found equal by sorting them, others by their bytes as they come.
     """
+    sizes = np.diff(starts)
+    one = np.flatnonzero(sizes == 1)
+    single = arcs[starts[:-1][one]]
+    order = np.lexsort(single.T[::-1])
+    new = np.ones(len(one), bool)
+    new[1:] = (single[order][1:] != single[order][:-1]).any(axis=1)
+    numbers = np.empty(states, np.int64)
+    numbers[one[order]] = np.cumsum(new) - 1
+    alone = single[order][new]
     raw, width = arcs.tobytes(), arcs.shape[1] * 8
-    cuts = (starts * width).tolist()
     register: dict[bytes, int] = {}
-    numbers = np.fromiter((register.setdefault(raw[a:b], len(register)) for a, b in itertools.pairwise(cuts)), np.int64, states)
-    sizes = np.fromiter((len(x) // width for x in register), np.int64, len(register))
-    return numbers, np.frombuffer(b"".join(register), np.int64).reshape(-1, arcs.shape[1]), np.concatenate([[0], np.cumsum(sizes)])
+    more = np.flatnonzero(sizes != 1)
+    cuts = zip((starts[:-1][more] * width).tolist(), (starts[1:][more] * width).tolist(), strict=True)
+    numbers[more] = np.fromiter((register.setdefault(raw[a:b], len(register)) for a, b in cuts), np.int64, len(more)) + len(alone)
+    lengths = np.concatenate([np.ones(len(alone), np.int64), np.fromiter((len(x) // width for x in register), np.int64, len(register))])
+    rest = np.frombuffer(b"".join(register), np.int64).reshape(-1, arcs.shape[1])
+    return numbers, np.concatenate([alone, rest]), np.concatenate([[0], np.cumsum(lengths)])
 
 
 def built(words: list[bytes], ones: tuple, pairs: tuple, triples: tuple) -> Transducer:
@@ -149,17 +174,30 @@ def built(words: list[bytes], ones: tuple, pairs: tuple, triples: tuple) -> Tran
 
 def _only_used(words: list[bytes], *columns: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
     """Words that the columns use, in order, and the columns in their new numbers."""
-    used = np.unique(np.concatenate(columns))
-    return [words[i] for i in used.tolist()], [np.searchsorted(used, c) for c in columns]
-
-
-def shard_transducers(stream: list[bytes], ranges: int, lang: bytes) -> Iterator[tuple[int, Transducer]]:
-    """(range, transducer) of the phrases that begin in the stream, but not among its last two tokens."""
-    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    at = np.fromiter(map(number.__getitem__, stream), np.int64, len(stream))
-    words = sorted(number.keys() - {END})
-    rank = np.full(len(number), -1, np.int64)
-    rank[[number[w] for w in words]] = np.arange(len(words))
+    used = np.zeros(len(words), bool)
+    for c in columns:
+        used[c] = True
+    renumbered = np.cumsum(used) - 1
+    return [words[i] for i in np.flatnonzero(used).tolist()], [renumbered[c] for c in columns]
+
+
+class Vocabulary(dict):
+    """Numbers of words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
+def shard_transducers(stream: np.ndarray, number: Vocabulary, ranges: int, lang: bytes) -> Iterator[tuple[int, Transducer]]:
+    """(range, transducer) of the phrases that begin in the stream of words' numbers, but not among its last two."""
+    known, at = np.unique(stream, return_inverse=True)
+    every = list(number)
+    mine = [every[i] for i in known.tolist()]
+    order = sorted((i for i, w in enumerate(mine) if w != END), key=mine.__getitem__)
+    words = [mine[i] for i in order]
+    rank = np.full(len(mine), -1, np.int64)
+    rank[order] = np.arange(len(order))
     at = rank[at]
     first, second, third = at[:-2], at[1:-1], at[2:]
     in_one = first >= 0
@@ -191,11 +229,6 @@ def _range(first: np.ndarray, second: np.ndarray, lang: bytes, ranges: int) -> n
     return ((mixed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def range_of(phrase: list[bytes], lang: bytes, ranges: int) -> int:
-    hashes = [np.array([xxhash.xxh64_intdigest(w, 42)], np.uint64) for w in phrase[:2]]
-    return int(_range(hashes[0], hashes[1] if len(hashes) > 1 else np.zeros(1, np.uint64), lang, ranges)[0])
-
-
 def united(transducers: list[Transducer], least: int = 1) -> Transducer:
     """The union, weights summed; phrases below ``least`` go."""
     words = sorted(set().union(*(t.words for t in transducers)))
@@ -206,7 +239,8 @@ def united(transducers: list[Transducer], least: int = 1) -> Transducer:
     of_pairs = [(n[x[0]] << 32 | n[x[1]], x[2]) for x, n in ((t.pairs(), n) for t, n in zip(transducers, new, strict=True))]
     pairs = _summed(np.concatenate(none + [k for k, _ in of_pairs]), np.concatenate(none + [w for _, w in of_pairs]))
     # A pair's number among all stands for its prefix.
-    of_triples = [(np.searchsorted(pairs[0], k[x[0]]) << 32 | n[x[1]], x[2]) for x, (k, _), n in ((t.triples(), k, n) for t, k, n in zip(transducers, of_pairs, new, strict=True))]
+    among = [np.searchsorted(pairs[0], k) for k, _ in of_pairs]
+    of_triples = [(m[x[0]] << 32 | n[x[1]], x[2]) for x, m, n in zip((t.triples() for t in transducers), among, new, strict=True)]
     triples = _summed(np.concatenate(none + [k for k, _ in of_triples]), np.concatenate(none + [w for _, w in of_triples]))
     ones, pairs_kept, triples = (tuple(x[w >= least] for x in (k, w)) for k, w in (ones, pairs, triples))
     # A phrase's prefix is at least as frequent as it is, so no pair of a triple is missing.
@@ -263,11 +297,9 @@ BLOB = "lang string, range long, total long, words binary, sizes array<long>, ro
 _BLOB_ARROW = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("total", pa.int64()), ("words", pa.binary()), ("sizes", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("root", "middle", "middle_at", "leaf", "leaf_at"))])
 
 
-def _blobs(rows: Iterable[tuple[str, int, Transducer]], least: int = 1) -> Iterator[pa.RecordBatch]:
-    """Transducers as rows, with the sum of all words' weights; then phrases below ``least`` go."""
+def _blobs(rows: Iterable[tuple[str, int, Transducer]], total: int = 0) -> Iterator[pa.RecordBatch]:
+    """Transducers as rows, with the number of all words."""
     for lang, k, t in rows:
-        total = int(t.root[:, 1].sum())
-        t = united([t], least) if least > 1 else t
         words, *raw = t.packed()
         yield pa.RecordBatch.from_pylist([dict(zip(_BLOB_ARROW.names, [lang, k, total, words, [x.size for x in t.parts()], *raw], strict=True))], _BLOB_ARROW)
 
@@ -281,32 +313,40 @@ def shards(docs: DataFrame, ranges: int) -> DataFrame:
     """Each shard's transducers, one for each prefix range."""
 
     def run(batches):
-        held: dict[str, list[bytes]] = defaultdict(list)
+        held: dict[str, list[np.ndarray]] = defaultdict(list)
+        numbers: dict[str, Vocabulary] = defaultdict(Vocabulary)
+        sizes: Counter = Counter()
 
         def cut(lang, least):
             """Slices with two tokens more, whose phrases the next slice has."""
-            stream, at = held[lang], 0
+            stream, at = np.concatenate(held[lang]), 0
             while len(stream) - at >= least:
-                yield from ((lang, *x) for x in shard_transducers(stream[at : at + SHARD_WORDS + 2], ranges, lang.encode()))
+                yield from ((lang, *x) for x in shard_transducers(stream[at : at + SHARD_WORDS + 2], numbers[lang], ranges, lang.encode()))
                 at += SHARD_WORDS
-            held[lang] = stream[at:]
+            held[lang] = [stream[at:]]
+            sizes[lang] = len(held[lang][0])
 
         def rest():
             for lang in list(held):
-                held[lang] += [END, END]
+                held[lang].append(np.full(2, numbers[lang][END]))
                 yield from _blobs(cut(lang, 3))
-            held.clear()
+            for x in (held, numbers, sizes):
+                x.clear()
 
-        total = 0
+        words = total = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                number, before = numbers[lang], len(numbers[lang])
                 for some in tokens(text):
-                    held[lang] += some
-                    yield from _blobs(cut(lang, SHARD_WORDS + 2))
+                    held[lang].append(np.fromiter(map(number.__getitem__, some), np.int64, len(some)))
+                    sizes[lang] += len(some)
                     total += len(some)
-                if total > HELD_WORDS:
+                    if sizes[lang] >= SHARD_WORDS + 2:
+                        yield from _blobs(cut(lang, SHARD_WORDS + 2))
+                words += len(number) - before
+                if words > HELD_WORDS or total > HELD_TOKENS:
                     yield from rest()
-                    total = 0
+                    words = total = 0
         yield from rest()
 
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), utf8().alias("text")).mapInArrow(run, BLOB)
@@ -317,19 +357,20 @@ def _united_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     Phrases below MIN_COUNT go at the end.
     """
-    now, held, arcs = None, [], 0
+    now, held, arcs, words = None, [], 0, 0
     for lang, k, t in itertools.chain.from_iterable(map(_of_blobs, batches)):
         if now != (lang, k):
             if held:
-                yield from _blobs([(*now, united(held))], MIN_COUNT)
-            now, held, arcs = (lang, k), [], 0
+                yield from _blobs([(*now, united(held, MIN_COUNT))], words)
+            now, held, arcs, words = (lang, k), [], 0, 0
         held.append(t)
+        words += int(t.root[:, 1].sum())
         arcs += sum(map(len, (t.root, t.middle, t.leaf)))
         if arcs > UNITED_ARCS:
             held = [united(held)]
             arcs = 0
     if held:
-        yield from _blobs([(*now, united(held))], MIN_COUNT)
+        yield from _blobs([(*now, united(held, MIN_COUNT))], words)
 
 
 CUTS = "lang string, phrase string, a long, k int, side string, part string, range long"
@@ -340,17 +381,26 @@ def _cuts(ranges: int):
 
     def run(batches):
         names = [x.split()[0] for x in CUTS.split(", ")]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64())
         for batch in batches:
             for lang, _, t in _of_blobs(batch):
-                rows = []
-                for phrase, a in t.phrases():
-                    whole = b" ".join(phrase).decode()
-                    for k in range(1, len(phrase)):
-                        for side, part in (("l", phrase[:k]), ("r", phrase[k:])):
-                            rows.append((lang, whole, a, k, side, b" ".join(part).decode(), range_of(part, lang.encode(), ranges)))
-                for at in range(0, len(rows), 50_000):
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[at : at + 50_000], strict=True), kinds, strict=True)], names)
+                words = [w.decode() for w in t.words]
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in t.words), np.uint64, len(words))
+                first, second, twice, _ = t.pairs()
+                owner, third, thrice = t.triples()
+                for of, count in (((first, second), twice), ((first[owner], second[owner], third), thrice)):
+                    for at in range(0, len(count), 20_000):
+                        part = [w[at : at + 20_000] for w in of]
+                        spelt = [[words[i] for i in w.tolist()] for w in part]
+                        phrases = list(map(" ".join, zip(*spelt, strict=True)))
+                        for k in range(1, len(of)):
+                            for side, span in (("l", slice(0, k)), ("r", slice(k, None))):
+                                two = [hashes[w] for w in part[span][:2]] + [np.zeros(1, np.uint64)]
+                                columns = [
+                                    [lang] * len(phrases), phrases, count[at : at + 20_000], [k] * len(phrases), [side] * len(phrases),
+                                    list(map(" ".join, zip(*spelt[span], strict=True))), _range(two[0], two[1], lang.encode(), ranges),
+                                ]
+                                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
     return run
 

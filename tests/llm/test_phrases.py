@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from repocensus.llm import phrases
@@ -66,6 +67,11 @@ def test_given_documents(spark):
     _compare(spark, [tuple(r) for r in rows])
 
 
+def _numbered(words):
+    number = phrases.Vocabulary()
+    return number, np.array([number[w] for w in words])
+
+
 def test_slices_overlap(monkeypatch):
     """Short slices of texts and of the words of a task lose no phrase."""
     monkeypatch.setattr(phrases, "SLICE", 7)
@@ -75,9 +81,9 @@ def test_slices_overlap(monkeypatch):
     assert whole == [w for part in phrases.tokens(text.encode()) for w in part]
     want = Counter({p: c for p, c in _counted([(text, "en")])["en"].items() if len(p) > 1})
     got = Counter()
-    stream = [*whole, phrases.END, phrases.END]
+    number, stream = _numbered([*whole, phrases.END, phrases.END])
     for at in range(0, len(stream) - 2, 50):
-        for _, t in phrases.shard_transducers(stream[at : at + 52], 3, b"en"):
+        for _, t in phrases.shard_transducers(stream[at : at + 52], number, 3, b"en"):
             got.update({tuple(w.decode() for w in p): n for p, n in t.phrases()})
     assert got == want
 
@@ -90,7 +96,7 @@ def test_union_and_composition(least):
     for s in streams:
         for n in (1, 2, 3):
             want.update(tuple(s[i : i + n]) for i in range(len(s) - n + 1) if phrases.END not in s[i : i + n])
-    each = [t for s in streams for _, t in phrases.shard_transducers(s, 1, b"en")]
+    each = [t for s in streams for number, at in [_numbered(s)] for _, t in phrases.shard_transducers(at, number, 1, b"en")]
     whole = phrases.united([phrases.united(each[:2]), *each[2:]], least)
     frequent = {p: n for p, n in want.items() if n >= least}
     assert dict((tuple(p), n) for p, n in whole.phrases()) == {p: n for p, n in frequent.items() if len(p) > 1}
@@ -105,7 +111,8 @@ def test_union_and_composition(least):
 def test_equal_states_are_shared():
     """Phrases with one continuation of the same weight end in one state."""
     stream = b"a x z \xff b x z \xff c x z \xff \xff".split()
-    ((_, t),) = phrases.shard_transducers(stream, 1, b"en")
+    number, at = _numbered(stream)
+    ((_, t),) = phrases.shard_transducers(at, number, 1, b"en")
     assert len(t.leaf_at) - 1 == 2 and len(t.middle_at) - 1 == 3
 
 
