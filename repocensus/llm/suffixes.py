@@ -38,6 +38,7 @@ GRAM = 64  # a power of two
 GRAMS = LENGTH - GRAM + 1  # inside a LENGTH-byte string
 PLACE_BITS = 20
 RUN_SUFFIXES = 200_000
+RANGES_PER_TASK = 2  # merged one after the other
 _BYTES = np.random.default_rng(12).integers(0, 1 << 64, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -262,7 +263,8 @@ def _runs(ranges: int):
             lists = batch.column(2)
             wanted = np.repeat(begins[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
             use = np.flatnonzero(np.isin(place, wanted))
-            k = (hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            # Anchors' hashes are least ones, so they are mixed before they are dealt.
+            k = ((hashed * np.uint64(_BASE)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             locators = batch.column(0).to_numpy(zero_copy_only=False)
             columns = (k[use], place[use], first[use], last[use], locators[doc[use]], place[use] - begins[doc[use]])
             for r, p, a, b, locator, inside in zip(*(c.tolist() for c in columns), strict=True):
@@ -288,9 +290,11 @@ def _merged_range(rows: list[dict]) -> pa.RecordBatch:
         cuts = np.cumsum([0, *lefts]).tolist()
         before.append([row["before"][a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
         copies.append(np.frombuffer(row["copies"], "<i4"))
+        row["rests"] = row["before"] = None
     order, right = merged(runs)
     strings = [runs[r][0][i] for r, i in order]
     lefts = [before[r][i] for r, i in order]
+    del runs, before
     by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
     left = [0] + [mismatch(lefts[a], lefts[b], 0) for a, b in zip(by_left, by_left[1:], strict=False)]
     place_of_left = np.empty(len(lefts), np.int64)
@@ -326,22 +330,37 @@ def _merged_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _merged_range(held)
 
 
+def _row_spans(row: dict) -> tuple[np.ndarray, ...]:
+    """Repeated spans (locator, start, stop) from a run's copies, locators and places in one range and the verdicts on its suffixes."""
+    entry, low, high = (np.array(row[c], np.int64) for c in ("entry", "low", "high"))
+    copies = np.frombuffer(row["copies"], "<i4")
+    suffix = np.repeat(np.arange(len(copies)), copies)
+    a, b = np.searchsorted(entry, suffix), np.searchsorted(entry, suffix, "right")
+    copy = np.repeat(np.arange(len(suffix)), b - a)
+    which = np.arange(len(copy)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[copy]
+    place = np.array(row["places"], np.int64)[copy]
+    return np.array(row["locators"], np.int64)[copy], place - high[which], place - low[which] + LENGTH
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated spans of documents, from runs' copies, locators and places and the verdicts on their suffixes."""
+    """Spans of documents; rows come by run, which has all suffixes of its documents."""
+
+    def whole(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        locators, starts, stops = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((starts, locators))
+        columns = _joined(locators[order], starts[order], stops[order])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["locator", "start", "stop"])
+
+    now, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            entry, low, high = (np.array(row[c], np.int64) for c in ("entry", "low", "high"))
-            copies = np.frombuffer(row["copies"], "<i4")
-            suffix = np.repeat(np.arange(len(copies)), copies)
-            a, b = np.searchsorted(entry, suffix), np.searchsorted(entry, suffix, "right")
-            copy = np.repeat(np.arange(len(suffix)), b - a)
-            which = np.arange(len(copy)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[copy]
-            place = np.array(row["places"], np.int64)[copy]
-            starts, stops = place - high[which], place - low[which] + LENGTH
-            locators = np.array(row["locators"], np.int64)[copy]
-            order = np.lexsort((starts, locators))
-            locators, starts, stops = _joined(locators[order], starts[order], stops[order])
-            yield pa.RecordBatch.from_arrays([pa.array(locators), pa.array(starts), pa.array(stops)], ["locator", "start", "stop"])
+            if held and row["run"] != now:
+                yield whole(held)
+                held = []
+            now = row["run"]
+            held.append(_row_spans(row))
+    if held:
+        yield whole(held)
 
 
 def _joined(owner: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -385,7 +404,8 @@ def removed_spans(own: list[dict] | None) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(``locator``, ``spans`` as ``start`` and ``stop``) of documents (``locator``, ``text`` as bytes) with repeated strings."""
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES_PER_TASK * tasks
     with batch_rows(spark, 128):
         found = stored(docs.select("locator", "text").mapInArrow(_anchor_rows, "hash long, locator long, place long"), "suffix-anchors")
         shared = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -393,9 +413,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         with_text = docs.join(places, "locator").select("locator", "text", "places")
         runs = stored(with_text.mapInArrow(_runs(ranges), RUN), "suffix-runs", shuffles_go=True)
     with batch_rows(spark, 4):
-        dealt = runs.drop("locators", "places").repartition(ranges, "range").sortWithinPartitions("range")
+        dealt = runs.drop("locators", "places").repartition(tasks, "range").sortWithinPartitions("range")
         verdicts = stored(dealt.mapInArrow(_merged_ranges, VERDICT), "suffix-verdicts", shuffles_go=True)
-        both = runs.select("run", "range", "copies", "locators", "places").join(verdicts, ["run", "range"])
+        both = runs.select("run", "range", "copies", "locators", "places").join(verdicts, ["run", "range"]).repartition(tasks, "run").sortWithinPartitions("run")
         spans = both.mapInArrow(_spans, "locator long, start long, stop long")
         return stored(spans.groupBy("locator").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans", shuffles_go=True)
 
