@@ -1,15 +1,14 @@
 """Repository history metrics: thirteen finding rows per repository.
 
-Inputs are the REFS, TAGS and COMMITS tables.  Everything is grouped aggregation with
-map-side combining, reduced to (repository, day) before any per-repository step, so one
-repository may own most of the history.
+Inputs are the REFS, TAGS and COMMITS tables.  Numbers are grouped aggregation with
+map-side combining, reduced to (repository, day) before any per-repository step; ordered steps
+(branch lists, tag gaps) run over range partitions.  So one repository may own most of the history.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from repocensus.functions.props import Json, number, props
 from repocensus.functions.times import (
@@ -24,12 +23,15 @@ from repocensus.functions.times import (
     week_key,
 )
 from repocensus.operators.extractor import finding
+from repocensus.operators.ordering import ranked, with_previous, written
 from repocensus.schemas import FINDING_COLUMNS
 
 NOT_ENOUGH_TAGS = "Not enough tags to calculate"
 # Fixed value: the time of a tag that has neither a tagger nor a commit.
 UNKNOWN_TIME = "TIMESTAMP_NTZ '0001-01-01 00:00:00'"
 BRANCH_KINDS = ["branch", "remote"]
+# Names in one finding of a branch list.
+PIECE = 10_000
 
 
 def _after(when: Column, cutoff: Column) -> Column:
@@ -68,14 +70,9 @@ def branch_counts(kept: DataFrame) -> DataFrame:
 
 
 def branch_names(kept: DataFrame) -> DataFrame:
-    """(repo_name, branch_count, names): a repository's sorted ref names as one JSON text array.
-
-    The list is the content of a single finding, so it is as long as the repository's refs are many.
-    """
-    return kept.groupBy("repo_name").agg(
-        F.count("*").alias("branch_count"),
-        F.to_json(F.array_sort(F.collect_list("ref_name"))).alias("names"),
-    )
+    """(repo_name, piece, names): a repository's sorted ref names as JSON text arrays of at most PIECE names each."""
+    pieces = ranked(kept.select("repo_name", "ref_name"), "repo_name", "ref_name").groupBy("repo_name", F.floor(F.col("rank") / PIECE).alias("piece"))
+    return pieces.agg(F.to_json(F.array_sort(F.collect_list("ref_name"))).alias("names"))
 
 
 def tag_stats(times: DataFrame) -> DataFrame:
@@ -92,34 +89,11 @@ def tag_gaps(times: DataFrame) -> DataFrame:
 
     Their mean is (last - first) / (n - 1), which is what the metric uses; this table is for
     looking at the gaps themselves.  Tags of the same second are ordered by name.
-
-    One repository may own most tags, so no window spans a repository's tags: gaps are
-    taken between its distinct seconds within a day, and across days from one row per day.
     """
-    second = F.date_trunc("SECOND", "tagged_at").alias("second")
-    seconds = times.groupBy("repo_name", second).agg(F.min("tag_name").alias("first_name"))
-    seconds = seconds.withColumn("day", F.to_date("second"))
-    within_day = W.partitionBy("repo_name", "day").orderBy("second")
-    days = seconds.groupBy("repo_name", "day").agg(F.max("second").alias("last_second"))
-    earlier = F.lag("last_second").over(W.partitionBy("repo_name").orderBy("day"))
-    days = days.select("repo_name", "day", earlier.alias("day_before"))
-    chained = (
-        seconds.withColumn("same_day", F.lag("second").over(within_day))
-        .join(days, ["repo_name", "day"])
-        .withColumn("previous", F.coalesce("same_day", "day_before"))
-        .select(
-            "repo_name", "second", "first_name",
-            (epoch_seconds(F.col("second")) - epoch_seconds(F.col("previous"))).alias("step"),
-        )
-    )
-    tagged = times.withColumn("second", F.date_trunc("SECOND", F.col("tagged_at")))
-    first = F.col("tag_name") == F.col("first_name")
-    gap = F.when(first, F.col("step")).otherwise(F.lit(0).cast("bigint"))
-    return (
-        tagged.join(chained, ["repo_name", "second"])
-        .select("repo_name", "tag_name", "tagged_at", gap.alias("gap_seconds"))
-        .where(F.col("gap_seconds").isNotNull())
-    )
+    seconds = times.withColumn("second", epoch_seconds(F.col("tagged_at")))
+    chained = with_previous(seconds, ["repo_name", "second", "tag_name"], ["repo_name", "second"])
+    gap = F.col("second") - F.col("previous_second")
+    return chained.where(F.col("previous_repo_name") == F.col("repo_name")).select("repo_name", "tag_name", "tagged_at", gap.alias("gap_seconds"))
 
 
 def daily_commits(commits: DataFrame, *also: str) -> DataFrame:
@@ -201,7 +175,7 @@ def repository_stats(
     """One wide row of metric values per repository, present even without any history."""
     return (
         repos.select("repo_name").distinct()
-        .join(branch_names(branches(refs, cutoff)), "repo_name", "left")
+        .join(branch_counts(branches(refs, cutoff)), "repo_name", "left")
         .join(tag_stats(tag_times(tags, cutoff)), "repo_name", "left")
         .join(commit_stats(commits_after(commits, cutoff)), "repo_name", "left")
     )
@@ -217,8 +191,9 @@ def metric_rows() -> Column:
     mean_gap = (F.col("last_tag") - F.col("first_tag")).cast("double") / (
         F.col("tag_count") - 1
     ).cast("double")
+    branch_count = F.coalesce(F.col("branch_count"), F.lit(0)).cast("string")
     rows = [
-        _with_names(),
+        _branch_list(("branches", F.coalesce("names", F.lit("null"))), ("cutoff", F.col("cutoff").cast("string")), ("value", branch_count)),
         _metric("Tag Count", count("tag_count")),
         _metric(
             "Average Time Between Tags",
@@ -240,13 +215,9 @@ def metric_rows() -> Column:
     return F.array(*rows)
 
 
-def _with_names() -> Column:
-    text = F.concat(
-        F.lit('{"branches":'), F.coalesce(F.col("names"), F.lit("null")),
-        F.lit(',"cutoff":'), F.col("cutoff").cast("string"),
-        F.lit(',"value":'), F.coalesce(F.col("branch_count"), F.lit(0)).cast("string"), F.lit("}"),
-    )
-    return finding("Branch Count", "git_metric", "repository_analysis", text)
+def _branch_list(*members: tuple[str, Column]) -> Column:
+    text = [x for key, value in members for x in (F.lit(f'"{key}":'), value, F.lit(","))][:-1]
+    return finding("Branch Count", "git_metric", "repository_analysis", F.concat(F.lit("{"), *text, F.lit("}")))
 
 
 def git_metrics(
@@ -256,11 +227,14 @@ def git_metrics(
     commits: DataFrame,
     cutoff: str | None = None,
 ) -> DataFrame:
-    """Thirteen ``git_metric`` findings per repository; the branch list is in the Branch Count row."""
-    return (
-        repository_stats(repos, refs, tags, commits, cutoff)
-        .withColumn("cutoff", cutoff_seconds(cutoff))
-        .select("repo_name", F.inline(metric_rows()))
-        .withColumn("path", F.lit(""))
-        .select(*FINDING_COLUMNS)
-    )
+    """Thirteen ``git_metric`` findings per repository; the branch list is in the Branch Count row.
+
+    A list of more than PIECE names goes on in further Branch Count rows, numbered by ``piece``.
+    """
+    pieces = written(branch_names(branches(refs, cutoff)), "branches")
+    limit = cutoff_seconds(cutoff)
+    stats = repository_stats(repos, refs, tags, commits, cutoff).join(pieces.where("piece = 0").select("repo_name", "names"), "repo_name", "left")
+    rows = stats.withColumn("cutoff", limit).select("repo_name", F.inline(metric_rows()))
+    more = _branch_list(("branches", F.col("names")), ("cutoff", limit.cast("string")), ("piece", F.col("piece").cast("string")))
+    further = pieces.where("piece > 0").select("repo_name", F.inline(F.array(more)))
+    return rows.unionByName(further).withColumn("path", F.lit("")).select(*FINDING_COLUMNS)

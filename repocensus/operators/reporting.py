@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from repocensus.functions import sqlite
 from repocensus.functions.props import json_text
+from repocensus.operators.ordering import written
 from repocensus.sources.batches import NamedQuery
 
 VIEW = "Findings"
@@ -168,30 +169,57 @@ def sorted_row_json(df: DataFrame) -> DataFrame:
 def write_json_summary(results: dict[str, DataFrame], out: str, prefix: str) -> str | None:
     """Write ``<out>/<prefix>_cloud_services_summary.json``: query name to result rows.
 
-    Queries without rows are left out and no queries mean no document.  Rows stream into the
-    document one partition at a time, so the driver never holds a whole result.
+    Queries without rows are left out and no queries mean no document.  The document is a folder of part files, which
+    executors write, and ``manifest.json`` with their names: one after the other they are one JSON object.
     """
     if not results:
         return None
     spark = next(iter(results.values())).sparkSession
     target = f"{(out or '.').rstrip('/')}/{prefix}_{JSON_SUMMARY}"
-
-    def pieces():
-        before = "{\n"
-        for name in sorted(results):
-            opened = False
-            for r in sorted_row_json(results[name]).toLocalIterator():
-                lead = ",\n    " if opened else f"{before}  {json.dumps(name)}: [\n    "
-                opened, before = True, ",\n"
-                yield lead + r["row"]
-            if opened:
-                yield "\n  ]"
-        yield "\n}\n" if before != "{\n" else "{\n\n}\n"
-
-    write_pieces(spark, target, pieces())
+    parts, queries = ["begin.json"], {}
+    write_text(spark, f"{target}/begin.json", "{\n")
+    for i, name in enumerate(sorted(results)):
+        folder = f"rows-{i:05}"
+        count = _write_rows(results[name], f"{target}/{folder}")
+        if not count:
+            continue
+        write_text(spark, f"{target}/head-{i:05}.json", f"{',' if queries else ' '} {json.dumps(name)}: [\n")
+        write_text(spark, f"{target}/tail-{i:05}.json", "  ]\n")
+        queries[name] = {"folder": folder, "rows": count}
+        parts += [f"head-{i:05}.json", *(f"{folder}/{x}" for x in _part_names(spark, f"{target}/{folder}")), f"tail-{i:05}.json"]
+    write_text(spark, f"{target}/end.json", "}\n")
+    write_text(spark, f"{target}/manifest.json", json.dumps({"parts": [*parts, "end.json"], "queries": queries}, indent=1))
     return target
 
 
+def _write_rows(df: DataFrame, folder: str) -> int:
+    """The rows as JSON lines in their order, all but the first with a comma before; their number."""
+    rows = written(sorted_row_json(df).withColumn("place", F.monotonically_increasing_id()), "report")
+    found = rows.agg(F.min("place").alias("first"), F.count("*").alias("n")).first()
+    if found["n"]:
+        lead = F.when(F.col("place") == found["first"], F.lit("    ")).otherwise(F.lit("   ,"))
+        # Places grow from one task to the next, so ranges of them keep the order.
+        ordered = rows.repartitionByRange("place").sortWithinPartitions("place")
+        ordered.select(F.concat(lead, "row").alias("value")).write.mode("overwrite").text(folder)
+    return found["n"]
+
+
+def _part_names(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in files if f.getPath().getName().startswith("part-"))
+
+
+def read_json_summary(spark: SparkSession, target: str, query: str, schema: str) -> DataFrame:
+    """A query's rows of a written summary, read in parallel; none if it had none."""
+    manifest = json.loads("\n".join(r.value for r in spark.read.text(f"{target}/manifest.json").collect()))
+    at = manifest["queries"].get(query)
+    if at is None:
+        return spark.createDataFrame([], schema)
+    row = F.regexp_replace("value", r"^[ ,]+", "")
+    return spark.read.text(f"{target}/{at['folder']}").select(F.from_json(row, schema).alias("row")).select("row.*")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file (see :func:`write_pieces`)."""
     write_pieces(spark, path, [text])

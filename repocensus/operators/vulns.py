@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from repocensus.functions.props import props
 from repocensus.operators.extractor import finding
 
+# Where Spark's readers put a record that they cannot read.
+CORRUPT = "_corrupt_record"
+
 
 def vulnerability_findings(reports: DataFrame) -> DataFrame:
     """One finding per vulnerability of (repo_name, Results) report rows."""
@@ -37,3 +40,12 @@ def vulnerability_findings(reports: DataFrame) -> DataFrame:
     return reports.select("repo_name", F.inline(rows)).select(
         "name", "type", "category", F.lit("").alias("path"), "repo_name", "properties"
     )
+
+
+def vulnerability_scan(reports: DataFrame) -> DataFrame:
+    """The findings, and a row with a ``message`` for each report that could not be read (``_corrupt_record``)."""
+    found = vulnerability_findings(reports).withColumn("message", F.lit(None).cast("string"))
+    if CORRUPT not in reports.columns:
+        return found
+    bad = reports.where(F.col(CORRUPT).isNotNull()).select("repo_name", F.lit("unreadable vulnerability report").alias("message"))
+    return found.unionByName(bad, allowMissingColumns=True)

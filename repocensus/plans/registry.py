@@ -14,7 +14,7 @@ from repocensus.operators import docker, gitmetrics, iac, languages, manifests,
 from repocensus.operators.extractor import Extractor, extract, extract_errors
 from repocensus.operators.matching import candidate_files, match_patterns
 from repocensus.operators.rule_join import match_by_rules
-from repocensus.operators.vulns import vulnerability_findings
+from repocensus.operators.vulns import vulnerability_findings, vulnerability_scan
 from repocensus.plans import scan as plan
 from repocensus.plans.summary import summarise
 from repocensus.session import shared_dir
@@ -560,7 +560,40 @@ def one_repository(spark, sf):
     found = plan.scan_repository(
         tb.go_mods(spark, sf), "repo_7", extractors=[manifests.go_modules()]
     )
-    return found.select("path", "name", _prop("Version"))
+    return found.findings.select("path", "name", _prop("Version"))
+
+
+@register(
+    "one_repository_with_post_scans",
+    f"""SELECT 'Docker Directive' AS kind, count(*) AS n FROM ({DOCKER_SQL}) WHERE repo_name = 'repo_7'
+        UNION ALL SELECT 'VULNERABILITY_SCAN', 2 * count(*) FROM lineitem WHERE l_suppkey = 7 AND l_linenumber <> 4
+        UNION ALL SELECT 'git_metric', 13
+        UNION ALL SELECT 'warning: dockerfile', count(*) FROM lineitem WHERE l_suppkey = 7 AND l_linenumber = 5
+        UNION ALL SELECT 'warning: (post-scan)', count(*) FROM lineitem WHERE l_suppkey = 7 AND l_linenumber = 4""",
+)
+def one_repository_with_post_scans(spark, sf):
+    """Files, history and reports of one repository; every report of a fourth line is unreadable, which warns and drops nothing."""
+    history = lambda: gitmetrics.git_metrics(
+        tb.repos(spark, sf), tb.refs(spark, sf), tb.tags(spark, sf), tb.commits(spark, sf)
+    )
+    reports = lambda: vulnerability_scan(tb.damaged_reports(spark, sf))
+    found = plan.scan_repository(tb.dockerfiles(spark, sf), "repo_7", [history, reports], [docker.dockerfile()])
+    warnings = found.warnings.select(F.concat(F.lit("warning: "), "extractor").alias("kind"))
+    return found.findings.select(F.col("type").alias("kind")).union(warnings).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@register(
+    "failed_post_scans_dropped",
+    f"""WITH failed AS (SELECT DISTINCT {LINE_REPO} AS repo_name FROM lineitem WHERE l_linenumber = 4 AND l_suppkey % 5 = 0
+                        UNION SELECT DISTINCT {LINE_REPO} FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 10 = 0)
+        SELECT repo_name, count(*) AS findings FROM (SELECT repo_name FROM ({DOCKER_SQL}) UNION ALL SELECT {LINE_REPO} FROM lineitem
+               UNION ALL SELECT {LINE_REPO} FROM lineitem) WHERE repo_name NOT IN (SELECT repo_name FROM failed) GROUP BY 1""",
+)
+def failed_post_scans_dropped(spark, sf):
+    """Repositories with an unreadable file or an unreadable report are dropped, all others whole."""
+    reports = lambda: vulnerability_scan(tb.damaged_reports(spark, sf, "l_linenumber = 4 AND l_suppkey % 5 = 0"))
+    found = plan.scan_repositories(_unreadable(tb.dockerfiles(spark, sf)), [reports], [docker.dockerfile()])
+    return reporting.findings_per_repository(found)
 
 
 # --------------------------------------------------------------------------- vulnerabilities
@@ -608,7 +641,9 @@ def branch_counts(spark, sf):
 def branch_names(spark, sf):
     """Refs per repository as one list."""
     kept = gitmetrics.branches(tb.refs(spark, sf))
-    return gitmetrics.branch_names(kept).select("repo_name", "names")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("piece", "names"))), lambda p: F.substring(p["names"], F.lit(2), F.length(p["names"]) - 2))
+    whole = F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
+    return gitmetrics.branch_names(kept).groupBy("repo_name").agg(whole.alias("names"))
 
 
 @register(
@@ -1012,10 +1047,10 @@ def json_summary(spark, sf):
         batches.NamedQuery("none", "SELECT Name FROM Findings WHERE Type = 'nothing'"),
     ]
     results = reporting.run_queries(spark, queries)
-    written = reporting.write_json_summary(results, shared_dir(spark, "report"), "census")
-    document = spark.read.text(written, wholetext=True)
-    schema = "images ARRAY<STRUCT<image: STRING, services: BIGINT>>, none ARRAY<STRUCT<Name: STRING>>"
-    return document.select(F.inline(F.from_json("value", schema)["images"]))
+    target = reporting.write_json_summary(results, shared_dir(spark, "report"), "census")
+    images = reporting.read_json_summary(spark, target, "images", "image STRING, services BIGINT")
+    none = reporting.read_json_summary(spark, target, "none", "Name STRING")
+    return images.join(none, F.col("image") == F.col("Name"), "left_anti")
 
 
 @register(

@@ -27,14 +27,14 @@ def read_batches(spark: SparkSession, folder: str, multi_line: bool = False) ->
     return parsed.where(F.col("batch._corrupt").isNull()).select("batch.*").select(*FINDING_COLUMNS)
 
 
-def read_vulnerability_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Scanner reports laid out as ``<folder>/repo_name=<name>/<file>.json``."""
-    return (
-        spark.read.schema(VULN_REPORT)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(folder)
-    )
+def read_vulnerability_reports(spark: SparkSession, folder: str, keep_unreadable: bool = False) -> DataFrame:
+    """Scanner reports laid out as ``<folder>/repo_name=<name>/<file>.json``.
+
+    Unreadable ones are left out, or kept with their text in ``_corrupt_record``.
+    """
+    schema = f"{VULN_REPORT}, _corrupt_record STRING" if keep_unreadable else VULN_REPORT
+    mode = "PERMISSIVE" if keep_unreadable else "DROPMALFORMED"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(folder)
 
 
 @dataclass(frozen=True)

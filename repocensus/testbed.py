@@ -395,12 +395,25 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vulnerability_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report per line item: a result with two vulnerabilities and an empty one."""
+    return _line_reports(spark, sf_dir).select("repo_name", "Results")
+
+
+def damaged_reports(spark: SparkSession, sf_dir: str, where: str = "l_linenumber = 4") -> DataFrame:
+    """The reports, some of them as a reader leaves what it cannot read."""
+    bad = F.expr(where)
+    return _line_reports(spark, sf_dir).select(
+        "repo_name", F.when(~bad, F.col("Results")).alias("Results"), F.when(bad, F.lit("{cut off")).alias("_corrupt_record")
+    )
+
+
+def _line_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     vuln = lambda n, sev: (
         f"named_struct('VulnerabilityID', concat('CVE-', l_orderkey, '-', {n}), 'PkgName', concat('part-', l_partkey), "
         f"'InstalledVersion', CAST({QTY} AS STRING), 'FixedVersion', '9', 'Severity', {sev}, "
         f"'Title', concat('flaw ', {n}), 'Description', CAST(NULL AS STRING))"
     )
     return spread(table(spark, sf_dir, "lineitem")).select(
+        "*",
         F.expr(_LINE_REPO).alias("repo_name"),
         F.expr(
             "array(named_struct('Target', concat('o', l_orderkey), 'Class', 'lang', 'Type', l_linestatus, 'Vulnerabilities', array("

@@ -87,6 +87,34 @@ def test_long_branch_lists_stay_whole(history, spark):
     assert found.count() == 13
 
 
+def test_long_branch_lists_go_on_in_pieces(history, spark, monkeypatch):
+    monkeypatch.setattr(g, "PIECE", 7)
+    repos, _, tags, commits = history
+    names = [f"refs/heads/b{i:03}" for i in range(50)]
+    refs = spark.createDataFrame([("a", n, "branch", at("2024-01-01")) for n in names] + [("empty", "refs/x", "branch", at("2024-01-01"))], REFS)
+    found = g.git_metrics(repos, refs.repartition(5), tags, commits)
+    bags = [json.loads(r.properties) for r in found.where("repo_name = 'a' AND name = 'Branch Count'").collect()]
+    assert [x for b in sorted(bags, key=lambda b: b.get("piece", 0)) for x in b["branches"]] == names
+    assert sorted(b.get("piece", 0) for b in bags) == list(range(8)) and [b["value"] for b in bags if "value" in b] == [50]
+    assert found.count() == 26 + 7
+
+
+def test_tag_gaps_of_one_large_repository(spark):
+    """Equal times, undated tags and tasks with few rows; the plan reads its input once."""
+    rows = [("big", f"v{i:04}", None if i % 3 == 0 else at("2024-01-01") + dt.timedelta(seconds=(i * i) % 50)) for i in range(400)]
+    rows += [("one", "v", at("2024-01-01")), ("two", "a", None), ("two", "b", None)]
+    tags = spark.createDataFrame([(r, n, t, None) for r, n, t in rows], TAGS).repartition(9)
+    got = sorted((r.repo_name, r.tag_name, r.gap_seconds) for r in g.tag_gaps(g.tag_times(tags)).collect())
+    zero = dt.datetime(1, 1, 1)
+    want = []
+    for repo in ("big", "two"):
+        ordered = sorted((t or zero, n) for r, n, t in rows if r == repo)
+        want += [(repo, b[1], int((b[0] - a[0]).total_seconds())) for a, b in zip(ordered, ordered[1:])]
+    assert got == sorted(want)
+    plan = g.tag_gaps(g.tag_times(tags))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Window" not in plan
+
+
 def test_tag_gaps_match_a_plain_sort(spark):
     rows = [("r" + str(i % 2), f"v{i:02}", at("2024-01-01") + dt.timedelta(hours=(i * i * 7) % 90)) for i in range(40)]
     tags = spark.createDataFrame([(r, n, t, None) for r, n, t in rows], TAGS)

@@ -39,7 +39,7 @@ def test_scan_reads_the_files_once_and_does_not_shuffle(spark, files, tmp_path):
     stored = spark.read.schema(FILES).parquet(str(tmp_path / "f"))
     text = plan.scan(stored)._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and "Exchange" not in text and "Join" not in text
-    one = plan.scan_repository(stored, "repo")._jdf.queryExecution().executedPlan().toString()
+    one = plan.scan(stored.where(F.col("repo_name") == "repo"))._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(repo_name,repo)" in one
     narrow = paths.with_path_columns(stored).select("base_name")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string>" in narrow
@@ -56,6 +56,28 @@ def test_failed_repositories_lose_everything(spark, files):
     assert {r.repo_name for r in again.collect()} == {"a"}
 
 
+def test_failures_come_from_the_one_scan(spark, files, tmp_path):
+    files([("a", "go.mod", "require a v1")]).write.parquet(str(tmp_path / "f"))
+    stored = spark.read.schema(FILES).parquet(str(tmp_path / "f"))
+    found = plan.scan_repositories(stored)
+    assert str(tmp_path / "f") not in found._jdf.queryExecution().executedPlan().toString() and {r.repo_name for r in found.collect()} == {"a"}
+
+
+def test_post_scan_errors_drop_or_warn(spark, files):
+    """Among many repositories an error of a step drops its repository; a scan of one keeps it as a warning."""
+    table = files([("a", "go.mod", "require a v1"), ("a", "package.json", "{bad"), ("b", "go.mod", "require b v1")])
+    schema = FINDINGS + ", message STRING"
+    step = lambda: spark.createDataFrame([("m", "x", "", "", "a", "{}", None), (None, None, None, None, "a", None, "no report"), ("m", "x", "", "", "b", "{}", None)], schema)
+    assert {r.repo_name for r in plan.scan_repositories(table, [step]).collect()} == {"b"}
+    one = plan.scan_repository(table, "a", [step], extractors=None)
+    assert {r.type for r in one.findings.collect()} == {"Library", "x", "File", "Programming Language"}
+    assert {(r.extractor, r.message is not None) for r in one.warnings.collect()} == {("npm", True), (plan.POST_SCAN, True)}
+    broken = table.union(spark.createDataFrame([("a", "y", None, "denied")], FILES))
+    with pytest.raises(OSError, match="'y': denied"):
+        plan.scan_repository(broken, "a")
+    assert plan.scan_repository(broken, "b").warnings.count() == 0
+
+
 def test_own_extractor(files):
     todo = Extractor(
         name="todo",
@@ -133,6 +155,28 @@ def test_queries(spark):
         reporting.run_sheet_queries(spark, [batches.NamedQuery("x", "SELECT nope FROM Findings")])
 
 
+def _document(target):
+    parts = json.load(open(f"{target}/manifest.json"))["parts"]
+    return json.loads("".join(open(f"{target}/{p}").read() for p in parts))
+
+
+def test_a_long_report_keeps_its_order(spark, tmp_path):
+    """Thousands of rows in several parts, the first parts without rows."""
+    found = spark.range(0, 5000, 1, 7).select(F.col("id").cast("string").alias("name"), *[F.lit(c).alias(c) for c in ("type", "category", "path", "repo_name", "properties")])
+    reporting.register_findings(found)
+    queries = [
+        batches.NamedQuery("sorted \"up\"", "SELECT Name, CAST(Name AS INTEGER) AS n FROM Findings ORDER BY n DESC"),
+        batches.NamedQuery("late", "SELECT Name FROM Findings WHERE CAST(Name AS INTEGER) > 4990"),
+        batches.NamedQuery("none", "SELECT Name FROM Findings WHERE Name = ''"),
+    ]
+    target = reporting.write_json_summary(reporting.run_queries(spark, queries), str(tmp_path), "x")
+    whole = _document(target)
+    assert [r["n"] for r in whole['sorted "up"']] == list(range(4999, -1, -1)) and len(whole["late"]) == 9 and set(whole) == {'sorted "up"', "late"}
+    assert reporting.read_json_summary(spark, target, "late", "Name STRING").count() == 9
+    empty = reporting.run_queries(spark, queries[2:])
+    assert _document(reporting.write_json_summary(empty, str(tmp_path), "y")) == {}
+
+
 def test_json_summary(spark, tmp_path):
     reporting.register_findings(sample(spark, 25))
     queries = batches.read_queries(
@@ -141,9 +185,12 @@ def test_json_summary(spark, tmp_path):
         "- {name: none, query: \"SELECT * FROM Findings WHERE Name = 'zz'\"}\n"
     )
     results = reporting.run_queries(spark, queries)
-    whole = json.load(open(reporting.write_json_summary(results, str(tmp_path), "pre")))
+    target = reporting.write_json_summary(results, str(tmp_path), "pre")
+    assert target == str(tmp_path / "pre_cloud_services_summary.json")
+    whole = _document(target)
     assert set(whole) == {"all", "one"} and len(whole["all"]) == 25 and whole["one"] == [{"Name": "n1", "x": None}]
-    assert os.path.exists(tmp_path / "pre_cloud_services_summary.json")
+    assert reporting.read_json_summary(spark, target, "all", "Name STRING").count() == 25
+    assert reporting.read_json_summary(spark, target, "none", "Name STRING").count() == 0
     assert reporting.write_json_summary({}, str(tmp_path), "x") is None
     assert batches.read_queries("") == []
 
