@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from repocensus import testbed as tb
 from repocensus.functions import paths, props, times
 from repocensus.operators import docker, gitmetrics, iac, languages, manifests, reporting, store
-from repocensus.operators.extractor import Extractor, extract, extract_errors
+from repocensus.operators.extractor import Extractor, extract, finding
 from repocensus.operators.matching import candidate_files, match_patterns
 from repocensus.operators.rule_join import match_by_rules
 from repocensus.operators.vulns import vulnerability_findings, vulnerability_scan
@@ -249,6 +249,24 @@ def terraform_blocks(spark, sf):
     )
 
 
+@register(
+    "own_block_rule",
+    """SELECT 'repo_' || (p_partkey % 50) AS repo_name, 'p' || p_partkey || '/main.tf' AS path, 'Other Resource' AS type, 'other_thing' AS name, '{"labels":2}' AS properties
+       FROM part WHERE p_partkey % 19 <> 0
+       UNION ALL SELECT 'repo_' || (p_partkey % 50), 'p' || p_partkey || '/main.tf', 'TF Module Use', 'TF Module', '{"source":"./modules/' || p_brand || '"}'
+       FROM part WHERE p_partkey % 19 <> 0""",
+)
+def own_block_rule(spark, sf):
+    """A user's rule beside the built-in ones: resources of a provider they do not know."""
+    label = lambda b: F.get(b["labels"], F.lit(0))
+    rule = lambda b: F.when(
+        (b["type"] == "resource") & label(b).startswith("other_"),
+        finding(label(b), "Other Resource", "", props.props(labels=props.number(F.size(b["labels"])))),
+    )
+    found = extract(tb.terraforms(spark, sf), iac.terraform([rule]))
+    return found.where(F.col("type").isin("Other Resource", "TF Module Use")).select("repo_name", "path", "type", "name", "properties")
+
+
 # --------------------------------------------------------------------------- file rows
 
 LANGUAGE = f"""CASE WHEN doc_id % 9 = 0 THEN 'Python' ELSE CASE {SOURCE_EXT} WHEN 'py' THEN 'Python' WHEN 'go' THEN 'Go'
@@ -409,6 +427,22 @@ def part_pattern_matches(spark, sf):
     )
 
 
+@register(
+    "catalogue_files",
+    """WITH p AS (SELECT *, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS number FROM part)
+       SELECT p_name || ' ' || p_partkey AS name, 'f' || p_partkey AS first_name, 2 AS names, p_size AS size, p_type AS kind
+       FROM p WHERE number <> 1 AND number % 5 <> 0""",
+)
+def catalogue_files(spark, sf):
+    """Catalogue files of a folder; cut-off files and files of other kinds are skipped."""
+    folder = shared_dir(spark, "catalogue")
+    tb.write_tree(tb.catalogue_files(spark, sf), folder)
+    return catalogue.read_patterns(spark, folder).select(
+        "name", F.get("file_names", F.lit(0)).alias("first_name"), F.size("file_names").alias("names"),
+        F.get_json_object("properties", "$.size").cast("int").alias("size"), F.get_json_object("properties", "$.kinds[0]").alias("kind"),
+    )
+
+
 @register(
     "invalid_patterns",
     _PART_PATTERNS
@@ -614,6 +648,16 @@ def vulnerabilities(spark, sf):
     )
 
 
+@register("vulnerability_files", f"SELECT * FROM ({VULN_SQL}) WHERE NOT ends_with(repo_name, '0')")
+def vulnerability_files(spark, sf):
+    """Report files of all repositories; unreadable ones are left out."""
+    folder = shared_dir(spark, "reports")
+    tb.write_tree(tb.report_files(spark, sf), folder)
+    keys = ["title", "severity", "installed_version", "pkg_name", "target", "result_type"]
+    found = vulnerability_findings(batches.read_vulnerability_reports(spark, folder))
+    return found.select("repo_name", "name", *[_prop(k) for k in keys])
+
+
 # --------------------------------------------------------------------------- history
 
 CUTOFF = "2024-01-10"
@@ -1009,6 +1053,19 @@ def stored_batches(spark, sf):
     return batches.read_batches(spark, folder).select("repo_name", "path", "name", _prop("Version"))
 
 
+@register(
+    "stored_batch_arrays",
+    f"SELECT repo_name, path, name, version FROM ({CSPROJ_SQL}) WHERE CAST(regexp_extract(path, '^o(\\d+)/', 1) AS BIGINT) % 40 <> 7",
+)
+def stored_batch_arrays(spark, sf):
+    """Batches of one array per file; an unreadable file is skipped."""
+    folder = shared_dir(spark, "batches")
+    found = extract(tb.csprojs(spark, sf), manifests.csproj())
+    number = F.regexp_extract("path", r"^o(\d+)/", 1).cast("bigint") % 40
+    tb.write_tree(tb.batch_files(found, number), folder)
+    return batches.read_batches(spark, folder, multi_line=True).select("repo_name", "path", "name", _prop("Version"))
+
+
 @register(
     "delivery_payloads",
     """SELECT 'p' || p_partkey AS path, p_name AS name, p_brand AS category, CAST(p_size AS VARCHAR) AS size, 1 AS findings FROM part""",

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repocensus.schemas import FILES
+from repocensus.schemas import FILES, FINDING_COLUMNS
 from repocensus.session import shared_dir
 from repocensus.sources.catalogue import Catalogue, Pattern
 
@@ -285,6 +286,63 @@ def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(FILES).parquet(_WRITTEN[key])
 
 
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write every row's ``content`` to ``<root>/<path>``, where the executors are; the number of files."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{base}/{path.lstrip('/')}"
+                system.create_dir(target.rsplit("/", 1)[0])
+                with system.open_output_stream(target) as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n BIGINT").agg(F.sum("n")).first()[0] or 0
+
+
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' patterns as pretty-printed catalogue files, one per brand; every fifth brand's is cut short, one is no JSON file."""
+    parts = table(spark, sf_dir, "part").select(
+        "p_brand",
+        F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("number"),
+        F.struct(
+            F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"),
+            F.lit("Part").alias("type"),
+            F.array(F.concat(F.lit("f"), F.col("p_partkey").cast("string")), F.lit("x.y")).alias("file_names"),
+            F.struct(F.col("p_size").alias("size"), F.array("p_type").alias("kinds")).alias("properties"),
+        ).alias("pattern"),
+    )
+    text = F.to_json(F.collect_list("pattern"), {"pretty": "true"})
+    files = parts.groupBy("p_brand", "number").agg(text.alias("text"))
+    return files.select(
+        F.concat(F.translate("p_brand", "#", "-"), F.when(F.col("number") == 1, ".backup").otherwise(".json")).alias("path"),
+        F.when(F.col("number") % 5 == 0, F.expr("left(text, length(text) - 9)")).otherwise(F.col("text")).alias("content"),
+    )
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pretty-printed vulnerability report per repository; those of every tenth one are cut short."""
+    gathered = vulnerability_reports(spark, sf_dir).groupBy("repo_name").agg(F.flatten(F.collect_list("Results")).alias("Results"))
+    text = F.to_json(F.struct("Results"), {"pretty": "true"})
+    return gathered.select(
+        F.concat(F.lit("repo_name="), "repo_name", F.lit("/report.json")).alias("path"),
+        F.when(F.col("repo_name").endswith("0"), F.left(text, F.lit(50))).otherwise(text).alias("content"),
+    )
+
+
+def batch_files(findings: DataFrame, number: Column) -> DataFrame:
+    """Findings as batches, one pretty-printed array per file; batch 7 is cut short."""
+    text = F.to_json(F.collect_list(F.struct(*FINDING_COLUMNS)), {"pretty": "true"})
+    return findings.groupBy(number.alias("k")).agg(text.alias("text")).select(
+        F.concat(F.lit("batch-"), F.col("k").cast("string"), F.lit(".json")).alias("path"),
+        F.when(F.col("k") == 7, F.expr("left(text, length(text) - 3)")).otherwise(F.col("text")).alias("content"),
+    )
+
+
 def text_catalogue() -> Catalogue:
     """Patterns over documents and pages, covering every kind of rule and both invalid forms."""
     return Catalogue(
