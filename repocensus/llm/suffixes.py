@@ -408,7 +408,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranges = RANGES_PER_TASK * tasks
     with batch_rows(spark, 128):
         found = stored(docs.select("locator", "text").mapInArrow(_anchor_rows, "hash long, locator long, place long"), "suffix-anchors")
-        shared = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+        # Written, so that the join deals both sides anew: Spark can split a hash that very many anchors have.
+        counts = found.groupBy("hash").agg(F.count("*").alias("n"))
+        shared = stored(counts.where("n > 1").select("hash"), "suffix-hashes", shuffles_go=True)
         places = stored(found.join(shared, "hash", "left_semi").groupBy("locator").agg(F.collect_list("place").alias("places")), "suffix-shared", shuffles_go=True)
         with_text = docs.join(places, "locator").select("locator", "text", "places")
         runs = stored(with_text.mapInArrow(_runs(ranges), RUN), "suffix-runs", shuffles_go=True)
