@@ -18,7 +18,7 @@ from repocensus.operators.vulns import vulnerability_findings, vulnerability_sca
 from repocensus.plans import scan as plan
 from repocensus.plans.summary import summarise
 from repocensus.session import shared_dir
-from repocensus.sources import batches, catalogue, inventory
+from repocensus.sources import batches, catalogue, filetree, inventory
 from repocensus.streaming import activity, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -630,6 +630,38 @@ def failed_post_scans_dropped(spark, sf):
     return reporting.findings_per_repository(found)
 
 
+# --------------------------------------------------------------------------- trees
+
+
+def _source_tree(spark: SparkSession, sf: str) -> str:
+    """The source files as a directory tree, dotfiles included, one folder per repository."""
+    root = shared_dir(spark, "tree")
+    tb.write_tree(tb.sources(spark, sf), root)
+    return root.removeprefix("file://").removeprefix("file:")
+
+
+@register(
+    "repository_tree",
+    f"""SELECT source AS repo_name, {SOURCE_PATH} AS path, CAST(length(text) + CASE WHEN doc_id % 9 = 0 THEN 23 ELSE 0 END AS INT) AS chars FROM documents""",
+)
+def repository_tree(spark, sf):
+    """Every child folder of a root as a repository, read from disk."""
+    root = _source_tree(spark, sf)
+    files = filetree.read_repositories(spark, root)
+    return files.select("repo_name", F.substr("path", F.lit(len(root) + 1)).alias("path"), F.length("content").alias("chars"))
+
+
+@register(
+    "directory_tree",
+    f"""SELECT {SOURCE_PATH} AS path, coalesce(regexp_extract({SOURCE_PATH}, '\\.([^./]*)$', 1) = 'py', false) AS opened FROM documents""",
+)
+def directory_tree(spark, sf):
+    """One folder as a repository; files that are not routed are listed but not opened."""
+    root = _source_tree(spark, sf)
+    files = filetree.read_directory(spark, root, F.col("ext") == "py")
+    return files.select(F.substr("path", F.lit(len(root) + 1)).alias("path"), F.col("content").isNotNull().alias("opened"))
+
+
 # --------------------------------------------------------------------------- vulnerabilities
 
 VULN_SQL = f"""
@@ -1150,6 +1182,21 @@ def incremental_scan(spark, sf):
     return found.select("repo_name", "path", "name", _prop("Version"))
 
 
+@register("streamed_tree_scan", POETRY_SQL)
+def streamed_tree_scan(spark, sf):
+    """A growing directory tree scanned as a stream: half of the files, then the others."""
+    base = shared_dir(spark, "stream").removeprefix("file://").removeprefix("file:")
+    made = tb.pyprojects(spark, sf).withColumn("path", F.concat("repo_name", F.lit("/"), "path"))
+    second = F.xxhash64("path") % 2 == 0
+    for wave in (~second, second):
+        tb.write_tree(made.where(wave), f"{base}/root")
+        files = filetree.stream_tree(spark, f"{base}/root", f"{base}/listings", children=True)
+        ingest.ingest(files, f"{base}/out", f"{base}/state", [manifests.poetry()]).awaitTermination()
+    found = spark.read.parquet(f"{base}/out").where(F.col("kind") == "finding")
+    place = F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("path")
+    return found.select("repo_name", place, "name", _prop("Version"))
+
+
 @register(
     "streamed_commit_activity",
     """SELECT 'repo_' || (user_id % 20) AS repo_name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS commits

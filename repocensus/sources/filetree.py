@@ -1,147 +1,248 @@
 """Directory trees as the FILES table.
 
 Spark's own file sources hide every path with a segment starting with '.' or '_', which
-are exactly the CI and tool settings an inventory looks for, so trees are read by a small
-Python data source.  Each partition walks one root and reads every n-th file of it (by
-path hash), so a single large repository still spreads over many tasks.  Roots must be
-on storage all executors see.
+are exactly the CI and tool settings an inventory looks for, so trees are listed and read here.
+
+* :func:`listing` lists each folder once, level by level: the folders of a level are spread over the
+  executors, which return files and the folders of the next level.
+* :func:`with_content` opens files, and only those the caller left in the listing or routes: tests on paths are ordinary
+  filters below it. Files are dealt to tasks by their bytes, so one large repository, or one folder of
+  large files, spreads over many tasks.
+* :class:`TreeStream` is the same as a stream: its offsets count changes of the listing.
+
+Roots must be on storage that the driver and all executors see.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import zlib
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualTo,
-    Filter,
-    InputPartition,
-    StringEndsWith,
-)
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from repocensus.functions.paths import with_path_columns
+from repocensus.operators.ordering import PLACE_BITS, written
 from repocensus.schemas import FILES
 
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
+FOLDERS_PER_TASK = 64
+FILE_COST = 1024  # bytes that opening a file is worth
+
+LISTING = "repo_name STRING, path STRING, bytes BIGINT, modified BIGINT, read_error STRING"
+_ENTRIES = LISTING + ", folder BOOLEAN"
+_KINDS = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+_FILE_NAMES = ["repo_name", "path", "content", "read_error"]
+
+
+def entries(repo_name: str, folder: str) -> Iterator[tuple]:
+    """(repo_name, path, bytes, modified, read_error, folder) of what lies in one folder.
+
+    Links to files are files; links to folders are not followed; a folder that cannot be listed is an error row.
+    """
+    try:
+        found = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError as failure:
+        yield repo_name, folder, 0, 0, str(failure), False
+        return
+    for entry in found:
+        if entry.is_dir(follow_symlinks=False):
+            yield repo_name, entry.path, 0, 0, None, True
+        elif not entry.is_dir():
+            try:
+                about = entry.stat()
+                yield repo_name, entry.path, about.st_size, about.st_mtime_ns, None, False
+            except OSError:  # a dangling link: an error once it is read
+                yield repo_name, entry.path, 0, 0, None, False
+
+
+def _listed(list_folder: Callable[[str, str], Iterable[tuple]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for repo, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in list_folder(repo, path)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [f.split()[0] for f in _ENTRIES.split(", ")])
+
+    return run
+
+
+def repositories(roots: list[str], children: bool) -> list[tuple[str, str]]:
+    """(repo_name, folder): each root, or each folder in it."""
+    found = []
+    for root in roots:
+        if not os.path.isdir(root):
+            raise ValueError(f"no such folder: {root}")
+        found += [(e.name, e.path) for e in os.scandir(root) if e.is_dir()] if children else [(os.path.basename(os.path.abspath(root)), root)]
+    return sorted(found)
+
+
+def listing(spark: SparkSession, *roots: str, children: bool = False, list_folder: Callable[[str, str], Iterable[tuple]] = entries) -> DataFrame:
+    """(repo_name, path, bytes, modified, read_error) of all files below the roots, without opening any.
+
+    ``list_folder`` says what lies in a folder, in the form of :func:`entries`.
+    """
+    level = spark.createDataFrame(repositories(list(roots), children), "repo_name STRING, path STRING")
+    files = [spark.createDataFrame([], LISTING)]
+    folders = level.count()
+    while folders:
+        dealt = level.repartition(max(1, -(-folders // FOLDERS_PER_TASK)))
+        found = written(dealt.mapInArrow(_listed(list_folder), _ENTRIES), "listing")
+        files.append(found.where("NOT folder").drop("folder"))
+        level = found.where("folder").select("repo_name", "path")
+        folders = level.count()
+    while len(files) > 1:  # a balanced union
+        files = [files[i].union(files[i + 1]) if i + 1 < len(files) else files[i] for i in range(0, len(files), 2)]
+    return files[0]
+
+
+def _opened(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """FILES rows of (repo_name, path, read_error, wanted) rows; only wanted files are opened."""
+    out: list[tuple] = []
+    size = 0
+    for repo, path, error, wanted in rows:
+        content = None
+        if wanted and error is None:
+            try:
+                with open(path, "rb") as handle:
+                    content = handle.read().decode("utf-8", "replace")
+            except OSError as failure:
+                error = str(failure)
+        out.append((repo, path, content, error))
+        size += len(content or "")
+        if len(out) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield _file_batch(out)
+            out, size = [], 0
+    if out:
+        yield _file_batch(out)
+
+
+def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], _FILE_NAMES)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _opened(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+
+def with_content(listed: DataFrame, route: Column | None = None) -> DataFrame:
+    """FILES rows of a listing. With ``route``, a test over path columns, other files keep a row but are not opened."""
+    wanted = F.lit(True) if route is None else F.coalesce(route, F.lit(False))
+    cost = F.when(wanted, F.col("bytes")).otherwise(0) + FILE_COST
+    placed = with_path_columns(listed).select("repo_name", "path", "read_error", wanted.alias("wanted"), cost.alias("cost"))
+    table = written(placed.withColumn("place", F.monotonically_increasing_id()), "tree").withColumn("part", F.shiftright("place", PLACE_BITS))
+    sizes = table.groupBy("part").agg(F.sum("cost").alias("cost")).collect()  # a number for each task of the listing
+    before, offsets = 0, []
+    for size in sorted(sizes, key=lambda r: r["part"]):
+        offsets.append((size["part"], before))
+        before += size["cost"]
+    # Where a file's bytes begin in those of all files says which task opens it.
+    running = F.sum("cost").over(Window.partitionBy("part").orderBy("place")) - F.col("cost")
+    starts = table.withColumn("running", running).join(listed.sparkSession.createDataFrame(offsets, "part BIGINT, before BIGINT"), "part")
+    task = F.floor((F.col("before") + F.col("running")) / TASK_BYTES).cast("int")
+    dealt = starts.withColumn("task", task).repartitionById(max(1, -(-before // TASK_BYTES)), "task")
+    return dealt.select("repo_name", "path", "read_error", "wanted").mapInArrow(_read, FILES)
+
+
+def read_directory(spark: SparkSession, root: str, route: Column | None = None) -> DataFrame:
+    """All files below one directory; the repository is named after it."""
+    return with_content(listing(spark, root), route)
+
 
+def read_repositories(spark: SparkSession, parent: str, route: Column | None = None) -> DataFrame:
+    """All files of every child directory of ``parent``, each a repository."""
+    return with_content(listing(spark, parent, children=True), route)
 
-class TreeSlice(InputPartition):
-    def __init__(self, root: str, repo_name: str, index: int, of: int):
-        self.root, self.repo_name, self.index, self.of = root, repo_name, index, of
 
+class TreePart(InputPartition):
+    def __init__(self, files: list[tuple]):
+        self.files = files
+
+
+class TreeStreamReader(DataSourceStreamReader):
+    """New and changed files of a tree: those whose size or time differs from the listing before.
+
+    The changes of each listing are a file ``<state>/<version>.json``, and an offset is the number of the last
+    one, so a restarted query knows what it has seen. Deleted files are no changes.
+    """
 
-class RepoTreeReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.roots = [r for r in options.get("path", options.get("roots", "")).split(",") if r]
-        self.per_root = options.get("layout", "root") == "children"
-        self.splits = int(options.get("splits", "8"))
-        self.with_content = options.get("content", "true").lower() == "true"
-        self.tests: list[tuple[str, str, str]] = []
-
-    def pushFilters(self, filters: list[Filter]):
-        """Name and path tests run before a file is opened."""
-        for f in filters:
-            if isinstance(f, (EqualTo, StringEndsWith)) and f.attribute[0] in ("path", "repo_name"):
-                kind = "eq" if isinstance(f, EqualTo) else "ends"
-                self.tests.append((kind, f.attribute[0], f.value))
-            else:
-                yield f
-
-    def partitions(self) -> list[InputPartition]:
-        repos = []
-        for root in self.roots:
-            if not os.path.isdir(root):
-                raise ValueError(f"target directory '{root}' does not exist")
-            if self.per_root:
-                repos += [(e.path, e.name) for e in os.scandir(root) if e.is_dir()]
-            else:
-                repos.append((root, os.path.basename(os.path.abspath(root))))
-        return [
-            TreeSlice(root, name, i, self.splits)
-            for root, name in sorted(repos)
-            for i in range(self.splits)
-        ]
-
-    def _wanted(self, repo_name: str, path: str) -> bool:
-        values = {"repo_name": repo_name, "path": path}
-        return all(
-            values[column] == value if kind == "eq" else values[column].endswith(value)
-            for kind, column, value in self.tests
-        )
-
-    def read(self, part: TreeSlice) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        self.roots = [r for r in options["path"].split(",") if r]
+        self.children = options.get("layout") == "children"
+        self.state = options["state"].removeprefix("file:").replace("//", "/")
+        self.known: dict[str, tuple] = {}
+        self.version = 0
+        os.makedirs(self.state, exist_ok=True)
+
+    def _changes(self, version: int) -> list[tuple]:
+        with open(f"{self.state}/{version:010}.json", encoding="utf-8") as handle:
+            return [tuple(row) for row in json.load(handle)]
+
+    def _catch_up(self) -> None:
+        while os.path.exists(f"{self.state}/{self.version + 1:010}.json"):
+            self.version += 1
+            self.known.update({row[1]: row[2:] for row in self._changes(self.version)})
+
+    def _listed(self) -> Iterator[tuple]:
+        waiting = repositories(self.roots, self.children)
+        while waiting:
+            for *row, folder in entries(*waiting.pop()):
+                if folder:
+                    waiting.append((row[0], row[1]))
+                else:
+                    yield tuple(row)
+
+    def initialOffset(self) -> dict:
+        return {"version": 0}
+
+    def latestOffset(self) -> dict:
+        self._catch_up()
+        changed = [row for row in self._listed() if self.known.get(row[1]) != row[2:]]
+        if changed:
+            draft = f"{self.state}/.draft-{os.getpid()}-{time.time_ns()}"
+            with open(draft, "w", encoding="utf-8") as handle:
+                json.dump(changed, handle)
+            os.replace(draft, f"{self.state}/{self.version + 1:010}.json")
+            self._catch_up()
+        return {"version": self.version}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        changed = {row[1]: row for v in range(start["version"] + 1, end["version"] + 1) for row in self._changes(v)}
+        parts: list[list[tuple]] = [[]]
         size = 0
-        for path, listing_error in _walk(part):
-            if not self._wanted(part.repo_name, path):
-                continue
-            content, error = None, listing_error
-            if self.with_content and error is None:
-                try:
-                    with open(path, "rb") as handle:
-                        content = handle.read().decode("utf-8", "replace")
-                except OSError as failure:
-                    error = str(failure)
-            rows.append((part.repo_name, path, content, error))
-            size += len(content or "")
-            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
-
-
-def _walk(part: TreeSlice) -> Iterator[tuple[str, str | None]]:
-    """This slice's files (dotfiles included, links to files too) and unreadable folders."""
-    failures: list[OSError] = []
-    for folder, _, names in os.walk(part.root, onerror=failures.append):
-        for name in names:
-            path = os.path.join(folder, name)
-            if zlib.crc32(os.fsencode(path)) % part.of == part.index:
-                yield path, None
-    if part.index == 0:
-        for failure in failures:
-            yield failure.filename, str(failure)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["repo_name", "path", "content", "read_error"]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, pa.string()) for column in zip(*rows)], names=names
-    )
-
-
-class RepoTreeSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "repo_tree"
+        for row in changed.values():
+            if size > TASK_BYTES:
+                parts.append([])
+                size = 0
+            parts[-1].append((row[0], row[1], row[4], True))
+            size += row[2] + FILE_COST
+        return [TreePart(p) for p in parts]
 
-    def schema(self) -> str:
-        return FILES
+    def read(self, partition: TreePart) -> Iterator[pa.RecordBatch]:
+        return _opened(iter(partition.files))
 
-    def reader(self, schema) -> DataSourceReader:
-        return RepoTreeReader(dict(self.options))
+    def commit(self, end: dict) -> None:
+        pass
 
 
-def read_directory(spark: SparkSession, root: str, splits: int = 8, content: bool = True) -> DataFrame:
-    """All files below one directory; the repository is named after it."""
-    return _reader(spark, splits, content).load(root)
+class TreeStream(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "repo_tree_changes"
 
+    def schema(self) -> str:
+        return FILES
 
-def read_repositories(spark: SparkSession, parent: str, splits: int = 8, content: bool = True) -> DataFrame:
-    """Every child directory of ``parent`` as a repository."""
-    return _reader(spark, splits, content).option("layout", "children").load(parent)
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return TreeStreamReader(dict(self.options))
 
 
-def _reader(spark: SparkSession, splits: int, content: bool):
-    spark.dataSource.register(RepoTreeSource)
-    # a reader with pushFilters is refused while this is off
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return (
-        spark.read.format("repo_tree").option("splits", splits).option("content", str(content).lower())
-    )
+def stream_tree(spark: SparkSession, root: str, state: str, children: bool = False) -> DataFrame:
+    """A stream of new and changed files; ``state`` is a folder for its listings, kept with the query's checkpoint."""
+    spark.dataSource.register(TreeStream)
+    return spark.readStream.format("repo_tree_changes").option("layout", "children" if children else "root").option("state", state).load(root)

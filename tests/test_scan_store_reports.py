@@ -234,7 +234,7 @@ def test_file_tree(spark, tmp_path):
         target.write_bytes(b"caf\xc3\xa9 \xff")
     os.symlink(tmp_path / "r1" / "a.py", tmp_path / "r1" / "link.py")
     os.symlink(tmp_path / "gone", tmp_path / "r2" / "dangling")
-    tree = filetree.read_repositories(spark, str(tmp_path), splits=3)
+    tree = filetree.read_repositories(spark, str(tmp_path))
     rows = {(r.repo_name, os.path.relpath(r.path, tmp_path)): r for r in tree.collect()}
     assert set(rows) == {
         ("r1", "r1/a.py"), ("r1", "r1/.github/workflows/ci.yml"), ("r1", "r1/_x/.env"), ("r1", "r1/link.py"),
@@ -245,7 +245,7 @@ def test_file_tree(spark, tmp_path):
     only = filetree.read_directory(spark, str(tmp_path / "r1")).where(F.col("path").endswith(".yml"))
     assert [r.repo_name for r in only.collect()] == ["r1"]
     assert {r.repo_name for r in plan.failed_repositories(tree).collect()} == {"r2"}
-    with pytest.raises(Exception, match="does not exist"):
+    with pytest.raises(ValueError, match="no such folder"):
         filetree.read_directory(spark, str(tmp_path / "nope")).count()
 
 
