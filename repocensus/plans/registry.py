@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from repocensus import testbed as tb
 from repocensus.functions import paths, props, times
-from repocensus.operators import docker, gitmetrics, iac, languages, manifests, reporting, store
+from repocensus.operators import classify, docker, gitmetrics, iac, languages, manifests, reporting, store
 from repocensus.operators.extractor import Extractor, extract, finding
 from repocensus.operators.matching import candidate_files, match_patterns
 from repocensus.operators.rule_join import match_by_rules
+from repocensus.operators.user_code import PythonExtractor, SummaryProcessor, summarise_with
 from repocensus.operators.vulns import vulnerability_findings, vulnerability_scan
 from repocensus.plans import scan as plan
 from repocensus.plans.summary import summarise
@@ -293,6 +295,46 @@ def file_rows(spark, sf):
     )
 
 
+@register(
+    "languages_by_content",
+    "SELECT lang, count(*) AS files, true AS nearly_all_right FROM documents WHERE regexp_matches(text, '\\S') GROUP BY 1",
+)
+def languages_by_content(spark, sf):
+    """Files without extension, told apart by their words; a model fitted to the odd documents labels all of them."""
+    documents = tb.table(spark, sf, "documents")
+    model = classify.fit(documents.where("doc_id % 2 = 1").select("text", F.col("lang").alias("label")))
+    files = documents.select(
+        F.col("source").alias("repo_name"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string")).alias("path"),
+        F.col("text").alias("content"), F.lit(None).cast("string").alias("read_error"),
+    )
+    told = languages.languages_by_content(files, model).select("path", "name")
+    known = documents.select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string")).alias("path"), "lang")
+    right = F.avg((F.col("name") == F.col("lang")).cast("int")) >= 0.95
+    return known.join(told, "path").groupBy("lang").agg(F.count("*").alias("files"), right.alias("nearly_all_right"))
+
+
+@register(
+    "own_extractor",
+    f"""SELECT source AS repo_name, {SOURCE_PATH} AS path, 'Lines' AS name, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS VARCHAR) AS value
+        FROM documents WHERE {SOURCE_EXT} = 'py' AND doc_id % 9 <> 0 AND NOT contains(text, 'license')
+        UNION ALL SELECT source, {SOURCE_PATH}, 'error', 'ValueError: licensed' FROM documents WHERE {SOURCE_EXT} = 'py' AND doc_id % 9 <> 0 AND contains(text, 'license')""",
+)
+def own_extractor(spark, sf):
+    """A user's Python function over the files it routes, beside a built-in extractor; what it raises is that file's error."""
+
+    def lines(path, repo_name, content):
+        if "license" in content:
+            raise ValueError("licensed")
+        yield {"name": "Lines", "type": "Size", "properties": {"value": content.count("\n") + 1}}
+
+    own = PythonExtractor("lines", F.col("ext") == "py", lines)
+    records = plan.scan_records(tb.sources(spark, sf), [languages.file_rows(), own]).where("type IS NULL OR type <> 'File'")
+    failed = F.col("extractor").isNotNull()
+    return records.select(
+        "repo_name", "path", F.when(failed, F.lit("error")).otherwise(F.col("name")).alias("name"), F.when(failed, F.col("message")).otherwise(_prop("value")).alias("value")
+    )
+
+
 # --------------------------------------------------------------------------- patterns
 
 _CANDIDATE_SQL = """
@@ -1062,6 +1104,35 @@ def summary_findings(spark, sf):
     return counted.select("repo_name", "name", _prop("value"))
 
 
+class CommonStart(SummaryProcessor):
+    """The longest common beginning of all paths of a key."""
+
+    def new(self):
+        return None
+
+    def process(self, state, finding):
+        return self.merge(state, finding["path"])
+
+    def merge(self, a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        return os.path.commonprefix([a, b])
+
+    def findings(self, key, state):
+        yield {"name": "Common Start", "properties": {"value": state}}
+
+
+@register(
+    "own_summary",
+    f"""WITH p AS (SELECT repo_name, min(path) AS a, max(path) AS b FROM ({PIP_SQL}) GROUP BY 1)
+        SELECT repo_name, left(a, CAST((SELECT max(k) FROM range(0, 100) r(k) WHERE left(a, k) = left(b, k) AND k <= length(a)) AS BIGINT)) AS value FROM p""",
+)
+def own_summary(spark, sf):
+    """A summary that is no built-in aggregate, in partial and merged states."""
+    found = extract(tb.requirements(spark, sf), manifests.pip())
+    return summarise_with(found, CommonStart()).select("repo_name", _prop("value"))
+
+
 @register(
     "store_round_trip",
     f"""SELECT 'Docker Directive' AS type, 'second' AS run_id, count(*) AS findings FROM ({DOCKER_SQL})
