@@ -29,6 +29,6 @@ _over("pages", "op7_url_templates", urls.url_query)
 _over("documents", "op8_token_counts", tokens.token_query)
 _over("documents", "op10_kneser_ney", lm.lm_query)
 _over("documents", "op1_line_templates", lines.line_query)
-_over("conversations", "op11_cyk_repair", repair.repair_query)
-_over("documents", "op12_suffix_merge", suffixes.suffix_dedup)
-_over("documents", "op13_phrase_automata", phrases.phrase_query)
+_over("conversations", "op11_cyk_repair", repair.repair_query, repair.REPAIR_SQL)
+_over("documents", "op12_suffix_merge", suffixes.suffix_dedup, suffixes.SUFFIX_SQL)
+_over("documents", "op13_phrase_automata", phrases.phrase_query, phrases.PHRASE_SQL)

@@ -354,3 +354,41 @@ def repair_query(rows: DataFrame) -> DataFrame:
     return named.select(
         F.col("c").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256")
     )
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE bits(b, c, step) AS (SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256) UNION ALL
+       SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE step = 8),
+g AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT g.*, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT)),
+             lambda x, y: xor(x // 256, tab[xor(x % 256, y) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS how FROM g, crc),
+d AS (SELECT cid, turn, CASE WHEN how = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+             CASE WHEN how = 1 THEN '' WHEN how = 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+             unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, again) AS i, left(role, 1) AS initial,
+             NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS ends FROM d),
+f AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN ends NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+             lag(initial) OVER (PARTITION BY cid ORDER BY i) AS before FROM o),
+ins(p, q, c, a, x) AS (VALUES ('0', '0', 0, '', []::VARCHAR[]), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []), ('0', 'u', 5, 'I', ['user:']),
+       ('s', 'u', 5, 'I', ['user:']), ('a', 'u', 5, 'I', ['user:']), ('u', 'a', 5, 'I', ['assistant:']), ('0', 'a', 10, 'II', ['user:', 'assistant:']), ('s', 'a', 10, 'II', ['user:', 'assistant:'])),
+edit(p, letter, needs, q, c) AS (VALUES ('0', 'D', '', '0', 2), ('s', 'D', '', 's', 2), ('u', 'D', '', 'u', 2), ('a', 'D', '', 'a', 2), ('0', 'K', 's', 's', 0), ('0', 'K', 'u', 'u', 0),
+       ('s', 'K', 'u', 'u', 0), ('a', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'a', 0), ('0', 'R', '', 'u', 1), ('s', 'R', '', 'u', 1), ('a', 'R', '', 'u', 1), ('u', 'R', '', 'a', 1)),
+way(cid, i, q, c, a, x) AS (
+       SELECT cid, CAST(0 AS BIGINT), q, c, a, x FROM (SELECT DISTINCT cid FROM f), ins WHERE p = '0'
+       UNION ALL
+       SELECT cid, i, q, c, a, x FROM (
+         SELECT w.cid, f.i, n.q, w.c + e.c + n.c + CASE WHEN e.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS c, w.a || e.letter || n.a AS a,
+                list_concat(list_concat(w.x, CASE e.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE e.q WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] END), n.x) AS x
+         FROM way w JOIN f ON f.cid = w.cid AND f.i = w.i + 1 JOIN edit e ON e.p = w.q AND (e.needs = '' OR e.needs = f.initial) AND (e.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+         JOIN ins n ON n.p = e.q)
+       QUALIFY row_number() OVER (PARTITION BY cid, q ORDER BY c, a) = 1),
+fin AS (SELECT w.* FROM way w JOIN (SELECT cid, max(i) AS n FROM f GROUP BY 1) m ON m.cid = w.cid AND m.n = w.i WHERE w.q IN ('0', 'a')
+        QUALIFY row_number() OVER (PARTITION BY w.cid ORDER BY c, a) = 1),
+s AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(c, 0) AS BIGINT) AS cost, coalesce(a, '') AS audit, sha256(coalesce(array_to_string(x, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT cid, conv_id FROM g) v LEFT JOIN s USING (cid) LEFT JOIN fin USING (cid)
+"""

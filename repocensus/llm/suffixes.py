@@ -431,3 +431,19 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     with batch_rows(spark, 128):
         kept = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), _kept("text", "spans").alias("k"))
         return stored(kept.select("doc_id", "n_bytes", "k.*"), "suffix-kept", shuffles_go=True)
+
+
+SUFFIX_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT rid, unnest(range(0, length(h) // 2 - 199)) AS pos FROM d),
+w AS (SELECT p.rid, p.pos, md5(substr(h, 2 * p.pos + 1, 400)) AS m FROM p JOIN d USING (rid)),
+m AS (SELECT rid, pos FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+j AS (SELECT *, CASE WHEN pos > 200 + lag(pos) OVER (PARTITION BY rid ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM m),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS island FROM j),
+s AS (SELECT rid, min(pos) AS a, max(pos) + 200 AS b FROM k GROUP BY rid, island),
+e AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS before FROM s),
+t AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS fin,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM e JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(fin, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (rid)
+"""
