@@ -1,7 +1,14 @@
 import re
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 from repocensus.llm import urls
+from repocensus.llm.quality import host_quality
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_documents import WORD, _components, _fingerprint, _tokenizer  # noqa: E402
 
 HARD = [
     None, "", "no scheme", "http://net", "https://A.NET/x?y", "http://EXAMPLE.com/de/1", "http://www.example.com/DE/", "http://notnet/", "x://a.org/fr/#f",
@@ -55,16 +62,65 @@ def test_siblings_merge_below_the_first_level(spark):
     assert {judged[i].verdict for i, _ in news} == {"allow"}
 
 
-def test_pipeline(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    stages, columns = [], docs.columns
+def _staged(spark, docs, tmp_path):
+    """Every stage's rows, each written and read again as the next one's documents."""
+    out = []
     for name, stage in corpus_pipeline.STAGES:
-        out = str(tmp_path / name)
-        stage(spark, docs, "").write.parquet(out)
-        docs = spark.read.parquet(out)
-        stages.append((name, docs))
-    assert [d.columns for _, d in stages[:-1]] == [columns] * 4
-    counts = [d.count() for _, d in stages]
-    assert counts[0] >= counts[1] >= counts[2] > 0
-    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in stages[3][1].collect()}
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == counts[-1]
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        out.append(docs)
+    return out
+
+
+def test_pipeline(spark, hard_docs, tmp_path):
+    """Stage by stage against plain Python, each on all that its predecessor kept; hostile, repeated and null rows included."""
+    given = hard_docs.collect()
+    frames = _staged(spark, hard_docs, tmp_path)
+    assert [f.columns for f in frames[:-1]] == [hard_docs.columns] * 4
+    quality, exact, near, mixed, packed = ([*f.collect()] for f in frames)
+    plain = lambda r: (r.doc_id, r.text, r.lang, r.source)
+
+    def few_or_repeated(text):
+        words = WORD.findall(text or "")
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        inside = {i + k for i, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for k in range(3)}
+        return len(words) < 50 or 100 * len(inside) > 50 * len(words)
+
+    judged = Counter(plain(r.doc) for r in host_quality(hard_docs).collect() if r.kept)
+    assert Counter(map(plain, quality)) == judged and not any(few_or_repeated(r.text) for r in quality)
+    assert Counter(map(plain, quality)) <= Counter(map(plain, given)) and len(quality) < len(given)
+
+    texts = defaultdict(list)
+    for r in quality:
+        texts[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r.doc_id)
+    assert sorted(map(str, (r.doc_id for r in exact))) == sorted(str(min((i for i in ids if i is not None), default=None)) for ids in texts.values())
+
+    prints = {r.doc_id: _fingerprint(r.text) for r in exact if r.doc_id is not None}
+    assert {r.doc_id for r in near if r.doc_id is not None} == set(_components(prints).values())
+
+    sizes, taken = Counter(), Counter()
+    for r in near:
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    for r in mixed:
+        taken[r.source] += len(WORD.findall(r.text or ""))
+    assert abs(taken.total() - 1.5 * sizes.total()) <= 0.02 * sizes.total() and all(taken[k] <= 2 * n for k, n in sizes.items())
+    whole = {r.text for r in near}
+    assert sum(r.text in whole for r in mixed) >= 0.9 * len(mixed)
+
+    library = _tokenizer()
+    lengths = Counter(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed)
+    assert Counter(r.doc_tokens for r in packed if r.start == 0) == lengths
+    assert sum(r.length for r in packed) == sum(n * k for n, k in lengths.items())
+    filled = Counter()
+    for r in packed:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 2048 and len(filled) <= 1.05 * sum(filled.values()) / 2048 + 2
+
+
+def test_pipeline_runs_as_registered(spark):
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
+    assert ids and ids <= {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def test_pipeline_of_no_documents(spark, no_docs, tmp_path):
+    assert [f.count() for f in _staged(spark, no_docs, tmp_path)] == [0] * 5
