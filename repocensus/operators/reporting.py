@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -286,3 +286,28 @@ def deliver(findings: DataFrame, out: str, report_id: str) -> str:
     )
     write_text(findings.sparkSession, f"{folder}/_COMPLETED", '{"status": "completed"}\n')
     return folder
+
+
+# A reporter takes findings, named queries, a folder and a name, and says where its report is; None if there is none.
+Reporter = Callable[[DataFrame, list[NamedQuery], str, str], "str | None"]
+
+
+def json_reporter(findings: DataFrame, queries: list[NamedQuery], out: str, name: str) -> str | None:
+    register_findings(findings)
+    return write_json_summary(run_queries(findings.sparkSession, queries), out, name)
+
+
+def sheet_reporter(findings: DataFrame, queries: list[NamedQuery], out: str, name: str) -> str | None:
+    register_findings(findings)
+    return write_sheets(run_sheet_queries(findings.sparkSession, queries), out, name)
+
+
+def delivery_reporter(findings: DataFrame, queries: list[NamedQuery], out: str, name: str) -> str | None:
+    """All findings as payloads; queries have no part in it."""
+    return deliver(findings, out, name)
+
+
+def report(findings: DataFrame, queries: list[NamedQuery], out: str, name: str, reporters: Iterable[Reporter]) -> list[str]:
+    """What some reporters, built-in or a user's own, write about the same findings; the first failure ends it."""
+    places = (reporter(findings, queries, out, name) for reporter in reporters)
+    return [p for p in places if p is not None]

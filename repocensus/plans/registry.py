@@ -1228,6 +1228,33 @@ def sheet_report(spark, sf):
     return spark.read.option("header", True).csv(f"{target}/services")
 
 
+@register(
+    "reports_by_reporter",
+    f"""WITH c AS (SELECT repo_name, image FROM ({COMPOSE_SQL}))
+        SELECT 'json' AS reporter, count(DISTINCT image) AS n FROM c UNION ALL SELECT 'sheets', count(DISTINCT image) FROM c
+        UNION ALL SELECT 'delivery', count(*) FROM c UNION ALL SELECT 'own', count(*) FROM c""",
+)
+def reports_by_reporter(spark, sf):
+    """The same findings and queries through every built-in reporter and a user's own."""
+
+    def own(findings, queries, out, name):
+        findings.select("name").write.text(f"{out}/{name}-own")
+        return f"{out}/{name}-own"
+
+    queries = [batches.NamedQuery("images", "SELECT json_extract(Properties, '$.image') AS image, COUNT(*) AS n FROM Findings GROUP BY 1")]
+    reporters = [reporting.json_reporter, reporting.sheet_reporter, reporting.delivery_reporter, own]
+    document, sheets, payloads, names = reporting.report(
+        extract(tb.composes(spark, sf), iac.compose()), queries, shared_dir(spark, "reports"), "census", reporters
+    )
+    read = {
+        "json": reporting.read_json_summary(spark, document, "images", "image STRING"),
+        "sheets": spark.read.option("header", True).csv(f"{sheets}/images"),
+        "delivery": spark.read.text(f"{payloads}/results"),
+        "own": spark.read.text(names),
+    }
+    return plan.reduce(DataFrame.union, [rows.agg(F.lit(k).alias("reporter"), F.count("*").alias("n")).select("reporter", "n") for k, rows in read.items()])
+
+
 @register(
     "service_list",
     "SELECT p_name || ' ' || p_partkey AS service, p_type AS category FROM part",

@@ -207,6 +207,22 @@ def test_sheets_and_delivery(spark, tmp_path):
     assert len(sent) == 2 and json.load(open(f"{folder}/_COMPLETED")) == {"status": "completed"}
 
 
+def test_reporters_have_one_signature(spark, tmp_path):
+    def counting(findings, queries, out, name):
+        reporting.write_text(spark, f"{out}/{name}.txt", f"{findings.count()} {len(queries)}")
+        return f"{out}/{name}.txt"
+
+    silent = lambda findings, queries, out, name: None
+    queries = [batches.NamedQuery("all", "SELECT Name FROM Findings")]
+    built_in = [reporting.json_reporter, reporting.sheet_reporter, reporting.delivery_reporter]
+    places = reporting.report(sample(spark, 3), queries, str(tmp_path), "r", [*built_in, counting, silent])
+    assert len(places) == 4 and all(os.path.exists(p) for p in places)
+    assert open(places[-1]).read() == "3 1" and len(_document(places[0])["all"]) == 3
+    with pytest.raises(ValueError, match="bad"):
+        reporting.report(sample(spark, 1), [batches.NamedQuery("bad", "SELECT * FROM missing")], str(tmp_path), "x", [reporting.json_reporter])
+    assert reporting.report(sample(spark, 1), [], str(tmp_path), "y", [reporting.json_reporter]) == []
+
+
 def test_small_reports(spark):
     found = sample(spark, 3).union(sample(spark, 1, "T", "s"))
     assert reporting.finding_count(found).first()[0] == 4
