@@ -17,7 +17,9 @@ lines. Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repocensus.llm.tables import Scope, stored
@@ -29,14 +31,26 @@ SIMILAR = 0.8
 FIELD = "<*>"
 
 
+def _raw_lines(text: Column) -> Column:
+    """The lines of a text, white space in them as single blanks."""
+    # Patterns are slow, plain searches fast: texts and lines in which a pattern can't match are left as they are. A
+    # blank alone is no match of this one.
+    text = F.coalesce(text, F.lit(""))
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    single = F.when(odd, F.regexp_replace(text, r"\x20[\x20\x09\x0B-\x0D]++|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+", " ")).otherwise(text)
+    return F.split(single, "\n", -1)
+
+
+def _masked(line: Column) -> Column:
+    """A line with FIELD for tokens with digits."""
+    fields = F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
+    return F.trim(F.when(line.rlike("[0-9]"), fields).otherwise(line))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``locator``, ``doc_id``, ``line`` (0-based) and ``masked`` of every line that can have a template."""
-    # Patterns run once over whole texts, before lines exist; what follows per line is plain string work.
-    # A blank alone is no match: most gaps are that, and are left as they are.
-    single = F.regexp_replace(F.coalesce("text", F.lit("")), r"\x20[\x20\x09\x0B-\x0D]++|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+", " ")
-    fields = F.regexp_replace(single, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", FIELD)
-    line = F.posexplode(F.split(fields, "\n", -1)).alias("line", "raw")
-    rows = docs.select("locator", "doc_id", line).select("locator", "doc_id", "line", F.trim("raw").alias("masked"))
+    # Masked before lines are rows of their own, as a filter on rows would be evaluated with its own copy of the patterns.
+    rows = docs.select("locator", "doc_id", F.posexplode(F.transform(_raw_lines(F.col("text")), _masked)).alias("line", "masked"))
     # The number of tokens is that of blanks and one; no array is needed to know it.
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     short = F.col("tokens") < MIN_TOKENS
@@ -54,13 +68,15 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         ids = stored(lines.select("locator", "doc_id", "line", "leaf", F.xxhash64("masked").alias("same")), "lines")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("locator").alias("locator"))).alias("first")
     with until_named:
-        variants = stored(ids.groupBy("leaf", "same").agg(F.min("locator").alias("sample"), F.count("*").alias("n")), "line-variants", shuffles_go=True)
+        variants = stored(ids.groupBy("leaf", "same").agg(F.min(F.struct("locator", "line")).alias("sample"), F.count("*").alias("n")), "line-variants", shuffles_go=True)
     busy = variants.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
 
-    # One sample of each different line of the busy leaves, as tokens.
-    wanted = variants.join(busy, "leaf", "left_semi").select(F.col("sample").alias("locator"), "leaf", "same")
-    samples = lines.withColumn("same", F.xxhash64("masked")).join(wanted, ["locator", "leaf", "same"], "left_semi").dropDuplicates(["leaf", "same"])
-    split = samples.select("leaf", "same", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
+    # One sample of each different line of the busy leaves, as tokens; of a document only the lines that are samples.
+    wanted = variants.join(busy, "leaf", "left_semi").select("sample.locator", F.struct("sample.line", "leaf", "same").alias("w"))
+    of_doc = wanted.groupBy("locator").agg(F.collect_list("w").alias("wanted"))
+    cut = docs.join(of_doc, "locator").select(_raw_lines(F.col("text")).alias("lines"), "wanted")
+    samples = cut.select(F.explode(F.transform("wanted", lambda w: F.struct(w["leaf"], w["same"], _masked(F.get("lines", w["line"])).alias("masked")))).alias("s"))
+    split = samples.select("s.leaf", "s.same", F.posexplode(F.split("s.masked", " ", -1)).alias("place", "token"))
     with until_templates:
         tokens = stored(split.select("leaf", "same", "place", F.xxhash64("token").alias("token")), "line-tokens", shuffles_go=True)
     counts = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines"))
