@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 
 DOCUMENT = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
 
+# Values that a document may have, aliases expanded: so many, and so many more for each character of its text.
+EXPANDED, EXPANDED_BY = 100_000, 10
+
 _Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 
@@ -79,12 +82,17 @@ _ConfigLoader.add_constructor(_MAP, _mapping)
 _ConfigLoader.add_multi_constructor("!", _other)
 
 
-def _plain(value):
-    """JSON has no dates or non-finite numbers: dates in RFC 3339, the others as text."""
+def _plain(value, left):
+    """JSON has no dates or non-finite numbers: dates in RFC 3339, the others as text.
+
+    ``left`` counts the values that a document may still have: aliases of aliases make a short text expand without end.
+    """
+    if next(left, None) is None:
+        raise yaml.YAMLError("aliases expand too far")
     if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
+        return {k: _plain(v, left) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
-        return [_plain(v) for v in value]
+        return [_plain(v, left) for v in value]
     if isinstance(value, datetime.datetime):
         text = value.isoformat()
         return text.replace("+00:00", "Z") if value.tzinfo else text + "Z"
@@ -97,14 +105,14 @@ def _plain(value):
     return value
 
 
-def _json(value) -> str:
-    return json.dumps(_plain(value), ensure_ascii=False, separators=(",", ":"), default=str)
+def _json(value, most: int) -> str:
+    return json.dumps(_plain(value, iter(range(most))), ensure_ascii=False, separators=(",", ":"), default=str)
 
 
 def _load_yaml(text: str) -> str:
     loader = _ConfigLoader(text)
     try:
-        return _json(loader.get_data() if loader.check_data() else None)
+        return _json(loader.get_data() if loader.check_data() else None, EXPANDED + EXPANDED_BY * len(text))
     finally:
         loader.dispose()
 
@@ -115,33 +123,23 @@ def _load_toml(text: str) -> str:
     return json.dumps(tomllib.loads(text.replace("\r\n", "\n")), ensure_ascii=False, default=wrap)
 
 
-def _documents(texts: pd.Series, load) -> pd.DataFrame:
+_LOADERS = {"yaml": _load_yaml, "toml": _load_toml}
+
+
+@F.pandas_udf(DOCUMENT)
+def _documents(texts: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     rows = []
-    for text in texts:
-        if text is None:
+    for text, kind in zip(texts, kinds, strict=True):
+        if text is None or kind is None:
             rows.append((None, None))
             continue
         try:
-            rows.append((load(text), None))
+            rows.append((_LOADERS[kind](text), None))
         except Exception as failure:  # a malformed file is data, not a job failure
             rows.append((None, str(failure) or type(failure).__name__))
     return pd.DataFrame(rows, columns=["json", "error"])
 
 
-@F.pandas_udf(DOCUMENT)
-def _yaml_documents(texts: pd.Series) -> pd.DataFrame:
-    return _documents(texts, _load_yaml)
-
-
-@F.pandas_udf(DOCUMENT)
-def _toml_documents(texts: pd.Series) -> pd.DataFrame:
-    return _documents(texts, _load_toml)
-
-
-def yaml_document(text: Column) -> Column:
-    """struct(json, error) of the first YAML document in the text."""
-    return _yaml_documents(text)
-
-
-def toml_document(text: Column) -> Column:
-    return _toml_documents(text)
+def config_document(text: Column, kind: Column) -> Column:
+    """struct(json, error) of a text of the kind ``yaml`` (its first document) or ``toml``; NULL members without a kind."""
+    return _documents(F.when(kind.isNotNull(), text), kind)

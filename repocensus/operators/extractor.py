@@ -8,14 +8,20 @@ an array of findings and an optional error text; :func:`extract` runs one of the
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repocensus.functions.configs import config_document
 from repocensus.functions.paths import with_path_columns
 from repocensus.schemas import FINDING_CORE_ARRAY
 
 
+# struct(json, error) of a configuration file, read once for all extractors that route it.
+CONFIG = "__config"
+
+
 @dataclass(frozen=True)
 class Extractor:
     """``stages`` are evaluated in order, each after the previous one, only for routed files."""
@@ -26,6 +32,7 @@ class Extractor:
     stages: list[dict[str, Column]] = field(default_factory=list)
     error: Column | None = None
     reads_content: bool = True
+    config: str | None = None  # "yaml" or "toml": the stages find the file's document in CONFIG
 
     @property
     def routed_flag(self) -> str:
@@ -70,6 +77,10 @@ def apply_stages(files: DataFrame, extractors: list[Extractor]) -> DataFrame:
                 "content": F.when(wanted, content),
             }
         )
+    kinds = {kind: [F.col(e.routed_flag) for e in extractors if e.config == kind] for kind in ("toml", "yaml")}
+    routed = [F.when(reduce(Column.__or__, flags), kind) for kind, flags in kinds.items() if flags]
+    if routed:
+        staged = staged.withColumn(CONFIG, config_document(F.col("content"), F.coalesce(*routed)))
     depth = max((len(e.stages) for e in extractors), default=0)
     for level in range(depth):
         staged = staged.withColumns(
@@ -97,9 +108,14 @@ def guarded_error(e: Extractor) -> Column:
     return F.when(F.col(e.routed_flag), e.error)
 
 
+def _routed(files: DataFrame, e: Extractor) -> DataFrame:
+    """The extractor's columns over its own files: the route is a filter on the scan, below everything else."""
+    return apply_stages(with_path_columns(files).where(e.route).select(*files.columns), [e])
+
+
 def extract(files: DataFrame, e: Extractor) -> DataFrame:
     """Findings of one extractor over a file table."""
-    routed = apply_stages(files, [e]).where(F.col(e.routed_flag))
+    routed = _routed(files, e)
     return routed.select("path", "repo_name", F.inline(guarded_findings(e))).select(
         "name", "type", "category", "path", "repo_name", "properties"
     )
@@ -107,7 +123,7 @@ def extract(files: DataFrame, e: Extractor) -> DataFrame:
 
 def extract_errors(files: DataFrame, e: Extractor) -> DataFrame:
     """One row per file the extractor could not read; its findings are dropped, nothing else is."""
-    routed = apply_stages(files, [e]).where(F.col(e.routed_flag))
+    routed = _routed(files, e)
     return routed.select(
         "repo_name", "path", F.lit(e.name).alias("extractor"), guarded_error(e).alias("message")
     ).where(F.col("message").isNotNull())

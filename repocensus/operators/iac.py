@@ -8,9 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repocensus.functions.blocks import block_stages
-from repocensus.functions.configs import yaml_document
 from repocensus.functions.props import Json, json_members, json_object, json_text, overlay, props
-from repocensus.operators.extractor import Extractor, finding, no_findings
+from repocensus.operators.extractor import CONFIG, Extractor, finding, no_findings
 
 # Which files each format is read from (compared in lower case).
 COMPOSE_FILES = ["docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml"]
@@ -31,25 +30,19 @@ def _typed(json_doc: Column, schema: str) -> Column:
     return F.from_json(json_doc, schema + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
 
 
-def _routed_yaml(route: Column) -> Column:
-    return yaml_document(F.when(route, F.col("content")))
-
-
 def _empty(doc: Column) -> Column:
     return F.coalesce(doc["json"] == "null", F.lit(False))
 
 
 def compose() -> Extractor:
     route = F.lower("base_name").isin(COMPOSE_FILES)
-    doc, typed = F.col("__compose_doc"), F.col("__compose_typed")
+    doc, typed = F.col(CONFIG), F.col("__compose_typed")
     services = F.map_entries(typed["services"])
     return Extractor(
         name="compose",
         route=route,
-        stages=[
-            {"__compose_doc": _routed_yaml(route)},
-            {"__compose_typed": _typed(doc["json"], "services MAP<STRING, STRUCT<image: STRING>>")},
-        ],
+        config="yaml",
+        stages=[{"__compose_typed": _typed(doc["json"], "services MAP<STRING, STRUCT<image: STRING>>")}],
         findings=F.coalesce(
             F.transform(
                 services,
@@ -73,7 +66,7 @@ def compose() -> Extractor:
 def cloudformation() -> Extractor:
     """Template resources; a property named ``resource_type`` wins over the resource's own type."""
     route = _ends_with_any("lower_path", CLOUDFORMATION_ENDINGS)
-    doc, typed = F.col("__cfn_doc"), F.col("__cfn_typed")
+    doc, typed = F.col(CONFIG), F.col("__cfn_typed")
     # JSON that is not YAML (tabs, for instance) is still read as JSON
     text = F.coalesce(doc["json"], F.col("content"))
     schema = (
@@ -97,7 +90,8 @@ def cloudformation() -> Extractor:
     return Extractor(
         name="cloudformation",
         route=route,
-        stages=[{"__cfn_doc": _routed_yaml(route)}, {"__cfn_typed": _typed(text, schema)}],
+        config="yaml",
+        stages=[{"__cfn_typed": _typed(text, schema)}],
         findings=F.coalesce(
             F.transform(F.map_entries(typed["Resources"]), row), no_findings()
         ),
@@ -112,7 +106,7 @@ def cloudformation() -> Extractor:
 def deployment_manager() -> Extractor:
     """Deployment Manager resources; anything unreadable is silently nothing."""
     route = _ends_with_any("lower_path", DEPLOYMENT_ENDINGS)
-    doc, typed = F.col("__gdm_doc"), F.col("__gdm_typed")
+    doc, typed = F.col(CONFIG), F.col("__gdm_typed")
     schema = "resources ARRAY<STRUCT<name: STRING, type: STRING, properties: STRING>>"
 
     def row(r: Column) -> Column:
@@ -127,7 +121,8 @@ def deployment_manager() -> Extractor:
     return Extractor(
         name="deployment_manager",
         route=route,
-        stages=[{"__gdm_doc": _routed_yaml(route)}, {"__gdm_typed": _typed(doc["json"], schema)}],
+        config="yaml",
+        stages=[{"__gdm_typed": _typed(doc["json"], schema)}],
         findings=F.when(
             typed["_corrupt"].isNull(), F.coalesce(F.transform(typed["resources"], row), no_findings())
         ).otherwise(no_findings()),

@@ -8,7 +8,6 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repocensus.functions.configs import toml_document
 from repocensus.functions.props import props
 from repocensus.functions.text import (
     ASCII_BLANK,
@@ -22,7 +21,7 @@ from repocensus.functions.text import (
     trim_lines,
     trim_ws,
 )
-from repocensus.operators.extractor import Extractor, finding, no_findings
+from repocensus.operators.extractor import CONFIG, Extractor, finding, no_findings
 
 # Any of these anywhere in a path keeps a manifest from being read.
 IGNORED_IN_PATH = ["node_modules", "vendor", ".git"]
@@ -222,7 +221,7 @@ def pip() -> Extractor:
 
 def poetry() -> Extractor:
     """String-valued Poetry dependencies; development wins on the same name."""
-    doc = F.col("__poetry_doc")
+    doc = F.col(CONFIG)
     parsed = F.from_json(
         doc["json"],
         "tool STRUCT<poetry: STRUCT<dependencies: MAP<STRING, VARIANT>, "
@@ -243,10 +242,8 @@ def poetry() -> Extractor:
     return Extractor(
         name="poetry",
         route=named("pyproject.toml"),
-        stages=[
-            {"__poetry_doc": toml_document(F.when(named("pyproject.toml"), F.col("content")))},
-            {"__poetry_parsed": parsed},
-        ],
+        stages=[{"__poetry_parsed": parsed}],
+        config="toml",
         findings=_libraries(pairs, "Python"),
         error=F.concat(F.lit("failed to parse pyproject.toml: "), doc["error"]),
     )

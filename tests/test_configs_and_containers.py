@@ -314,3 +314,25 @@ def test_long_terraform_files_are_linear(files):
 )
 def test_yaml_values(text, expected):
     assert json.loads(configs._load_yaml(text)) == expected
+
+
+def test_aliases_of_aliases_are_an_error(files):
+    """A short text that expands to billions of values ends as that file's error; plain aliases are read."""
+    bomb = "a0: &a0 [x]\n" + "".join(f"a{i}: &a{i} [" + ", ".join([f"*a{i - 1}"] * 10) + "]\n" for i in range(1, 12)) + "services: {w: {image: i}}\n"
+    assert rows(files, iac.compose(), "compose.yml", bomb) == [] and errors(files, iac.compose(), "compose.yml", bomb) == 1
+    plain = "x: &x {image: i}\nservices: {a: *x, b: *x}\n"
+    assert rows(files, iac.compose(), "compose.yml", plain) == [("a", {"image": "i"}), ("b", {"image": "i"})]
+
+
+def test_one_python_column_for_all_configuration_files(files):
+    from repocensus.plans import scan
+
+    table = files([("r", "compose.yml", "services: {w: {image: i}}"), ("r", "pyproject.toml", '[tool.poetry.dependencies]\na = "1"'), ("r", "template.yaml", "a: ["), ("r", "x.txt", "a: [")])
+    plan = scan.scan(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    records = scan.scan_records(table)
+    assert {(r.type, r.name) for r in scan.findings_of(records).collect()} >= {("Docker Compose Service", "w"), ("Library", "a")}
+    assert [(r.path, r.extractor) for r in scan.errors_of(records).collect()] == [("template.yaml", "cloudformation")]
+    one = extract(table, iac.compose())._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(one) if "ArrowEvalPython" in line)
+    assert any("Filter" in line and "base_name" not in line for line in one[at + 1 :])
