@@ -61,14 +61,18 @@ def json_members(obj: Column) -> Column:
 
     Of members with the same key the last one counts.
     """
-    entries = F.map_entries(F.from_json(obj, "MAP<STRING, VARIANT>"))
+    members = F.from_json(obj, "MAP<STRING, VARIANT>")
+    entries = F.map_entries(members)
     last = F.filter(
         entries,
         lambda e, i: ~F.exists(
             F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
         ),
     )
-    return F.transform_values(F.map_from_entries(last), lambda k, v: F.to_json(v))
+    # Hardly any object repeats a key; only such objects are searched for the last member of each.
+    repeats = F.size(F.array_distinct(F.map_keys(members))) < F.size(members)
+    once = F.when(repeats, F.map_from_entries(last)).otherwise(members)
+    return F.transform_values(once, lambda k, v: F.to_json(v))
 
 
 # A bag of plain scalars, by far the most common, needs no rewriting.
