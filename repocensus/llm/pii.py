@@ -2,7 +2,8 @@
 
 All of it is column expressions. A pattern's matches come from ``regexp_extract_all`` and the text between
 them from ``split`` with the same pattern; running lengths of the two give positions in code points. The patterns
-are possessive and anchored at the start of a run, so long texts of one character class cost linear time.
+are possessive and anchored at the start of a run, running lengths are summed in groups and context is cut from pieces of the
+text, so that very long texts, of one character class or full of matches, cost linear time.
 
 Kinds ``email``, ``ip``, ``card`` (Luhn) and ``phone`` are always reported; ``iban`` (mod-97) and ``ssn`` need a
 score of at least MIN_SCORE, to which words nearby contribute. Null text counts as empty: no spans. Repeated
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 MIN_SCORE = 0.5
 NEAR = 40
+FAN, PIECE = 16, 512
 LOCAL = r"[A-Za-z0-9._%+-]"
 
 # kind: (pattern, cheap test that a text may have one, score, words that speak for it)
@@ -67,19 +69,44 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums_before(numbers: Column, levels: int = 3) -> Column:
+    """For each number of an array the sum of those before it; FAN at a time, so that no array grows step by step.
+
+    An array of sums of FAN numbers is shorter by that factor, and its own sums before are found likewise.
+    """
+    total = lambda start, stop: F.when(stop > start, F.aggregate(F.sequence(start, stop - 1), F.lit(0).cast("bigint"), lambda s, j: s + F.get(numbers, j))).otherwise(0)
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    n = F.size(numbers)
+    if not levels:
+        return F.transform(places(n), lambda i: total(F.lit(0), i))
+    groups = F.ceil(n / FAN).cast("int")
+    sums = F.transform(places(groups), lambda g: total(g * FAN, F.least(g * FAN + FAN, n)))
+    before = _let(sums, lambda of: _sums_before(of, levels - 1))
+    return _let(before, lambda heads: F.transform(places(n), lambda i: F.get(heads, F.floor(i / FAN).cast("int")) + total(F.floor(i / FAN).cast("int") * FAN, i)))
+
+
 def _positions(matches: Column, between: Column) -> Column:
     """(``start``, ``value``) of each match: what stands before it is text and earlier matches."""
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,value:string>>").alias("out"))
 
-    def step(s: Column, m: Column) -> Column:
-        start = s["at"] + F.char_length(m["gap"])
-        return F.struct(
-            (start + F.char_length(m["value"])).cast("bigint").alias("at"),
-            F.concat(s["out"], F.array(F.struct(start.cast("bigint").alias("start"), m["value"].alias("value")))).alias("out"),
-        )
+    def placed(gaps: Column, values: Column) -> Column:
+        lengths = F.transform(values, lambda v, i: (F.char_length(v) + F.char_length(F.get(gaps, i + 1))).cast("bigint"))
+        first = F.char_length(F.get(gaps, F.lit(0)))
+        starts = _let(lengths, lambda of: _sums_before(of))
+        return F.zip_with(values, starts, lambda v, s: F.struct((s + first).cast("bigint").alias("start"), v.alias("value")))
+
+    return _let(between, lambda gaps: _let(matches, lambda values: placed(gaps, values)))
+
 
-    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, begin, step, lambda s: s["out"])
+def _around(pieces: Column, start: Column, stop: Column) -> Column:
+    """Characters ``start`` to ``stop`` of a text cut into pieces of PIECE characters; the text itself is not read from its beginning."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.transform(F.sequence(first, F.greatest(first, F.floor((stop - 1) / PIECE).cast("int"))), lambda i: F.coalesce(F.get(pieces, i), F.lit("")))
+    return F.substring(F.array_join(some, ""), (start - first * PIECE + 1).cast("int"), (stop - start).cast("int"))
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -91,16 +118,16 @@ def spans_of(text: Column, kind: str) -> Column:
     between = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(none)
     valid = F.filter(_positions(found, between), lambda m: _valid(kind, m["value"]))
 
-    def scored(m: Column) -> Column:
-        first = F.greatest(m["start"] - NEAR, F.lit(0))
-        around = F.substring(text, (first + 1).cast("int"), (m["start"] - first + F.char_length(m["value"]) + NEAR).cast("int"))
+    def scored(pieces: Column, m: Column) -> Column:
+        around = _around(pieces, F.greatest(m["start"] - NEAR, F.lit(0)), m["start"] + F.char_length(m["value"]) + NEAR)
         near = F.when(F.lower(around).rlike(rf"\b(?:{words})"), 0.3).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.char_length(m["value"])).alias("end"),
             F.least(F.lit(score) + near, F.lit(1.0)).alias("score"),
         )
 
-    out = F.transform(valid, scored)
+    pieces = F.when(F.size(found) > 0, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(none)
+    out = _let(pieces, lambda cut: F.transform(valid, lambda m: scored(cut, m)))
     return out if kind in BASE else F.filter(out, lambda m: m["score"] >= MIN_SCORE)
 
 
