@@ -233,15 +233,13 @@ def mixed(rows: DataFrame, targets: DataFrame, shards: int = SHARDS, block_words
 def mix_query(docs: DataFrame) -> DataFrame:
     rows = sized(docs.select("doc_id", "text", "source"))
     targets = source_targets(rows)
-    takes = mixed(rows, targets).groupBy("locator").agg(
-        F.sum("n_words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards")
-    )
+    takes = mixed(rows, targets).groupBy("locator").agg(F.sum("n_words").alias("taken"), F.min(F.struct("shard", "position")).alias("first"))
     named = targets.select(F.col("source").alias("of_source"), "source_size", "target")
     return (
         rows.select("locator", "doc_id", "source", "size")
         .join(named, F.col("source").eqNullSafe(F.col("of_source")))
         .join(takes, "locator", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "shards")
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first.shard", F.col("first.position.of_block").alias("position"))
     )
 
 
@@ -249,17 +247,25 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     """The mixture as documents: a row per document and pass, its text cut to the words drawn.
 
     A document drawn whole keeps its text unchanged; of one drawn in part, the drawn runs of words
-    follow each other with the white space after each word.
+    follow each other with the white space after each word. Rows come by shard and in the shard's order: blocks at random,
+    a document with the first of its blocks.
     """
     rows = sized(docs)
     takes = mixed(rows, source_targets(rows)).groupBy("locator", "pass").agg(
-        F.sum("n_words").alias("words"), F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("parts")
+        F.sum("n_words").alias("words"),
+        F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("parts"),
+        F.min(F.struct("shard", "position")).alias("first"),
     )
-    words = r"regexp_extract_all(doc.text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)"
-    cut = f"array_join(flatten(transform(parts, p -> slice({words}, CAST(p.start + 1 AS INT), CAST(p.n_words AS INT)))), '')"
+    # The words of a text are found once, however many runs of them are drawn.
+    words = r"array(regexp_extract_all(doc.text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0))"
+    runs = "transform(parts, p -> slice(w, CAST(p.start + 1 AS INT), CAST(p.n_words AS INT)))"
+    cut = f"array_join(flatten(transform({words}, w -> flatten({runs}))), '')"
     drawn = rows.join(takes, "locator").withColumn("drawn", F.expr(f"IF(words = size, doc.text, {cut})"))
     columns = {"text": F.col("drawn")}
     if "n_chars" in docs.columns:
         whole = F.col("words") == F.col("size")
         columns["n_chars"] = F.when(whole, F.col("doc.n_chars")).otherwise(F.char_length("drawn").cast("long"))
-    return drawn.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["first.shard", "first.position", "locator", "pass"]
+    dealt = drawn.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return dealt.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
