@@ -1,7 +1,7 @@
 """Packing documents into sequences by cutting-stock column generation (operator 6).
 
 A document's ids (with the end id) are cut into pieces of the sequence length and a rest; pieces are
-classed by length in units of UNIT ids. The driver solves the cutting-stock problem over the
+classed by length in units of UNIT ids, and a class is as long as its longest piece. The driver solves the cutting-stock problem over the
 histogram of classes, at most 128 numbers whatever the corpus: a linear program whose columns are patterns
 (how many pieces of each class fill a sequence), priced by a knapsack over the capacity. Patterns are
 rounded down, and what is left, fewer pieces than there are patterns times a pattern's, is filled
@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,13 +58,17 @@ def _cutter(path: str, sequence: int):
     return cut
 
 
+def piece_class(length: Column) -> Column:
+    return F.ceil(length / UNIT).cast("int")
+
+
 def pieces_of(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """``locator``, ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens`` and ``class`` of each piece, stored."""
     arrow_batches(docs.sparkSession)
     cut = docs.select("doc_id", F.monotonically_increasing_id().alias("locator"), _cutter(path, sequence)(utf8()).alias("p"))
     total = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["length"])
     rows = cut.select("doc_id", "locator", total.alias("doc_tokens"), F.explode("p").alias("x"))
-    kind = F.ceil(F.col("x.length") / UNIT).cast("int").alias("class")
+    kind = piece_class(F.col("x.length")).alias("class")
     return stored(rows.select("locator", "doc_id", "x.start", "x.length", "x.ids_crc32", "doc_tokens", kind), "pieces")
 
 
@@ -144,16 +148,19 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[dict[int,
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
-    histogram = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    found = pieces.groupBy("class").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()
+    histogram = {r["class"]: r["n"] for r in found}
+    class_of = {r["longest"]: r["class"] for r in found}  # pieces of another class are longer or shorter
     slots: dict[int, list[tuple[int, int, int]]] = {c: [] for c in histogram}
     filled, sequences = dict.fromkeys(histogram, 0), 0
-    for pattern, times in cutting_stock(histogram, sequence // UNIT):
-        for c, n in pattern.items():
+    for pattern, times in cutting_stock({r["longest"]: r["n"] for r in found}, sequence):
+        for size, n in pattern.items():
+            c = class_of[size]
             slots[c].append((filled[c], n, sequences))
             filled[c] += n * times
         sequences += times
     schema = "class int, slots array<struct<slot: bigint, n: bigint, first: bigint>>"
-    plan = F.broadcast(spark.createDataFrame([(c, s) for c, s in slots.items()], schema))  # at most sequence / UNIT rows
+    plan = F.broadcast(spark.createDataFrame([(c, s) for c, s in slots.items()], schema))  # a row for each class
 
     bits = max(0, math.ceil(math.log2(max(1, sum(histogram.values()) / ROWS_PER_BUCKET))))
     key = F.xxhash64("locator")
