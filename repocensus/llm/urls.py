@@ -32,6 +32,9 @@ FAR_APART = 0.25
 Z = 1.96
 
 
+# Tried at the start of a run of letters only, and without going back: linear in the path.
+HEX_RUN = "(?<![A-Fa-f])(?:[A-Fa-f]*+<n>){3,}+[A-Fa-f]*+"
+
 def parsed(pages: DataFrame) -> DataFrame:
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     url = F.coalesce("url", F.lit(""))
@@ -111,7 +114,7 @@ def templates(labelled: DataFrame) -> DataFrame:
 
     ``labelled`` has ``host``, ``path`` and ``blocked`` (1, 0 or null).
     """
-    shape = F.regexp_replace(F.regexp_replace("path", "[0-9]+", "<n>"), "(?:[A-Fa-f]*<n>[A-Fa-f]*){3,}", "<h>")
+    shape = F.regexp_replace(F.regexp_replace("path", "[0-9]+", "<n>"), HEX_RUN, "<h>")
     shapes = labelled.groupBy("host", shape.alias("shape")).agg(
         F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked")
     )
@@ -127,7 +130,7 @@ def templates(labelled: DataFrame) -> DataFrame:
         joined = rows.join(merged, ["host", "above", "own"], "left").withColumn("template", F.concat("above", F.coalesce("merged", "own")))
         named = stored(joined.drop("above", "own", "below", "merged"), "url-merged")
     per = stored(named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "url-templates")
-    everywhere = per.agg(F.sum("blocked") / F.sum("labelled")).first()[0] or 0.0
+    everywhere = per.agg(F.try_divide(F.sum("blocked"), F.sum("labelled"))).first()[0] or 0.0
     hosts = per.groupBy("host").agg(((F.sum("blocked") + SMOOTHING * everywhere) / (F.sum("labelled") + SMOOTHING)).alias("host_share"))
     purity = (F.col("blocked") + SMOOTHING * F.col("host_share")) / (F.col("labelled") + SMOOTHING)
     judged = per.join(hosts, "host").withColumn("purity", purity).withColumn("rejected", (F.col("labelled") >= MIN_LABELLED) & (purity >= REJECT))
@@ -142,7 +145,7 @@ def judged_urls(pages: DataFrame, rules=tuple(RULES), labels: DataFrame | None =
         known = rows.withColumn("blocked", F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0))
     else:
         known = rows.join(labels.select("page_id", F.col("blocked").cast("int").alias("blocked")), "page_id", "left")
-    shape = F.regexp_replace(F.regexp_replace("path", "[0-9]+", "<n>"), "(?:[A-Fa-f]*<n>[A-Fa-f]*){3,}", "<h>")
+    shape = F.regexp_replace(F.regexp_replace("path", "[0-9]+", "<n>"), HEX_RUN, "<h>")
     found = stored(templates(known).select("host", "shape", "template", "purity", "rejected"), "url-verdicts")
     method = F.when(F.col("rejected"), "block").otherwise("allow")
     return rows.withColumn("shape", shape).join(found, ["host", "shape"], "left").select(
