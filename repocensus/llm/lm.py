@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import math
 import os
-import tempfile
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -97,18 +96,24 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     system.move(draft, f"{root}/{name}")
 
 
-@functools.lru_cache(4096)
 def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
+    """An array of the model: memory-mapped where the shared folder is mounted, otherwise read, a bounded number at a time."""
+    return (_on_disk if fs.FileSystem.from_uri(folder)[0].type_name == "local" else _in_memory)(folder, name, kind)
+
+
+@functools.lru_cache(4096)
+def _on_disk(folder: str, name: str, kind: str) -> np.ndarray:
+    path = f"{fs.FileSystem.from_uri(folder)[1]}/{name}"
+    return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+
+
+@functools.lru_cache(64)
+def _in_memory(folder: str, name: str, kind: str) -> np.ndarray:
     system, root = fs.FileSystem.from_uri(folder)
-    path = f"{root}/{name}"
-    info = system.get_file_info(path)
-    if info.type != fs.FileType.File or not info.size:
+    if system.get_file_info(f"{root}/{name}").type != fs.FileType.File:
         return np.zeros(0, kind)
-    if not isinstance(system, fs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(prefix="kn-"), name)
-        fs.copy_files(path, local, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        path = local
-    return np.memmap(path, kind, "r")
+    with system.open_input_stream(f"{root}/{name}") as given:
+        return np.frombuffer(given.read(), kind)
 
 
 def _ids(model: Model, words: list[bytes]) -> np.ndarray:
