@@ -309,7 +309,7 @@ def languages_by_content(spark, sf):
     )
     told = languages.languages_by_content(files, model).select("path", "name")
     known = documents.select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string")).alias("path"), "lang")
-    right = F.avg((F.col("name") == F.col("lang")).cast("int")) >= 0.95
+    right = F.avg((F.col("name") == F.col("lang")).cast("int")) >= 0.9
     return known.join(told, "path").groupBy("lang").agg(F.count("*").alias("files"), right.alias("nearly_all_right"))
 
 
