@@ -278,10 +278,10 @@ def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_dir(spark, "files")
         corpus = all_files(spark, sf_dir)
         cores = spark.sparkContext.defaultParallelism
-        if corpus.rdd.getNumPartitions() < 16 * cores:
-            # small test data: mix the kinds of files, as repositories do
+        if table(spark, sf_dir, "lineitem").rdd.getNumPartitions() < cores:
+            # small test data: mix the kinds of files, as repositories do; large tables are written as read, without a shuffle
             corpus = corpus.repartition(4 * cores)
-        corpus.write.parquet(path)
+        corpus.write.option("compression", "zstd").parquet(path)
         _WRITTEN[key] = path
     return spark.read.schema(FILES).parquet(_WRITTEN[key])
 
