@@ -1,7 +1,9 @@
 """What large tables must not do: shuffle contents, hold a group whole, repeat work for every row."""
 
 from repocensus import testbed as tb
+from repocensus.operators.rule_join import classes, match_by_rules, matched_classes
 from repocensus.plans import registry
+from repocensus.sources.catalogue import Catalogue, Pattern, catalogue_frame
 
 
 def test_routing_counts_paths_without_a_files_table(spark, sf, monkeypatch):
@@ -24,3 +26,23 @@ def test_large_tables_become_files_without_a_shuffle(spark, sf, tmp_path, monkey
     assert tb.table(spark, str(tmp_path), "lineitem").rdd.getNumPartitions() >= cores
     files = tb.files_table(spark, str(tmp_path))
     assert 4 * cores not in asked and files.count() == tb.all_files(spark, str(tmp_path)).count()
+
+
+def test_patterns_with_the_same_criteria_are_one_class(spark, files):
+    """Files meet a class once, however many patterns it has; only findings have a row for each."""
+    catalogue = Catalogue(tuple(Pattern(f"p{i}", "T", "C", file_extensions=("py",), path_patterns=("/src/*",)) for i in range(500)))
+    grouped = classes(catalogue_frame(spark, catalogue), "name")
+    table = files([("r", f"src/{i}.py", "") for i in range(20)] + [("r", "lib/x.py", "")])
+    assert grouped.rules.count() == 1 and grouped.members.select("name").distinct().count() == 500
+    assert matched_classes(table, grouped.rules).count() == 20
+    assert match_by_rules(table, catalogue_frame(spark, catalogue)).count() == 500 * 20
+
+
+def test_files_stay_where_they_are_for_a_small_catalogue(spark, files):
+    """What rules lead to is small here, so that no content is shuffled."""
+    table = files([("r", f"src/{i}.py", "x" * 100) for i in range(50)])
+    catalogue = Catalogue((Pattern("n", file_names=("1.py",)), Pattern("e", file_extensions=("py",)), Pattern("g", path_patterns=("/src/2*",))))
+    found = match_by_rules(table, catalogue_frame(spark, catalogue))
+    found.count()
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 5 + 50 + 11
