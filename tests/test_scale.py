@@ -1,8 +1,10 @@
 """What large tables must not do: shuffle contents, hold a group whole, repeat work for every row."""
 
 from repocensus import testbed as tb
+from repocensus.operators.docker import dockerfile
+from repocensus.operators.extractor import extract
 from repocensus.operators.rule_join import classes, match_by_rules, matched_classes
-from repocensus.plans import registry
+from repocensus.plans import registry, scan
 from repocensus.sources.catalogue import Catalogue, Pattern, catalogue_frame
 
 
@@ -46,3 +48,24 @@ def test_files_stay_where_they_are_for_a_small_catalogue(spark, files):
     found.count()
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 5 + 50 + 11
+
+
+def test_one_extractor_has_items_as_rows_before_its_steps(spark, files):
+    """Columns that nobody reads are not made, and errors are worked out once, where the contents are."""
+    table = files({"Dockerfile": "FROM a/b:1 AS c\n", "x/Dockerfile": "FROM a\n\\\n", "requirements.txt": "a==1\n"})
+    found = extract(table, dockerfile())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(found).count("empty instruction") <= 1 and "transform" not in plan(found)
+    assert "concat_ws" in plan(found) and "concat_ws" not in plan(found.select("repo_name", "type"))
+    assert [(r.path, r.name, r.properties) for r in found.collect()] == [
+        ("Dockerfile", "FROM", '{"alias":"c","image":"b","owner":"a","version":"1"}')
+    ]
+
+
+def test_errors_alone_leave_out_what_only_findings_need(spark, files):
+    table = files({"Dockerfile": "FROM a\n\\\n", "go.mod": "require a v1\n", "package.json": "{", "build.gradle": "", "requirements.txt": "a"})
+    errors = scan.scan_errors(table)
+    assert "__go_text" not in errors._jdf.queryExecution().optimizedPlan().toString()
+    want = scan.errors_of(scan.scan_records(table))
+    assert sorted(errors.collect()) == sorted(want.collect()) and errors.count() == 3
+    assert errors.columns == want.columns
