@@ -334,13 +334,35 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def batch_files(findings: DataFrame, number: Column) -> DataFrame:
-    """Findings as batches, one pretty-printed array per file; batch 7 is cut short."""
-    text = F.to_json(F.collect_list(F.struct(*FINDING_COLUMNS)), {"pretty": "true"})
-    return findings.groupBy(number.alias("k")).agg(text.alias("text")).select(
-        F.concat(F.lit("batch-"), F.col("k").cast("string"), F.lit(".json")).alias("path"),
-        F.when(F.col("k") == 7, F.expr("left(text, length(text) - 3)")).otherwise(F.col("text")).alias("content"),
-    )
+def write_batches(findings: DataFrame, number: Column, root: str) -> None:
+    """Findings as batches, one pretty-printed array per file; batch 7 is cut short. A batch is written row by row."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        system.create_dir(base)
+        held, out, written = None, None, 0
+        end = lambda k, out: (out.write(b"" if k == 7 else b" ]"), out.close())
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is None or k != held:
+                    if out is not None:
+                        end(held, out)
+                    held, out = k, system.open_output_stream(f"{base}/batch-{k}.json", buffer_size=1 << 20)
+                    out.write(b"[ ")
+                else:
+                    out.write(b", ")
+                out.write(text.encode())
+                written += 1
+        if out is not None:
+            end(held, out)
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
+
+    text = F.to_json(F.struct(*FINDING_COLUMNS), {"pretty": "true"}).alias("text")
+    parts = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = findings.select(number.alias("k"), text).repartition(parts, "k").sortWithinPartitions("k")
+    rows.where("k IS NOT NULL").mapInArrow(run, "n BIGINT").agg(F.sum("n")).first()
 
 
 def text_catalogue() -> Catalogue:

@@ -1,10 +1,17 @@
 """What large tables must not do: shuffle contents, hold a group whole, repeat work for every row."""
 
+import io
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
 from repocensus import testbed as tb
 from repocensus.operators.docker import dockerfile
 from repocensus.operators.extractor import extract
 from repocensus.operators.rule_join import classes, match_by_rules, matched_classes
 from repocensus.plans import registry, scan
+from repocensus.sources import batches
 from repocensus.sources.catalogue import Catalogue, Pattern, catalogue_frame
 
 
@@ -69,3 +76,33 @@ def test_errors_alone_leave_out_what_only_findings_need(spark, files):
     want = scan.errors_of(scan.scan_records(table))
     assert sorted(errors.collect()) == sorted(want.collect()) and errors.count() == 3
     assert errors.columns == want.columns
+
+
+@pytest.mark.parametrize("text", ["[]", " [ ] x", '[1]', '[1, 22,"a,]\\"",{"a":[1]} ,null]', '{"a": 1} z', "[1.5, 2e+7,-1.25e-3 ]"])
+@pytest.mark.parametrize("chars", [1, 2, 7, 1000])
+def test_elements_of_an_array_read_in_pieces(text, chars):
+    got = [json.loads(e) for e in batches.elements(io.StringIO(text), chars)]
+    want = json.JSONDecoder().raw_decode(text.strip())[0]
+    assert got == (want if isinstance(want, list) else [want])
+
+
+@pytest.mark.parametrize("text", ["", "[", "[1", "[1,", "[1 2]", '[{"a": 1}', '["a', "[1,]", "x"])
+def test_an_array_cut_short_is_an_error(text):
+    with pytest.raises(ValueError):
+        list(batches.elements(io.StringIO(text), 2))
+
+
+def test_batches_of_any_length_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """No row holds a whole file; one that ends too early gives nothing."""
+    row = '{\n "name": "é%d", "type": "T", "properties": {"n": 1}\n}'
+    long = "[ " + ", ".join(row % i for i in range(2500)) + " ]"
+    (tmp_path / "a.json").write_text(long, encoding="utf-8")
+    (tmp_path / "b.json").write_text(long[:-3], encoding="utf-8")
+    (tmp_path / "c.json").write_bytes(b'[{"name": "\xff"}]')
+    found = batches.read_batches(spark, str(tmp_path), multi_line=True)
+    rows = found.collect()
+    assert len(rows) == 2501 and len({r.name for r in rows}) == 2501 and "\ufffd" in {r.name for r in rows}
+    assert {(r.properties, r.path) for r in rows if r.type} == {('{"n":1}', None)}
+    listed = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    lengths = [r[0] for r in listed.mapInArrow(batches._records, "value STRING").select(F.length("value")).collect()]
+    assert len(lengths) == 4 and max(lengths) < 0.5 * len(long)
