@@ -15,30 +15,24 @@ CORRUPT = "_corrupt_record"
 def vulnerability_findings(reports: DataFrame) -> DataFrame:
     """One finding per vulnerability of (repo_name, Results) report rows."""
     text = lambda c: F.coalesce(c, F.lit(""))
-    results = F.filter("Results", lambda r: r["Vulnerabilities"].isNotNull())
-    rows = F.flatten(
-        F.transform(
-            results,
-            lambda r: F.transform(
-                r["Vulnerabilities"],
-                lambda v: finding(
-                    text(v["VulnerabilityID"]),
-                    "VULNERABILITY_SCAN",
-                    "Trivy Filesystem",
-                    props(
-                        title=text(v["Title"]),
-                        severity=text(v["Severity"]),
-                        installed_version=text(v["InstalledVersion"]),
-                        pkg_name=text(v["PkgName"]),
-                        target=text(r["Target"]),
-                        result_type=text(r["Type"]),
-                    ),
-                ),
-            ),
-        )
+    # rows first, so that bags are plain columns, which Spark compiles
+    results = reports.select("repo_name", F.explode("Results").alias("r"))
+    rows = results.select("repo_name", F.col("r.Target").alias("target"), F.col("r.Type").alias("result_type"), F.explode("r.Vulnerabilities").alias("v"))
+    found = finding(
+        text(F.col("v.VulnerabilityID")),
+        "VULNERABILITY_SCAN",
+        "Trivy Filesystem",
+        props(
+            title=text(F.col("v.Title")),
+            severity=text(F.col("v.Severity")),
+            installed_version=text(F.col("v.InstalledVersion")),
+            pkg_name=text(F.col("v.PkgName")),
+            target=text(F.col("target")),
+            result_type=text(F.col("result_type")),
+        ),
     )
-    return reports.select("repo_name", F.inline(rows)).select(
-        "name", "type", "category", F.lit("").alias("path"), "repo_name", "properties"
+    return rows.select("repo_name", found.alias("f")).select(
+        "f.name", "f.type", "f.category", F.lit("").alias("path"), "repo_name", "f.properties"
     )
 
 

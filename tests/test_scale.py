@@ -10,6 +10,8 @@ from repocensus import testbed as tb
 from repocensus.operators.docker import dockerfile
 from repocensus.operators.extractor import extract
 from repocensus.operators.rule_join import classes, match_by_rules, matched_classes
+from repocensus.operators.user_code import SummaryProcessor, summarise_with
+from repocensus.operators.vulns import vulnerability_findings
 from repocensus.plans import registry, scan
 from repocensus.sources import batches
 from repocensus.sources.catalogue import Catalogue, Pattern, catalogue_frame
@@ -106,3 +108,35 @@ def test_batches_of_any_length_are_read_in_pieces(spark, tmp_path, monkeypatch):
     listed = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
     lengths = [r[0] for r in listed.mapInArrow(batches._records, "value STRING").select(F.length("value")).collect()]
     assert len(lengths) == 4 and max(lengths) < 0.5 * len(long)
+
+
+def test_summary_states_are_merged_without_a_call_for_each_group(spark):
+    class Count(SummaryProcessor):
+        def new(self):
+            return 0
+
+        def process(self, state, finding):
+            return state + 1
+
+        def merge(self, a, b):
+            return a + b
+
+        def findings(self, key, state):
+            yield {"name": "n", "properties": {"n": state}}
+
+    columns = [F.lit("x").alias(c) for c in ("name", "type", "category", "path")]
+    repo = F.when(F.col("id") % 3000 > 0, F.concat(F.lit("r"), (F.col("id") % 3000).cast("string")))
+    found = spark.range(30000, numPartitions=6).select(*columns, repo.alias("repo_name"), F.lit("{}").alias("properties"))
+    counted = summarise_with(found, Count())
+    assert "InArrow" in (plan := counted._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroups" not in plan
+    rows = counted.collect()
+    assert len(rows) == 3000 and {r.properties for r in rows} == {'{"n":10}'}
+
+
+def test_vulnerabilities_are_rows_before_their_bags(spark, sf):
+    found = vulnerability_findings(tb.vulnerability_reports(spark, sf))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws" in plan(found) and "concat_ws" not in plan(found.select("repo_name", "name"))
+    reports = tb.vulnerability_reports(spark, sf).limit(1)
+    empty = reports.select("repo_name", F.lit(None).cast(reports.schema["Results"].dataType).alias("Results"))
+    assert vulnerability_findings(empty).count() == 0
