@@ -53,9 +53,10 @@ def fit(labelled: DataFrame, rows: int = ROWS, most_words: int = WORDS) -> TextM
 
 def predicted(texts: DataFrame, model: TextModel, key: str) -> DataFrame:
     """(``key``, ``label``) of the most probable label of each text, by name among equals."""
-    counted = texts.select(key, F.explode_outer(words(F.col("text"))).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"))
-    sizes = counted.groupBy(key).agg(F.sum("n").alias("all"))
-    known = counted.join(model.weights, "word").groupBy(key, "label").agg(F.sum(F.col("n") * F.col("weight")).alias("known"))
+    # A text's words lie in one task: what is shuffled is a number for each text and label, not its words.
+    found = texts.select(key, words(F.col("text")).alias("words"))
+    sizes = found.groupBy(key).agg(F.sum(F.size("words")).alias("all"))
+    known = found.select(key, F.explode("words").alias("word")).join(model.weights, "word").groupBy(key, "label").agg(F.sum("weight").alias("known"))
     labels = model.labels.agg(F.collect_list(F.struct("label", "prior", "unknown"))).scalar()  # a few for each text
     scored = sizes.select("*", F.inline(labels)).join(known, [key, "label"], "left")
     score = F.col("prior") + F.col("all") * F.col("unknown") + F.coalesce("known", F.lit(0.0))

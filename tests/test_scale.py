@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repocensus import testbed as tb
+from repocensus.operators.classify import fit, predicted
 from repocensus.operators.docker import dockerfile
 from repocensus.operators.extractor import extract
 from repocensus.operators.rule_join import classes, match_by_rules, matched_classes
@@ -140,3 +141,13 @@ def test_vulnerabilities_are_rows_before_their_bags(spark, sf):
     reports = tb.vulnerability_reports(spark, sf).limit(1)
     empty = reports.select("repo_name", F.lit(None).cast(reports.schema["Results"].dataType).alias("Results"))
     assert vulnerability_findings(empty).count() == 0
+
+
+def test_words_are_not_shuffled_to_label_texts(spark):
+    texts = [(i, "der hund und die katze und" if i % 2 else "the dog and the cat and", "de" if i % 2 else "en") for i in range(40)]
+    frame = spark.createDataFrame([*texts, (40, "", None), (41, "zzz", None)], "id LONG, text STRING, label STRING")
+    told = predicted(frame.select("id", "text"), fit(frame.select("text", "label")), "id")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "word#" in line]
+    got = {r.id: r.label for r in told.collect()}
+    assert got == {i: label for i, _, label in texts} | {40: got[40], 41: got[41]} and len(got) == 42
