@@ -293,10 +293,14 @@ def write_tree(files: DataFrame, root: str) -> int:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        system.create_dir(base)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = f"{base}/{path.lstrip('/')}"
-                system.create_dir(target.rsplit("/", 1)[0])
+                target, below = base, [name for name in path.split("/") if name]
+                for name in below[:-1]:  # from above: failing attempts at a deep folder hold up all that write to one above it
+                    target += f"/{name}"
+                    system.create_dir(target, recursive=False)
+                target += f"/{below[-1]}"
                 with system.open_output_stream(target) as out:
                     out.write((content or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])

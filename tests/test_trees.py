@@ -1,6 +1,7 @@
 """Directory trees: each folder listed once, files dealt by bytes, only routed ones opened, changes as a stream."""
 
 import os
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -97,3 +98,51 @@ def test_a_tree_as_a_stream(spark, tmp_path):
     want = Counter({("a", "x"): 1, ("b", "y"): 1, ("a", "xx"): 1, ("c", "z"): 1})
     assert _ingested(spark, tmp_path) == want
     assert _ingested(spark, tmp_path) == want
+
+
+def test_a_stream_is_listed_on_the_executors_before_it_starts(spark, tmp_path, monkeypatch):
+    """The listing is stored in parts by tasks, and a listing of many folders has no more tasks than cores need."""
+    for i in range(40):
+        _write(tmp_path, f"root/r{i}/a/go.mod", f"require x{i} v1")
+    kind, asked = type(spark.range(1)), []
+    mixed = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, n, *c: asked.append(n) or mixed(df, n, *c))
+    monkeypatch.setattr(filetree, "FOLDERS_PER_TASK", 1)
+    monkeypatch.setattr(filetree, "TASK_BYTES", 10_000)
+    filetree.stream_tree(spark, str(tmp_path / "root"), str(tmp_path / "listings"), children=True)
+    assert asked == [1, 14, 14]  # 40 folders a level, at least 4 tasks a core: 3 folders each
+    stored = spark.read.parquet(str(tmp_path / "listings"))
+    assert stored.count() == 40 and stored.select("part").distinct().count() >= 3
+    assert filetree.note_changes(spark, str(tmp_path / "root"), str(tmp_path / "listings"), children=True) == 1
+
+
+def test_a_file_noted_twice_is_read_once(spark, tmp_path):
+    """A query that starts on older listings reads what is there now, once."""
+    root, state = tmp_path / "root", str(tmp_path / "listings")
+    for i in range(20):
+        _write(root, f"r/d{i}/go.mod", f"old {i}")
+    filetree.note_changes(spark, str(root), state, children=True)
+    _write(root, "r/d3/go.mod", "newer")
+    _write(root, "r/d33/go.mod", "added")
+    query = filetree.stream_tree(spark, str(root), state, children=True).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    found = Counter(r.content for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == Counter({f"old {i}": 1 for i in range(20) if i != 3} | {"newer": 1, "added": 1})
+
+
+def test_a_running_stream_sees_new_files(spark, tmp_path):
+    root = tmp_path / "root"
+    _write(root, "a/go.mod", "one")
+    files = filetree.stream_tree(spark, str(root), str(tmp_path / "listings"), children=True)
+    query = files.writeStream.format("memory").queryName("running_tree").trigger(processingTime="0 seconds").start()
+    try:
+        for rows, path, text in ((1, "a/go.mod", "one"), (2, "b/go.mod", "two"), (3, "a/go.mod", "three")):
+            if rows > 1:
+                _write(root, path, text)
+            end = time.time() + 60
+            while len(table := spark.table("running_tree").collect()) < rows:
+                assert time.time() < end and query.exception() is None
+                time.sleep(0.3)
+        assert sorted((r.repo_name, r.content) for r in table) == [("a", "one"), ("a", "three"), ("b", "two")]
+    finally:
+        query.stop()
