@@ -7,6 +7,7 @@ or sampled, and the corpus grows with the tables.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from functools import reduce
 
@@ -308,24 +309,18 @@ def write_tree(files: DataFrame, root: str) -> int:
     return files.select("path", "content").mapInArrow(run, "n BIGINT").agg(F.sum("n")).first()[0] or 0
 
 
-def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_catalogues(spark: SparkSession, sf_dir: str, root: str) -> None:
     """The parts' patterns as pretty-printed catalogue files, one per brand; every fifth brand's is cut short, one is no JSON file."""
-    parts = table(spark, sf_dir, "part").select(
-        "p_brand",
-        F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("number"),
-        F.struct(
-            F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"),
-            F.lit("Part").alias("type"),
-            F.array(F.concat(F.lit("f"), F.col("p_partkey").cast("string")), F.lit("x.y")).alias("file_names"),
-            F.struct(F.col("p_size").alias("size"), F.array("p_type").alias("kinds")).alias("properties"),
-        ).alias("pattern"),
-    )
-    text = F.to_json(F.collect_list("pattern"), {"pretty": "true"})
-    files = parts.groupBy("p_brand", "number").agg(text.alias("text"))
-    return files.select(
-        F.concat(F.translate("p_brand", "#", "-"), F.when(F.col("number") == 1, ".backup").otherwise(".json")).alias("path"),
-        F.when(F.col("number") % 5 == 0, F.expr("left(text, length(text) - 9)")).otherwise(F.col("text")).alias("content"),
+    number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    pattern = F.struct(
+        F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"),
+        F.lit("Part").alias("type"),
+        F.array(F.concat(F.lit("f"), F.col("p_partkey").cast("string")), F.lit("x.y")).alias("file_names"),
+        F.struct(F.col("p_size").alias("size"), F.array("p_type").alias("kinds")).alias("properties"),
     )
+    name = F.concat(F.translate("p_brand", "#", "-"), F.when(number == 1, ".backup").otherwise(".json"))
+    rows = table(spark, sf_dir, "part").select(name.alias("name"), F.when(number % 5 == 0, 9).otherwise(0).alias("cut"), F.to_json(pattern, {"pretty": "true"}).alias("text"))
+    _write_arrays(rows, root)
 
 
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,35 +333,37 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_batches(findings: DataFrame, number: Column, root: str) -> None:
-    """Findings as batches, one pretty-printed array per file; batch 7 is cut short. A batch is written row by row."""
+def _write_arrays(rows: DataFrame, root: str) -> None:
+    """Each ``name``'s ``text`` rows as a file of one array without its last ``cut`` characters, written row by row."""
 
     def run(batches):
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
         system.create_dir(base)
-        held, out, written = None, None, 0
-        end = lambda k, out: (out.write(b"" if k == 7 else b" ]"), out.close())
-        for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if out is None or k != held:
-                    if out is not None:
-                        end(held, out)
-                    held, out = k, system.open_output_stream(f"{base}/batch-{k}.json", buffer_size=1 << 20)
-                    out.write(b"[ ")
-                else:
-                    out.write(b", ")
-                out.write(text.encode())
-                written += 1
-        if out is not None:
-            end(held, out)
+        given = ((*row,) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        written = 0
+        for name, group in itertools.groupby(given, key=lambda row: row[0]):
+            before = "["
+            with system.open_output_stream(f"{base}/{name}", buffer_size=1 << 20) as out:
+                for _, cut, text in group:
+                    out.write(f"{before} ".encode() if before == "[" else f"{before}, ".encode())
+                    before = text
+                    written += 1
+                end = f"{before} ]"
+                out.write(end[: len(end) - cut].encode())
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
 
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.where("name IS NOT NULL").select("name", "cut", "text").repartition(parts, "name").sortWithinPartitions("name")
+    dealt.mapInArrow(run, "n BIGINT").agg(F.sum("n")).first()
+
+
+def write_batches(findings: DataFrame, number: Column, root: str) -> None:
+    """Findings as batches, one pretty-printed array per file; batch 7 is cut short. A batch is written row by row."""
     text = F.to_json(F.struct(*FINDING_COLUMNS), {"pretty": "true"}).alias("text")
-    parts = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = findings.select(number.alias("k"), text).repartition(parts, "k").sortWithinPartitions("k")
-    rows.where("k IS NOT NULL").mapInArrow(run, "n BIGINT").agg(F.sum("n")).first()
+    name = F.concat(F.lit("batch-"), number.cast("string"), F.lit(".json"))
+    _write_arrays(findings.select(name.alias("name"), F.when(number == 7, 2).otherwise(0).alias("cut"), text), root)
 
 
 def text_catalogue() -> Catalogue:

@@ -14,7 +14,7 @@ from repocensus.operators.rule_join import classes, match_by_rules, matched_clas
 from repocensus.operators.user_code import SummaryProcessor, summarise_with
 from repocensus.operators.vulns import vulnerability_findings
 from repocensus.plans import registry, scan
-from repocensus.sources import batches
+from repocensus.sources import batches, catalogue
 from repocensus.sources.catalogue import Catalogue, Pattern, catalogue_frame
 
 
@@ -151,3 +151,45 @@ def test_words_are_not_shuffled_to_label_texts(spark):
     assert "hashpartitioning" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "word#" in line]
     got = {r.id: r.label for r in told.collect()}
     assert got == {i: label for i, _, label in texts} | {40: got[40], 41: got[41]} and len(got) == 42
+
+
+@pytest.mark.parametrize("chars", [1, 2, 7, 1 << 20])
+def test_objects_of_an_array_in_pieces(chars):
+    found = lambda text: list(catalogue.objects(io.StringIO(text), chars))
+    texts = ['{"a": "]},\\"{"}', "{'b' : 'x\\'\"['}", "{}", '{"c": [1, {"d": "\'"}]}']
+    assert found(" [ " + " ,\n".join(texts) + " ] rest {") == texts
+    assert found('{"a": [1]} {"b": 2}') == ['{"a": [1]}'] and found(" [ ] ") == found(" ") == []
+    for text in ('[{"a": 1}', '[{"a": 1},', '[{"a": 1},]', '[{"a": 1} {"b": 2}]', "[1]", "[[{}]]", "[{}, null]", "5", '{"a": "b', '[{"a": "\n"}]'):
+        with pytest.raises(ValueError):
+            found(text)
+
+
+def test_catalogues_of_any_length_are_read_in_pieces(spark, tmp_path):
+    """No row holds a file; one malformed pattern, or a missing end, leaves out the whole file; properties stay as written."""
+    pattern = '{\n "name": "p%d", "file_names": [ "é" ], "properties": { "n": 1.50,\n  "k": [ "x" ] }\n}'
+    long = "[ " + ", ".join(pattern % i for i in range(2500)) + " ]"
+    (tmp_path / "a.json").write_text(long, encoding="utf-8")
+    (tmp_path / "b.json").write_text(long[:-3], encoding="utf-8")
+    (tmp_path / "c.json").write_text(long[:-2] + ', {"name": "x", "file_names": 3} ]', encoding="utf-8")
+    (tmp_path / "d.json").write_text('{"name": "one", "properties": 12.30}', encoding="utf-16")
+    (tmp_path / "e.json").write_bytes(b'[{"name": "\xff"}]')
+    rows = catalogue.read_patterns(spark, str(tmp_path)).orderBy("source_file", "place").collect()
+    assert [r.name for r in rows] == [*(f"p{i}" for i in range(2500)), "one"]
+    assert {r.properties for r in rows} == {'{ "n": 1.50,\n  "k": [ "x" ] }', "12.30"}
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.col("path").alias("source_file"), F.lit(None).cast("binary").alias("content"))
+    texts = files.mapInArrow(catalogue._patterns, catalogue._PATTERN_TEXTS)
+    assert texts.agg(F.max(F.length("value"))).first()[0] < 200 and texts.where("value IS NULL").count() == 2
+
+
+def test_catalogue_files_are_written_row_by_row(spark, sf, tmp_path):
+    """The text is that of the whole array at once, but for the order of its patterns."""
+    tb.write_catalogues(spark, sf, str(tmp_path / "out"))
+    brands = {r.p_brand: r.n for r in tb.table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n")).collect()}
+    assert {f.name for f in (tmp_path / "out").iterdir()} == {b.replace("#", "-") + (".backup" if b.endswith("#1") else ".json") for b in brands}
+    for brand, n in brands.items():
+        number = int(brand.split("#")[1])
+        text = (tmp_path / "out" / (brand.replace("#", "-") + (".backup" if number == 1 else ".json"))).read_text()
+        if number % 5:
+            assert len(json.loads(text)) == n and text.startswith("[ {\n") and "\n}, {\n" in text or n == 1
+        else:
+            assert text.count('"name"') == n and not text.rstrip().endswith("]")
