@@ -135,7 +135,7 @@ def elements(source, chars: int = CHARS):
 
 
 def read_vulnerability_reports(spark: SparkSession, folder: str, keep_unreadable: bool = False) -> DataFrame:
-    """Scanner reports laid out as ``<folder>/repo_name=<name>/<file>.json``.
+    """Scanner reports laid out as ``<folder>/repo_name=<name>/<file>.json``, or ``.json.gz``.
 
     Unreadable ones are left out, or kept with their text in ``_corrupt_record``.
     """

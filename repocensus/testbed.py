@@ -7,6 +7,7 @@ or sampled, and the corpus grows with the tables.
 
 from __future__ import annotations
 
+import gzip
 import itertools
 from collections.abc import Callable
 from functools import reduce
@@ -323,14 +324,39 @@ def write_catalogues(spark: SparkSession, sf_dir: str, root: str) -> None:
     _write_arrays(rows, root)
 
 
-def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pretty-printed vulnerability report per repository; those of every tenth one are cut short."""
-    gathered = vulnerability_reports(spark, sf_dir).groupBy("repo_name").agg(F.flatten(F.collect_list("Results")).alias("Results"))
-    text = F.to_json(F.struct("Results"), {"pretty": "true"})
-    return gathered.select(
-        F.concat(F.lit("repo_name="), "repo_name", F.lit("/report.json")).alias("path"),
-        F.when(F.col("repo_name").endswith("0"), F.left(text, F.lit(50))).otherwise(text).alias("content"),
-    )
+def write_reports(spark: SparkSession, sf_dir: str, root: str) -> int:
+    """One pretty-printed vulnerability report per repository, compressed; those of every tenth one are cut short. The number of rows.
+
+    Table columns are shuffled, not reports, and a report is written result by result.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        system.create_dir(base)
+        given = ((*row,) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        written = 0
+        for repo, group in itertools.groupby(given, key=lambda row: row[0]):
+            folder = f"{base}/repo_name={repo}"
+            system.create_dir(folder, recursive=False)
+            plain = system.open_output_stream(f"{folder}/report.json.gz", compression=None, buffer_size=1 << 20)
+            with plain as out, gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1, mtime=0) as packed:
+                left = 50 if repo.endswith("0") else None  # characters
+                before = '{\n  "Results" : ['
+                for _, results in group:
+                    text = f"{before} {results.strip()[1:-1]}"[:left]
+                    packed.write(text.encode())
+                    before, left = ",", None if left is None else left - len(text)
+                    written += 1
+                packed.write(" ]\n}"[:left].encode())
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
+
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.where("l_suppkey IS NOT NULL").repartition(parts, "l_suppkey").sortWithinPartitions("l_suppkey")
+    rows = _line_reports(dealt).select("repo_name", F.to_json("Results", {"pretty": "true"}).alias("results"))
+    return rows.mapInArrow(run, "n BIGINT").agg(F.sum("n")).first()[0] or 0
 
 
 def _write_arrays(rows: DataFrame, root: str) -> None:
@@ -476,24 +502,24 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vulnerability_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report per line item: a result with two vulnerabilities and an empty one."""
-    return _line_reports(spark, sf_dir).select("repo_name", "Results")
+    return _line_reports(spread(table(spark, sf_dir, "lineitem"))).select("repo_name", "Results")
 
 
 def damaged_reports(spark: SparkSession, sf_dir: str, where: str = "l_linenumber = 4") -> DataFrame:
     """The reports, some of them as a reader leaves what it cannot read."""
     bad = F.expr(where)
-    return _line_reports(spark, sf_dir).select(
+    return _line_reports(spread(table(spark, sf_dir, "lineitem"))).select(
         "repo_name", F.when(~bad, F.col("Results")).alias("Results"), F.when(bad, F.lit("{cut off")).alias("_corrupt_record")
     )
 
 
-def _line_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_reports(lines: DataFrame) -> DataFrame:
     vuln = lambda n, sev: (
         f"named_struct('VulnerabilityID', concat('CVE-', l_orderkey, '-', {n}), 'PkgName', concat('part-', l_partkey), "
         f"'InstalledVersion', CAST({QTY} AS STRING), 'FixedVersion', '9', 'Severity', {sev}, "
         f"'Title', concat('flaw ', {n}), 'Description', CAST(NULL AS STRING))"
     )
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    return lines.select(
         "*",
         F.expr(_LINE_REPO).alias("repo_name"),
         F.expr(

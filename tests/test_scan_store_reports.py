@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from repocensus import testbed as tb
 from repocensus.functions.props import flatten
 from repocensus.functions import paths, sqlite
 from repocensus.operators import reporting, store
@@ -380,3 +381,16 @@ def test_repeated_keys_take_the_last_value(spark):
 
     df = spark.createDataFrame([('{"x":{"y":1},"x":2,"z":"a"}',)], "p string")
     assert df.select(flatten(F.col("p")).alias("p")).first().p == '{"x":2,"z":"a"}'
+
+
+def test_report_files_take_little_disk(spark, sf, tmp_path):
+    """Reports are compressed and not shuffled; what is read back are the rows of every repository but the unreadable ones."""
+    rows = tb.write_reports(spark, sf, str(tmp_path / "reports"))
+    files = list((tmp_path / "reports").glob("repo_name=*/report.json.gz"))
+    assert rows == spark.read.parquet(f"{sf}/lineitem.parquet").count() and sum(f.stat().st_size for f in files) < 100 * rows
+    got = vulnerability_findings(batches.read_vulnerability_reports(spark, str(tmp_path / "reports")))
+    want = vulnerability_findings(tb.vulnerability_reports(spark, sf)).where("NOT endswith(repo_name, '0')")
+    assert got.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    every = batches.read_vulnerability_reports(spark, str(tmp_path / "reports"), keep_unreadable=True)
+    bad = [r.repo_name for r in every.collect() if r["_corrupt_record"] is not None]
+    assert sorted(bad) == sorted(f.parent.name.removeprefix("repo_name=") for f in files if f.parent.name.endswith("0")) != []
