@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repocensus.functions.paths import with_path_columns
-from repocensus.functions.regexes import glob_regex, is_regex, java_regex, needle
+from repocensus.functions.regexes import contains_any, glob_regex, is_regex, java_regex, needle
 from repocensus.operators.ordering import written
 from repocensus.schemas import FINDING_COLUMNS
 from repocensus.sources.catalogue import invalid_reason, is_regex_column
 
 GRAM = 3
+# So many needles at most are searched as one literal regex first. Texts with so many classes that all search the content get one
+# search for all their needles first, the largest of them.
+FIRST_NEEDLES, LARGE_TEXT, SEARCHED_TEXTS = 1000, 8, 16
 NAMES, EXTENSIONS, PATHS = 1, 2, 4
 _CRITERIA = {"file_names": NAMES, "file_extensions": EXTENSIONS, "path_patterns": PATHS}
 _LISTS = [*_CRITERIA, "content_patterns"]
@@ -98,18 +101,36 @@ def searched_hits(texts: DataFrame, rules: DataFrame, column: str) -> DataFrame:
     """(``text``, ``rule``) of ``texts`` in which a rule of some class is found.
 
     Rules with a needle meet the texts that contain its first GRAM characters; only those without one are
-    tried on every text.
+    tried on every text. If the needles are few, only texts with one of them are taken apart at all.
     """
     ruled = rules.select(F.inline(column)).distinct()
     keyed = ruled.where(F.length("needle") >= GRAM).withColumn("gram", F.substring("needle", 1, GRAM))
     starts = F.sequence(F.lit(1), F.greatest(F.length("text") - GRAM + 1, F.lit(1)))
-    grams = texts.select("text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("text", i, F.lit(GRAM))))).alias("gram"))
+    few = [r["needle"] for r in keyed.select("needle").distinct().limit(FIRST_NEEDLES + 1).collect()]
+    likely = texts.where(F.col("text").rlike(contains_any(sorted(few)))) if 0 < len(few) <= FIRST_NEEDLES else texts
+    grams = likely.select("text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("text", i, F.lit(GRAM))))).alias("gram"))
     found = F.col("text").contains(F.col("needle")) & (F.col("rx").isNull() | F.rlike("text", F.col("rx")))
     near = grams.join(keyed, "gram").where(found).select("text", "rule")
     rest = texts.join(ruled.where(F.length("needle") < GRAM), found).select("text", "rule")
     return near.unionByName(rest)
 
 
+def hopeless(hits: DataFrame, name: str, text: Column, content: Column) -> Column:
+    """Files of the texts with the most classes whose content has none of the needles that each of these classes needs.
+
+    Regexes are constants, compiled once a task, so they are for some texts only; all others are searched class by class.
+    """
+    rules = F.flatten(F.transform(name, lambda c: c["contents"]))
+    all_search = F.forall(name, lambda c: (F.size(c["contents"]) > 0) & F.forall(c["contents"], lambda r: r["needle"] != ""))
+    large = hits.where((F.size(name) >= LARGE_TEXT) & all_search).orderBy(F.desc(F.size(name)), "text").limit(SEARCHED_TEXTS)
+    needles = F.array_distinct(F.transform(rules, lambda r: r["needle"]))
+    vain = F.lit(False)
+    for r in large.select("text", F.slice(needles, 1, FIRST_NEEDLES + 1).alias("needles")).collect():
+        if len(r["needles"]) <= FIRST_NEEDLES:
+            vain = vain | ((text == r["text"]) & ~content.rlike(contains_any(sorted(r["needles"]))))
+    return F.coalesce(vain, F.lit(False))
+
+
 def matched_classes(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(``repo_name``, ``path``, ``class_id``) of every file and class whose every stated criterion holds."""
     placed = with_path_columns(files)
@@ -142,7 +163,7 @@ def matched_classes(files: DataFrame, rules: DataFrame) -> DataFrame:
     # Classes are cut down to those that hold before the next join, so that no row carries all classes of its name.
     for hits, on, name in ((by_name, "base_name", "names"), (by_ext, "ext", "extensions")):
         joined = found.join(hits.withColumnRenamed("text", on), on, "left").withColumn("anywhere", F.col("anywhere") | F.col(name).isNotNull())
-        found = joined.withColumn(name, ids(name))
+        found = joined.withColumn(name, F.when(hopeless(hits, name, F.col(on), content), none).otherwise(ids(name)))
     # Patterns that state nothing are one class; they hold for every file that some rule leads anywhere.
     open_ones = rules.where("needs = 0").agg(F.collect_list("class_id")).scalar()
     everywhere = F.when(F.col("anywhere"), F.coalesce(open_ones, none)).otherwise(none)

@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from repocensus.functions.regexes import contains_any
 from repocensus.operators.matching import match_patterns
-from repocensus.operators.rule_join import glob_needle, match_by_rules
+from repocensus.operators.rule_join import glob_needle, match_by_rules, searched_hits
 from repocensus.sources.catalogue import Catalogue, Pattern, catalogue_frame, invalid_patterns, read_patterns
 
 NAMES = ["a", "pom.xml", "xpom-xml", "README", "read.me", "x.py", "y.PY", "Dockerfile", "Dockerfile.dev", ".travis.yml", "né.js", "", "a b"]
@@ -86,3 +88,32 @@ def test_patterns_read_from_files(spark, files, tmp_path):
 @pytest.mark.parametrize("glob, text", [("/en/*", "/en/"), ("**/src?x/*", "/src"), ("{a,b}cd", ""), ("[x]yz", ""), ("*", "")])
 def test_needles_of_globs(glob, text):
     assert glob_needle(glob) == text
+
+
+def test_only_texts_with_a_needle_are_taken_apart(spark):
+    """A few needles are one literal regex below the three-character pieces; the texts found stay the same."""
+    rules = [("abc", None, "abc"), ("x.y&", r"x\.y&$", "x.y&$"), ("", r"^q\d$", r"^q\d$")]
+    table = spark.createDataFrame([([dict(zip(("needle", "rx", "rule"), r, strict=True)) for r in rules],)], "r array<struct<needle:string,rx:string,rule:string>>")
+    texts = spark.createDataFrame([(t,) for t in ["1abc2", "x.y&", "x.y& ", "q1", "other", "ab", ""]], "text string")
+    found = searched_hits(texts, table, "r")
+    assert sorted(map(tuple, found.collect())) == [("1abc2", "abc"), ("q1", r"^q\d$"), ("x.y&", "x.y&$")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Filter" in line and "RLIKE(text" in line.replace(" RLIKE ", "RLIKE(text") and "abc" in line]
+
+
+def test_many_content_rules_of_one_name(spark, files):
+    """Nine patterns that all search the content are given up at once where none of their needles occurs."""
+    patterns = [Pattern(f"n{i}", "T", "C", file_names=("many.txt",), content_patterns=(rf"key{i}\d+z$",) if i == 3 else (f"key{i}&-",)) for i in range(9)]
+    patterns += [Pattern("open", "T", "C", file_names=("mixed.txt",)), Pattern("anywhere", "T", "C")]
+    given = files({"a/many.txt": "..key4&-..", "b/many.txt": "a", "c/many.txt": None, "f/many.txt": "key312z", "mixed.txt": "", "d/many.txt": "key4&- key5&- key3z", "e/none.txt": "key1&-"})
+    got = sorted((r.path, r.name) for r in match_by_rules(given, catalogue_frame(spark, Catalogue(tuple(patterns)))).collect())
+    want = [("a/many.txt", "n4"), ("d/many.txt", "n4"), ("d/many.txt", "n5"), ("f/many.txt", "n3"), ("mixed.txt", "open")]
+    assert got == sorted(want + [(p, "anywhere") for p in ("a/many.txt", "b/many.txt", "c/many.txt", "d/many.txt", "f/many.txt", "mixed.txt")])
+
+
+def test_literal_regexes_of_any_characters(spark):
+    needles = ["a", "^b", "]c", "[d", "-e", "&&f", "\\g", '"h', " i", "~j", "\nk", "é", "bc"]
+    texts = spark.createDataFrame([(t,) for t in [*needles, *(f"x{t}y" for t in needles), "b", "^", "]", "&f", "zzz", "\\", "", "k", "cb"]], "t string")
+    got = {r.t for r in texts.where(F.col("t").rlike(contains_any(needles))).collect()}
+    assert got == {r.t for r in texts.collect() if any(n in r.t for n in needles)}
+    assert contains_any(needles).startswith("(?=[")
